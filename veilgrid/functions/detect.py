@@ -7,7 +7,7 @@ Nothing leaves the JVM and no text is shuffled: a row's spans depend on that row
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgrid.functions import values as V
@@ -29,6 +29,16 @@ def let(name: str, value: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
+def computed_once(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Add columns that later filters cannot be substituted into.
+
+    The optimizer moves a filter below a projection by repeating the projected expression
+    in it, which multiplies expensive detectors. A one-row generator is evaluated once.
+    """
+    fields = ", ".join(f"'{name}', {expr}" for name, expr in exprs.items())
+    return df.selectExpr("*", f"inline_outer(array(named_struct({fields})))")
+
+
 def in_list(expr: str, names: tuple[str, ...]) -> str:
     return f"{expr} in ({', '.join(repr(n) for n in names)})"
 
@@ -109,10 +119,10 @@ def otp_from_runs(runs: str, text: str) -> str:
 def spans_sql(text: str) -> str:
     """All spans of all types in detection order; overlaps are kept."""
     body = (
-        f"concat({email_spans_sql(text)}, {phone_spans_sql(text)}, {card_from_runs('runs')},"
-        f" {aadhaar_from_runs('runs')}, {ifsc_spans_sql(text)}, {otp_from_runs('runs', text)})"
+        f"concat({email_spans_sql('t')}, {phone_spans_sql('t')}, {card_from_runs('runs')},"
+        f" {aadhaar_from_runs('runs')}, {ifsc_spans_sql('t')}, {otp_from_runs('runs', 't')})"
     )
-    return let("runs", digit_runs_sql(text), body)
+    return let("t", text, let("runs", digit_runs_sql("t"), body))
 
 
 SPANS_BY_TYPE = {

@@ -37,13 +37,13 @@ def attach_for_labels(raw: DataFrame, labels: DataFrame) -> DataFrame:
 
 def classify_dom(raw: DataFrame, identity: tuple[str, ...] = ("payload_id", "seq")) -> DataFrame:
     """Ids, labels, roles, values and the sensitivity type that attributes give."""
-    named = with_raw_columns(raw).withColumns({
-        "element_id": F.expr(C.element_id_sql(*identity)),
-        "is_button": F.expr(C.IS_BUTTON),
-        "nearby_label": F.expr(C.LABEL),
-        "raw_value": F.expr(C.RAW_VALUE),
+    named = D.computed_once(with_raw_columns(raw), {
+        "element_id": C.element_id_sql(*identity),
+        "is_button": C.IS_BUTTON,
+        "nearby_label": C.LABEL,
+        "raw_value": C.RAW_VALUE,
     })
-    typed = named.withColumn("dom_type", F.expr(C.dom_type_sql("nearby_label", "is_button")))
+    typed = D.computed_once(named, {"dom_type": C.dom_type_sql("nearby_label", "is_button")})
     return typed.withColumns({
         "tag": F.expr("case when is_button then 'button' else lower(coalesce(tag, '')) end"),
         "role": F.expr(f"case when is_button then 'button' else {C.ROLE} end"),
@@ -57,15 +57,17 @@ def classify_dom(raw: DataFrame, identity: tuple[str, ...] = ("payload_id", "seq
 
 def classify_elements(raw: DataFrame, identity: tuple[str, ...] = ("payload_id", "seq")) -> DataFrame:
     """Full classification, row by row: no shuffle, no Python."""
-    spans = classify_dom(raw, identity).withColumn("spans", D.detect(C.SCAN_TEXT))
-    fused = spans.withColumn("pii_type", D.top_type("spans")).withColumns({
-        "sensitivity_type": F.expr(T.fused_type_sql("dom_type", "pii_type")),
-        "source": F.expr(T.fused_source_sql("dom_type", "pii_type")),
+    spans = D.computed_once(classify_dom(raw, identity), {"spans": D.spans_sql(C.SCAN_TEXT)})
+    fused = D.computed_once(spans.withColumn("pii_type", D.top_type("spans")), {
+        "sensitivity_type": T.fused_type_sql("dom_type", "pii_type"),
+        "source": T.fused_source_sql("dom_type", "pii_type"),
+    }).withColumns({
         "type_mismatch": F.expr(T.type_mismatch_sql("dom_type", "pii_type")),
         "confidence": F.expr(T.base_confidence_sql("dom_type", "spans")),
         "method": F.expr(T.method_sql("dom_type", "spans")),
+        "sensitivity_tier": F.expr(D.tier_sql("sensitivity_type")),
     })
-    return fused.withColumn("sensitivity_tier", F.expr(D.tier_sql("sensitivity_type"))).withColumns({
+    return fused.withColumns({
         "is_sensitive": F.expr("sensitivity_tier <> 3"),
         "reason": F.expr(T.reason_sql("source", "sensitivity_type", "label_text")),
     })

@@ -35,12 +35,13 @@ def redact_text(
     and whole texts never move between tasks.
     """
     token = K.token_sql(f"cast({session} as string)", "s.match", kind, key)
-    resolved = rows.withColumn("_spans", F.expr(D.resolved_spans_sql(D.spans_sql(text))))
-    spliced = resolved.withColumn("redacted_text", F.expr(D.splice_sql(text, "_spans", token)))
-    return spliced.withColumns({
-        "n_redacted": F.size("_spans"),
-        "residual": F.expr(f"if(size(_spans) = 0, 0, size({D.spans_sql('redacted_text')}))"),
-    }).drop("_spans")
+    kept = D.resolved_spans_sql(D.spans_sql(text))
+    residual = f"if(size(hits) = 0, 0, size({D.spans_sql('clean')}))"
+    result = f"named_struct('clean', clean, 'n', size(hits), 'residual', {residual})"
+    spliced = D.let("hits", kept, D.let("clean", D.splice_sql(text, "hits", token), result))
+    return D.computed_once(rows, {"_r": spliced}).withColumns({
+        "redacted_text": F.col("_r.clean"), "n_redacted": F.col("_r.n"), "residual": F.col("_r.residual"),
+    }).drop("_r")
 
 
 def split_residual(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:

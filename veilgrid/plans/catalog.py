@@ -13,7 +13,10 @@ from veilgrid.functions import tiers as T
 from veilgrid.functions import tokens as K
 from veilgrid.functions import values as V
 from veilgrid.operators import elements as E
+from veilgrid.operators import policy as P
+from veilgrid.operators import sessions as S
 from veilgrid.operators import text as X
+from veilgrid.operators import validate as W
 from veilgrid.operators import vault as U
 from veilgrid.plans import derived
 from veilgrid.plans.derived import table
@@ -206,3 +209,349 @@ def token_shapes(spark, sf_dir):
         F.expr(K.is_audit_token_sql("value", strict_reference=True)).alias("is_strict_shape"),
         F.expr(K.token_type_sql("value")).alias("token_type"),
     )
+
+
+# --- elements --------------------------------------------------------------------------
+
+
+def _elements(spark, sf_dir) -> DataFrame:
+    """Classified elements; the session of an element is its payload's order number modulo 40."""
+    rows = E.classify_elements(derived.raw_elements(spark, sf_dir))
+    return rows.withColumn("session_id", F.expr("concat('pay', payload_id % 40)"))
+
+
+def _element_vault(spark, sf_dir) -> DataFrame:
+    sensitive = _elements(spark, sf_dir).where("sensitivity_tier in (1, 2) and has_value")
+    return U.issue_vault(sensitive, KEY, ("payload_id", "seq"))
+
+
+def _tokenized(spark, sf_dir) -> DataFrame:
+    joined = U.with_tokens(_elements(spark, sf_dir), _element_vault(spark, sf_dir))
+    return joined.withColumn("semantic_token", F.expr(
+        T.token_decision_sql("sensitivity_tier", "sensitivity_type", "raw_value", "token", "null")))
+
+
+@query
+def element_labels(spark, sf_dir):
+    raw = derived.raw_elements(spark, sf_dir)
+    labels = raw.where("for_label is not null").selectExpr(
+        "payload_id", "dom_id as for_id", "seq as label_seq", "for_label as label_text")
+    return E.attach_for_labels(raw, labels).selectExpr("payload_id", "seq", f"{C.LABEL} as nearby_label")
+
+
+@query
+def element_roles(spark, sf_dir):
+    return derived.raw_elements(spark, sf_dir).selectExpr("payload_id", "seq", f"{C.ROLE} as role")
+
+
+@query
+def button_labels(spark, sf_dir):
+    return E.classify_dom(derived.raw_elements(spark, sf_dir)).where("is_button").select(
+        "payload_id", "seq", "tag", "role", "label_text", "dom_type")
+
+
+@query
+def element_dom_types(spark, sf_dir):
+    return E.classify_dom(derived.raw_elements(spark, sf_dir)).select(
+        "payload_id", "seq", "tag", "role", "label_text", "dom_type")
+
+
+@query
+def element_ids(spark, sf_dir):
+    return derived.raw_elements(spark, sf_dir).select(
+        "payload_id", "seq", F.expr(C.element_id_sql("payload_id", "seq")).alias("element_id"))
+
+
+@query
+def element_values(spark, sf_dir):
+    return E.classify_dom(derived.raw_elements(spark, sf_dir)).select("payload_id", "seq", "raw_value", "has_value")
+
+
+@query
+def deceptive_labels(spark, sf_dir):
+    return E.deceptive_labels(derived.raw_elements(spark, sf_dir)).select("payload_id", "seq", "inner_text", "aria_label")
+
+
+@query
+def element_tiers(spark, sf_dir):
+    return _elements(spark, sf_dir).groupBy("sensitivity_type", "sensitivity_tier").agg(F.count("*").alias("n_elements"))
+
+
+@query
+def type_fusion(spark, sf_dir):
+    return _elements(spark, sf_dir).select(
+        "payload_id", "seq", "dom_type", "pii_type", "sensitivity_type", "source", "type_mismatch")
+
+
+@query
+def element_reasons(spark, sf_dir):
+    return _elements(spark, sf_dir).where("reason is not null").select("payload_id", "seq", "reason")
+
+
+def _amounts(spark, sf_dir) -> DataFrame:
+    rows = _elements(spark, sf_dir).where("sensitivity_type = 'AMOUNT' and coalesce(raw_value, '') <> ''")
+    text = rows.withColumn("amount_text", F.expr(T.amount_text_sql("spans", "label_text", "raw_value")))
+    return text.withColumn("number", F.expr(T.amount_number_sql("amount_text")))
+
+
+@query
+def amount_buckets(spark, sf_dir):
+    return _amounts(spark, sf_dir).select(
+        "payload_id", "seq", "number", F.expr(T.amount_bucket_sql("number")).alias("amount_token"))
+
+
+@query
+def token_decisions(spark, sf_dir):
+    return _tokenized(spark, sf_dir).select("payload_id", "seq", "sensitivity_type", "semantic_token")
+
+
+@query
+def base_confidence(spark, sf_dir):
+    return _elements(spark, sf_dir).select("payload_id", "seq", "confidence", "method")
+
+
+@query
+def confidence_gate(spark, sf_dir):
+    rows = _tokenized(spark, sf_dir).withColumn("confidence", F.expr("cast(seq % 101 as double) / 100"))
+    return rows.select(
+        "payload_id", "seq", "sensitivity_tier",
+        F.expr(T.gate_action_sql("sensitivity_tier", "confidence")).alias("action"),
+        F.expr(T.gate_token_sql("sensitivity_tier", "sensitivity_type", "semantic_token", "confidence")).alias("gated_token"),
+    )
+
+
+@query
+def confidence_badges(spark, sf_dir):
+    return derived.vision_boxes(spark, sf_dir).groupBy(F.expr(T.badge_sql("confidence")).alias("badge")).agg(
+        F.count("*").alias("n_boxes"))
+
+
+# --- actions ---------------------------------------------------------------------------
+
+_TARGET = ("label_text", "is_sensitive", "input_type", "text_content", "interactable")
+
+
+def _targeted(spark, sf_dir) -> DataFrame:
+    page = _elements(spark, sf_dir).withColumns({
+        "input_type": F.expr("lower(type)"),
+        "text_content": F.col("inner_text"),
+        "interactable": F.expr("w > 0 and h > 0 and x < 760"),
+    })
+    acts = derived.actions(spark, sf_dir).withColumn("session_id", F.expr("concat('pay', payload_id % 40)"))
+    return P.attach_targets(acts, page, _TARGET)
+
+
+@query
+def client_risk(spark, sf_dir):
+    return P.client_risk(derived.actions(spark, sf_dir)).select("payload_id", "action_seq", "client_risk")
+
+
+@query
+def action_targets(spark, sf_dir):
+    return _targeted(spark, sf_dir).select("payload_id", "action_seq", "target_element_id", "label_text", "is_sensitive", "found")
+
+
+@query
+def policy_risk(spark, sf_dir):
+    return P.policy_risk(_targeted(spark, sf_dir)).select("payload_id", "action_seq", "policy_risk")
+
+
+@query
+def needs_confirmation(spark, sf_dir):
+    return P.needs_confirmation(_targeted(spark, sf_dir)).select("payload_id", "action_seq", "needs_confirmation")
+
+
+@query
+def executability(spark, sf_dir):
+    acts = _targeted(spark, sf_dir)
+    known = acts.where("value = '[EMAIL_7]' and payload_id % 3 = 0").selectExpr("session_id", "value as token")
+    return P.executability(acts, known).select("payload_id", "action_seq", "status")
+
+
+@query
+def hallucinated_targets(spark, sf_dir):
+    return P.hallucinated_targets(derived.actions(spark, sf_dir), _elements(spark, sf_dir)).select(
+        "payload_id", "action_seq", "target_element_id")
+
+
+@query
+def guarded_actions(spark, sf_dir):
+    return P.guarded_actions(derived.actions(spark, sf_dir)).select("payload_id", "action_seq", "violated_type", "reject_reason")
+
+
+# --- contracts -------------------------------------------------------------------------
+
+
+@query
+def action_contract(spark, sf_dir):
+    return W.check_actions(derived.actions(spark, sf_dir)).select(
+        "payload_id", "action_seq", F.array_join("reject_reasons", ",").alias("reject_reasons"))
+
+
+@query
+def sensitive_without_token(spark, sf_dir):
+    """Sensitive, filled elements whose token is missing: here where the vault skipped a session."""
+    rows = _tokenized(spark, sf_dir).withColumn("semantic_token", F.expr("if(payload_id % 7 = 0, '', semantic_token)"))
+    return W.check_sensitive_tokens(rows).select("payload_id", "seq", "sensitivity_type")
+
+
+def _payloads(spark, sf_dir) -> DataFrame:
+    """Payload documents, one per order, with some broken in known ways."""
+    elements = _tokenized(spark, sf_dir).groupBy("payload_id").agg(F.sort_array(F.collect_list(F.expr(
+        """named_struct('seq', seq, 'element_id', element_id, 'tag', tag, 'role', role, 'label_text', label_text,
+            'is_sensitive', is_sensitive, 'sensitivity_tier', if(payload_id % 17 = 3, 4, sensitivity_tier),
+            'sensitivity_type', if(payload_id % 17 = 4, 'SSN', sensitivity_type),
+            'semantic_token', if(payload_id % 17 = 5, null, semantic_token), 'has_value', has_value,
+            'bounding_box', if(payload_id % 17 = 6, null, named_struct('x', x, 'y', y, 'w', w, 'h', h)),
+            'confidence', if(payload_id % 17 = 7, confidence + 1, confidence), 'method', method)"""))).alias("els"))
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey as payload_id", "o_orderpriority", "o_custkey")
+    return orders.join(elements, "payload_id").selectExpr(
+        "payload_id",
+        "if(payload_id % 17 = 8, null, concat('cust', o_custkey)) as session_id",
+        "case when payload_id % 17 = 9 then '' when payload_id % 17 = 10 then repeat(o_orderpriority, 400) else o_orderpriority end as task_instruction",
+        "cast(1 as int) as step_number",
+        "if(payload_id % 17 = 11, repeat('e', 1001), null) as last_action_error",
+        "cast(if(payload_id % 17 = 12, repeat('i', 90), repeat('i', 120)) as string) as redacted_image_base64",
+        "named_struct('url', if(payload_id % 17 = 13, null, 'https://shop.example.com'), 'elements', transform(els, e -> named_struct("
+        "'element_id', e.element_id, 'tag', e.tag, 'role', e.role, 'label_text', e.label_text, 'is_sensitive', e.is_sensitive,"
+        " 'sensitivity_tier', e.sensitivity_tier, 'sensitivity_type', e.sensitivity_type, 'semantic_token', e.semantic_token,"
+        " 'has_value', e.has_value, 'bounding_box', e.bounding_box))) as dom_summary",
+        "transform(els, e -> named_struct('element_id', e.element_id, 'confidence', e.confidence, 'method',"
+        " if(payload_id % 17 = 14, 'guess', e.method))) as detection_confidence_notes",
+        "transform(filter(els, e -> e.is_sensitive and (payload_id % 5 <> 2 or e.seq % 2 = 0)), e -> named_struct("
+        "'element_id', e.element_id, 'sensitivity_tier', e.sensitivity_tier, 'semantic_token', e.semantic_token,"
+        " 'bounding_box', if(payload_id % 9 = 4 and e.seq % 3 = 0, null, named_struct('x', e.bounding_box.x, 'y', e.bounding_box.y,"
+        " 'w', if(payload_id % 9 = 5, null, e.bounding_box.w), 'h', e.bounding_box.h)))) as redacted_regions",
+    )
+
+
+@query
+def payload_contract(spark, sf_dir):
+    return W.check_payloads(_payloads(spark, sf_dir)).select(
+        "payload_id", F.array_join("reject_reasons", ",").alias("reject_reasons"))
+
+
+# --- sessions --------------------------------------------------------------------------
+
+NOW = "timestamp_ntz'2024-01-30 12:00:00'"
+
+
+@query
+def step_acceptance(spark, sf_dir):
+    rows, _ = S.step_acceptance(derived.steps(spark, sf_dir), block=3)
+    return rows.select("session_id", "arrival", "step_number", "accepted", "expected_step")
+
+
+@query
+def continuity_breaks(spark, sf_dir):
+    rows, _ = S.step_acceptance(derived.steps(spark, sf_dir), block=3)
+    return rows.where("continuity_break").select("session_id", "arrival", "step_number")
+
+
+@query
+def unchanged_frames(spark, sf_dir):
+    return S.unchanged_frames(derived.events(spark, sf_dir, derived.FRAMES), order=("event_id",)).select("event_id", "session_id", "skipped")
+
+
+def _epochs(spark, sf_dir) -> DataFrame:
+    return S.expiry_epochs(derived.events(spark, sf_dir, derived.ACCESSES), order=("event_id",))
+
+
+@query
+def session_expiry(spark, sf_dir):
+    return _epochs(spark, sf_dir).select("event_id", "session_id", F.col("vault_epoch").cast("bigint").alias("vault_epoch"))
+
+
+@query
+def expired_sessions(spark, sf_dir):
+    return S.expired_sessions(derived.events(spark, sf_dir, derived.ACCESSES), F.expr(NOW))
+
+
+@query
+def active_sessions(spark, sf_dir):
+    return S.active_sessions(derived.events(spark, sf_dir, derived.ACCESSES), F.expr(NOW), warn_at=3)
+
+
+@query
+def session_concurrency(spark, sf_dir):
+    return S.concurrency(_epochs(spark, sf_dir), warn_at=8).select(
+        "session_id", "changed_at", "change", F.col("active").cast("bigint").alias("active"), "over_limit")
+
+
+@query
+def context_binding(spark, sf_dir):
+    return S.context_binding(derived.events(spark, sf_dir, derived.BINDINGS), order=("event_id",)).select(
+        "event_id", "session_id", "verdict")
+
+
+@query
+def rate_limit(spark, sf_dir):
+    rows, _ = S.rate_limit(derived.requests(spark, sf_dir), "client", "at_us", ("event_id",), slice_width=150_000_000)
+    return rows
+
+
+@query
+def aligned_rate_limit(spark, sf_dir):
+    rows = derived.requests(spark, sf_dir).withColumn("ts", F.expr("cast(timestamp_micros(at_us) as timestamp_ntz)"))
+    return S.aligned_rate_limit(rows, "client", "ts")
+
+
+@query
+def server_steps(spark, sf_dir):
+    return S.server_steps(derived.events(spark, sf_dir, derived.ATTEMPTS), order=("event_id",)).select(
+        "event_id", "session_id", F.col("request_step").cast("bigint").alias("request_step"))
+
+
+@query
+def previous_errors(spark, sf_dir):
+    return S.previous_errors(derived.events(spark, sf_dir, derived.ATTEMPTS), order=("event_id",)).select(
+        "event_id", "session_id", "last_action_error")
+
+
+@query
+def task_limits(spark, sf_dir):
+    return S.task_limits(derived.events(spark, sf_dir, derived.ATTEMPTS))
+
+
+@query
+def task_outcomes(spark, sf_dir):
+    return S.outcomes(derived.events(spark, sf_dir, derived.ENDS))
+
+
+@query
+def audit_completeness(spark, sf_dir):
+    asked = derived.steps(spark, sf_dir).select("session_id", "step_number")
+    logged = asked.where("(session_id + step_number) % 9 <> 0").unionAll(asked.where("session_id % 10 = 1"))
+    return S.audit_gaps(asked, logged)
+
+
+@query
+def session_history(spark, sf_dir):
+    rows, _ = S.step_acceptance(derived.steps(spark, sf_dir), block=3)
+    return S.session_history(rows)
+
+
+@query
+def response_pairs(spark, sf_dir):
+    asked = derived.steps(spark, sf_dir).select("session_id", "arrival", "step_number")
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").selectExpr(
+        "conv_id as session_id", "cast(turn + 2 as int) as step_number", "length(text) as n_chars")
+    return W.pair_responses(asked, answers).select("session_id", "arrival", "step_number", "response_step", "n_chars", "paired")
+
+
+@query
+def response_contract(spark, sf_dir):
+    answers = derived.actions(spark, sf_dir).selectExpr(
+        "payload_id", "action_seq", "concat('s', payload_id) as expected_session", "1 as expected_step",
+        "if(action_seq % 23 = 0, 's', concat('s', payload_id)) as session_id",
+        "cast(if(action_seq % 19 = 0, 3, 2) as int) as step_number", "action_seq % 29 <> 0 as has_action",
+        "action_seq % 31 <> 0 as has_response", "type", "risk_tier")
+    return W.check_responses(answers).select("payload_id", "action_seq", "reject_reason")
+
+
+@query
+def purged_vault(spark, sf_dir):
+    ended = table(spark, sf_dir, "customer").where("c_acctbal < 0").selectExpr("concat('cust', c_custkey % 40) as session_id")
+    expired = table(spark, sf_dir, "nation").selectExpr("concat('src', n_nationkey) as session_id").where("session_id like 'src1%'")
+    return U.purge_vault(_vault(spark, sf_dir), ended.where("session_id like 'cust2%'").unionAll(expired)).select(
+        "session_id", "token")

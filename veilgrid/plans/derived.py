@@ -173,3 +173,38 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_sql(columns: list[str], source: str, where: str = "") -> str:
     """The same derivation as a select statement."""
     return f"SELECT {', '.join(columns)} FROM {source}" + (f" WHERE {where}" if where else "")
+
+
+# Session logs over the events table.
+FRAMES = ["event_id", "user_id AS session_id", "ts", "CASE event_type WHEN 'error' THEN '' ELSE event_type END AS content_hash"]
+ACCESSES = ["event_id", "user_id AS session_id", "ts"]
+ATTEMPTS = [
+    "event_id", "user_id AS session_id", "ts", "CAST(extract(day FROM ts) AS INT) AS step_number",
+    "event_type NOT IN ('error', 'signup') AS succeeded",
+    "CASE event_type WHEN 'error' THEN concat('failed to execute: ', event_id) WHEN 'signup' THEN 'element_not_interactable' END AS error",
+]
+BINDINGS = [
+    "event_id", "user_id AS session_id", "ts",
+    "CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN 'end' WHEN event_type = 'error' AND event_id % 4 = 0 THEN 'tab_closed' ELSE 'send' END AS event",
+    "CAST(event_id % 3 AS INT) AS tab_id", "CAST(event_id % 2 AS INT) AS frame_id",
+]
+ENDS = [
+    "user_id AS session_id", "ts",
+    """CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'completed' WHEN 1 THEN 'failed_by_server' WHEN 2 THEN 'denied_by_user' WHEN 3 THEN 'max_retries_exceeded'
+        WHEN 4 THEN 'max_steps_exceeded' WHEN 5 THEN 'unresolved_sensitive_reference' WHEN 6 THEN 'fatal_error' ELSE 'tab_destroyed' END AS reason""",
+]
+
+
+def events(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*columns)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests per client: the event log played 1000 times faster, one client per event type."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id", "event_type as client", "cast(floor(unix_micros(cast(ts as timestamp)) / 1000) as bigint) as at_us")
+
+
+REQUESTS_SQL = (
+    "SELECT event_id, event_type AS client, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS at_us FROM events"
+)
