@@ -122,7 +122,8 @@ def spans_sql(text: str) -> str:
         f"concat({email_spans_sql('t')}, {phone_spans_sql('t')}, {card_from_runs('runs')},"
         f" {aadhaar_from_runs('runs')}, {ifsc_spans_sql('t')}, {otp_from_runs('runs', 't')})"
     )
-    return let("t", text, let("runs", digit_runs_sql("t"), body))
+    found = let("t", text, let("runs", digit_runs_sql("t"), body))
+    return f"if(rlike({text}, '[0-9@]'), {found}, {NO_SPANS})"
 
 
 SPANS_BY_TYPE = {

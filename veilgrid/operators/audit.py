@@ -162,7 +162,7 @@ def audit_records(decisions: DataFrame) -> DataFrame:
 def region_rollup(regions: DataFrame) -> DataFrame:
     """Regions per payload by detection source."""
     return regions.groupBy("payload_id").pivot("detection_source", list(V.DETECTION_METHODS)).agg(
-        F.count("*")).fillna(0, list(V.DETECTION_METHODS))
+        F.count(F.lit(1))).fillna(0, list(V.DETECTION_METHODS))
 
 
 def latency_rollup(metrics: DataFrame, accuracy: int = 10_000) -> DataFrame:

@@ -117,3 +117,20 @@ class ContextBinding:
         if state is not None and (event == "end" or state[0] == tab):
             return None, ("released",)
         return state, ("ignored",)
+
+
+class LastHash:
+    """Skip a frame whose content hash is that of the frame before it and not blank.
+
+    State: the last hash. Rows: (hash,). Output: skipped.
+    """
+
+    def summary(self, rows: list[tuple]) -> str | None:
+        return rows[-1][0]
+
+    def advance(self, state: str | None, summary: str | None) -> str | None:
+        return summary
+
+    def step(self, state: str | None, row: tuple) -> tuple[str | None, tuple]:
+        (content,) = row
+        return content, (bool(content) and content == state,)

@@ -9,17 +9,28 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import classify as C
 from veilgrid.functions import detect as D
+from veilgrid.functions import geometry as G
+from veilgrid.functions import registry
 from veilgrid.functions import tiers as T
 from veilgrid.functions import tokens as K
 from veilgrid.functions import values as V
+from veilgrid.operators import audit as A
 from veilgrid.operators import elements as E
+from veilgrid.operators import fusion as J
 from veilgrid.operators import policy as P
+from veilgrid.operators import relink as R
 from veilgrid.operators import sessions as S
 from veilgrid.operators import text as X
 from veilgrid.operators import validate as W
 from veilgrid.operators import vault as U
 from veilgrid.plans import derived
 from veilgrid.plans.derived import table
+from veilgrid.session import shared_folder
+from veilgrid.sources import audit_log as audit_sources
+from veilgrid.sources import html as html_sources
+from veilgrid.sources import payloads as sources_payloads
+from veilgrid.sources import vision as vision_sources
+from veilgrid.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEY = "demo-key"  # queries must repeat; real jobs pass their own secret
@@ -398,8 +409,8 @@ def sensitive_without_token(spark, sf_dir):
 def _payloads(spark, sf_dir) -> DataFrame:
     """Payload documents, one per order, with some broken in known ways."""
     elements = _tokenized(spark, sf_dir).groupBy("payload_id").agg(F.sort_array(F.collect_list(F.expr(
-        """named_struct('seq', seq, 'element_id', element_id, 'tag', tag, 'role', role, 'label_text', label_text,
-            'is_sensitive', is_sensitive, 'sensitivity_tier', if(payload_id % 17 = 3, 4, sensitivity_tier),
+        """named_struct('seq', seq, 'element_id', element_id, 'tag', tag, 'role', role,
+            'label_text', if(payload_id % 6 = 1 and is_sensitive, concat_ws(' ', label_text, raw_value), label_text), 'is_sensitive', is_sensitive, 'sensitivity_tier', if(payload_id % 17 = 3, 4, sensitivity_tier),
             'sensitivity_type', if(payload_id % 17 = 4, 'SSN', sensitivity_type),
             'semantic_token', if(payload_id % 17 = 5, null, semantic_token), 'has_value', has_value,
             'bounding_box', if(payload_id % 17 = 6, null, named_struct('x', x, 'y', y, 'w', w, 'h', h)),
@@ -422,6 +433,7 @@ def _payloads(spark, sf_dir) -> DataFrame:
         "'element_id', e.element_id, 'sensitivity_tier', e.sensitivity_tier, 'semantic_token', e.semantic_token,"
         " 'bounding_box', if(payload_id % 9 = 4 and e.seq % 3 = 0, null, named_struct('x', e.bounding_box.x, 'y', e.bounding_box.y,"
         " 'w', if(payload_id % 9 = 5, null, e.bounding_box.w), 'h', e.bounding_box.h)))) as redacted_regions",
+        "named_struct('otp_hint', case payload_id % 4 when 0 then els[0].semantic_token when 1 then '[PASSWORD_a83f]' when 2 then '' end) as extra",
     )
 
 
@@ -555,3 +567,374 @@ def purged_vault(spark, sf_dir):
     expired = table(spark, sf_dir, "nation").selectExpr("concat('src', n_nationkey) as session_id").where("session_id like 'src1%'")
     return U.purge_vault(_vault(spark, sf_dir), ended.where("session_id like 'cust2%'").unionAll(expired)).select(
         "session_id", "token")
+
+
+# --- channels --------------------------------------------------------------------------
+
+
+def _dom_boxes(spark, sf_dir) -> DataFrame:
+    """Boxes of the elements on the first four lines of an order."""
+    return derived.raw_elements(spark, sf_dir).where("seq < 500000000").select("payload_id", "seq", E.box().alias("box"))
+
+
+def _vision(spark, sf_dir) -> DataFrame:
+    return derived.vision_boxes(spark, sf_dir).withColumn("box", E.box())
+
+
+@query
+def box_iou(spark, sf_dir):
+    page = derived.raw_elements(spark, sf_dir).select("payload_id", "seq", E.box().alias("a"))
+    seen = _vision(spark, sf_dir).select("payload_id", "seq", F.col("box").alias("b"))
+    return page.join(seen, ["payload_id", "seq"]).select("payload_id", "seq", F.expr(G.iou_sql("a", "b")).alias("iou"))
+
+
+@query
+def channel_mismatches(spark, sf_dir):
+    return J.channel_mismatches(_elements(spark, sf_dir), derived.regions(spark, sf_dir))
+
+
+@query
+def channel_verdicts(spark, sf_dir):
+    found = J.channel_mismatches(_elements(spark, sf_dir), derived.regions(spark, sf_dir), ignore_vision_only=True)
+    return J.channel_verdicts(table(spark, sf_dir, "orders").selectExpr("o_orderkey as payload_id"), found)
+
+
+@query
+def channel_differences(spark, sf_dir):
+    found = J.channel_mismatches(_elements(spark, sf_dir), derived.regions(spark, sf_dir), ignore_vision_only=True)
+    return found.groupBy("issue").agg(F.count("*").alias("n_ids"))
+
+
+@query
+def region_matches(spark, sf_dir):
+    return J.match_regions(_dom_boxes(spark, sf_dir), _vision(spark, sf_dir)).where("match_source = 'dom'").select(
+        "payload_id", "seq", F.col("match_seq").alias("dom_seq"))
+
+
+@query
+def vision_collapse(spark, sf_dir):
+    rows = J.match_regions(_dom_boxes(spark, sf_dir), _vision(spark, sf_dir))
+    return rows.where("match_source is null or match_source = 'vision'").select(
+        "payload_id", "seq", F.expr("match_seq is null").alias("added"), F.col("match_seq").alias("vision_seq"))
+
+
+@query
+def channel_union(spark, sf_dir):
+    return J.merge_channels(_dom_boxes(spark, sf_dir), _vision(spark, sf_dir)).select(
+        "payload_id", "source", "seq", "box.x", "box.y", "box.w", "box.h", "vision_confirmed")
+
+
+def _fused(spark, sf_dir) -> DataFrame:
+    boxes = _vision(spark, sf_dir)
+    return J.fused_regions(
+        _elements(spark, sf_dir).where("seq < 500000000"), boxes.where("text is null"), boxes.where("text is not null"))
+
+
+@query
+def fused_regions(spark, sf_dir):
+    return _fused(spark, sf_dir).select(
+        "payload_id", "element_id", "sensitivity_type", "sensitivity_tier", "detection_source", "reason", "confidence",
+        "vision_confirmed")
+
+
+@query
+def redaction_rects(spark, sf_dir):
+    rows = _fused(spark, sf_dir).withColumn("render", F.expr("if(source = 'dom', 'pill', 'box')"))
+    return J.redaction_rects(rows).select("payload_id", "element_id", "draw_x", "draw_y", "draw_w", "draw_h", "fully_covers")
+
+
+# --- audit -----------------------------------------------------------------------------
+
+
+@query
+def string_leaves(spark, sf_dir):
+    return A.string_leaves(_payloads(spark, sf_dir), ["payload_id"])
+
+
+@query
+def redaction_coverage(spark, sf_dir):
+    return A.redaction_coverage(_payloads(spark, sf_dir))
+
+
+def _violations(spark, sf_dir) -> DataFrame:
+    return A.audit_violations(_payloads(spark, sf_dir), _element_vault(spark, sf_dir))
+
+
+@query
+def audit_violations(spark, sf_dir):
+    return _violations(spark, sf_dir)
+
+
+@query
+def audit_violations_strict(spark, sf_dir):
+    """With the narrow token shape, issued tokens under a sensitive key are reported too."""
+    found = A.audit_violations(_payloads(spark, sf_dir), _element_vault(spark, sf_dir), strict_reference=True)
+    return found.groupBy("matched_type").agg(F.count("*").alias("n_violations"))
+
+
+@query
+def audit_verdicts(spark, sf_dir):
+    return A.audit_verdicts(table(spark, sf_dir, "orders").selectExpr("o_orderkey as payload_id"), _violations(spark, sf_dir))
+
+
+@query
+def send_gate(spark, sf_dir):
+    payloads = _payloads(spark, sf_dir)
+    mismatches = J.channel_mismatches(_elements(spark, sf_dir), derived.regions(spark, sf_dir), ignore_vision_only=True)
+    clean, held = A.send_gate(payloads, _violations(spark, sf_dir), mismatches)
+    return clean.select("payload_id", F.lit("send").alias("gate")).unionAll(held.select("payload_id", F.lit("hold").alias("gate")))
+
+
+@query
+def raw_value_leaks(spark, sf_dir):
+    sensitive = _elements(spark, sf_dir).where("sensitivity_tier in (1, 2)")
+    raw = sensitive.select("payload_id", F.explode(F.expr("concat(array(raw_value), transform(spans, s -> s.match))")).alias("raw_value"))
+    return A.raw_value_leaks(A.string_leaves(_payloads(spark, sf_dir), ["payload_id"]), raw.where("raw_value is not null"))
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    return derived.actions(spark, sf_dir).selectExpr(
+        "concat('s', payload_id) as session_id", "cast(action_seq % 20 as int) as step_number", "reasoning_short as instruction",
+        "named_struct('type', type, 'target_element_id', target_element_id, 'value', value, 'risk_tier', risk_tier) as action",
+        "0.9D as confidence", "array(named_struct('element_id', target_element_id, 'confidence', 0.92D, 'method', 'dom_heuristic')) as payload_notes")
+
+
+@query
+def audit_records(spark, sf_dir):
+    return A.audit_records(_decisions(spark, sf_dir)).select(
+        "session_id", "step_number", "instruction_hash", "action.type", "action.target_element_id", "action.value",
+        "action.risk_tier", "confidence")
+
+
+@query
+def region_rollup(spark, sf_dir):
+    return A.region_rollup(_fused(spark, sf_dir))
+
+
+@query
+def latency_rollup(spark, sf_dir):
+    metrics = table(spark, sf_dir, "events").selectExpr("event_type as name", "value as duration_ms")
+    return A.latency_rollup(metrics)
+
+
+@query
+def newest_steps(spark, sf_dir):
+    """The dashboard's top of the list: the 50 newest steps."""
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type").orderBy(
+        F.desc("ts"), F.desc("event_id")).limit(50)
+
+
+@query
+def ordered_spans(spark, sf_dir):
+    """Spans in splice order, last first, after overlaps are resolved."""
+    rows = D.computed_once(derived.texts(spark, sf_dir), {"spans": f"reverse({D.resolved_spans_sql(D.spans_sql('text'))})"})
+    return rows.select("doc_id", F.posexplode("spans").alias("pos", "s")).select("doc_id", "pos", "s.type", "s.start_idx", "s.end_idx")
+
+
+# --- snapshots and origins ---------------------------------------------------------------
+
+
+@query
+def relinked_elements(spark, sf_dir):
+    page = E.classify_dom(derived.raw_elements(spark, sf_dir)).selectExpr("payload_id", "element_id", "seq", "tag", "label_text as label")
+    after = page.where("seq % 13 <> 0").selectExpr(
+        "payload_id", "case seq % 5 when 0 then concat('new-', element_id) else element_id end as element_id",
+        "if(seq % 7 = 0, 'span', tag) as tag", "if(seq % 7 < 2, concat(label, ' 2'), upper(label)) as label")
+    return R.relink(page.drop("seq"), after)
+
+
+def _by_origin(spark, sf_dir) -> DataFrame:
+    return _elements(spark, sf_dir).withColumn("origin", F.expr("concat('https://shop', payload_id % 25, '.example.com')"))
+
+
+def _confirmed(spark, sf_dir) -> DataFrame:
+    approved = derived.actions(spark, sf_dir).where("risk_tier = 'risky' and payload_id % 3 = 0").selectExpr(
+        "concat('https://shop', payload_id % 25, '.example.com') as origin", "payload_id", "target_element_id")
+    return R.confirmed_labels(approved, _elements(spark, sf_dir))
+
+
+@query
+def confirmed_labels(spark, sf_dir):
+    return _confirmed(spark, sf_dir)
+
+
+@query
+def origin_profiles(spark, sf_dir):
+    return R.origin_profiles(_confirmed(spark, sf_dir)).select("origin", F.array_join("labels", "|").alias("labels"))
+
+
+@query
+def origin_boost(spark, sf_dir):
+    return R.origin_boost(_by_origin(spark, sf_dir), _confirmed(spark, sf_dir)).select(
+        "payload_id", "seq", "confidence", "origin_confirmed", "sensitivity_tier")
+
+
+# --- sources and sinks -------------------------------------------------------------------
+
+
+def _stored_payloads(spark, sf_dir) -> DataFrame:
+    """Payload documents written as JSON lines and read back by the source."""
+    path = shared_folder(spark, "payloads")
+    _payloads(spark, sf_dir).drop("extra").write.json(path)
+    return sources_payloads.read_payloads(spark, path)
+
+
+@query
+def payload_elements(spark, sf_dir):
+    tables = sources_payloads.payload_tables(_stored_payloads(spark, sf_dir))
+    return tables["elements"].select(
+        "payload_id", "pos", "element_id", "tag", "role", "is_sensitive", "semantic_token", "has_value",
+        F.expr("bounding_box.x as x"), F.expr("bounding_box.h as h"))
+
+
+@query
+def payload_regions(spark, sf_dir):
+    tables = sources_payloads.payload_tables(_stored_payloads(spark, sf_dir))
+    return tables["regions"].select("payload_id", "pos", "element_id", "semantic_token")
+
+
+@query
+def audit_log(spark, sf_dir):
+    """Audit records appended to the log in two batches and read back."""
+    path = shared_folder(spark, "audit")
+    records = A.audit_records(_decisions(spark, sf_dir))
+    audit_sources.append_audit(records.where("step_number % 2 = 0"), path)
+    audit_sources.append_audit(records.where("step_number % 2 = 1"), path)
+    return audit_sources.read_audit(spark, path).groupBy("step_number", "action.type", "action.value").agg(
+        F.count("*").alias("n_events"), F.count_distinct("instruction_hash").alias("n_instructions"))
+
+
+@query
+def audit_step_metrics(spark, sf_dir):
+    """Dashboard step records written as JSON, read back, and taken apart into measures."""
+    path = shared_folder(spark, "steps")
+    table(spark, sf_dir, "events").selectExpr(
+        "concat('s', user_id) as sessionId", "cast(event_id as int) as stepNumber", "unix_millis(cast(ts as timestamp)) as timestamp",
+        "array(named_struct('name', 'agent:step:total', 'durationMs', value), named_struct('name', 'agent:step:vision-total', 'durationMs', value / 2)) as metrics",
+        "array(named_struct('element_id', 'el', 'detection_source', if(event_id % 3 = 0, null, 'ocr_regex'))) as redactedRegions",
+    ).write.json(path)
+    steps = audit_sources.read_steps(spark, path)
+    sources = audit_sources.step_regions(steps).groupBy("session_id").agg(
+        F.count_if(F.col("detection_source") == "dom_heuristic").alias("n_dom"))
+    metrics = audit_sources.step_metrics(steps).groupBy("session_id", "name").agg(
+        F.count("*").alias("n"), F.max("duration_ms").alias("max_ms"))
+    return metrics.join(sources, "session_id")
+
+
+@query
+def ocr_lines(spark, sf_dir):
+    return vision_sources.ocr_lines(derived.ocr_pages(spark, sf_dir)).select(
+        "payload_id", "seq", "pos", "text", "box.x", "box.y", "box.w", "box.h", "confidence")
+
+
+@query
+def face_rows(spark, sf_dir):
+    return vision_sources.face_rows(table(spark, sf_dir, "lineitem").selectExpr(*derived.FACES)).select(
+        "payload_id", "seq", "box.x", "box.y", "box.w", "box.h", "confidence")
+
+
+@query
+def html_elements(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").selectExpr(*derived.FORM_PAGES)
+    return E.classify_elements(html_sources.html_elements(pages)).select(
+        "payload_id", "seq", "element_id", "tag", "label_text", "raw_value", "sensitivity_type")
+
+
+@query
+def page_failures(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").selectExpr(*derived.NOTICE_PAGES)
+    return html_sources.page_failures(pages).select("page_id", "verified", "failure_reason")
+
+
+@query
+def normalised_responses(spark, sf_dir):
+    raw = table(spark, sf_dir, "customer").selectExpr(*derived.RESPONSES)
+    return sources_payloads.normalise_responses(raw).drop("raw_response")
+
+
+# --- streams -----------------------------------------------------------------------------
+
+
+def _finish(started, spark, folder: str, schema: str) -> DataFrame:
+    started.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{folder}/rows").drop("epoch")
+
+
+@query
+def streamed_redaction(spark, sf_dir):
+    folder = shared_folder(spark, "redaction")
+    docs = derived.table_stream(spark, sf_dir, "documents").selectExpr("doc_id", "source as session_id", "text")
+    rows = _finish(jobs.stream_redaction(docs, KEY, folder), spark, folder,
+                   "doc_id bigint, redacted_text string, n_redacted int, residual int, outcome string")
+    return rows.select("doc_id", F.sha2("redacted_text", 256).alias("redacted_sha"), "n_redacted", "outcome")
+
+
+@query
+def streamed_rate_limit(spark, sf_dir):
+    folder = shared_folder(spark, "rate")
+    asked = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.REQUESTS)
+    return _finish(jobs.stream_rate_limit(asked, "client", "at_us", folder, order=("event_id",), slice_width=300_000_000), spark, folder,
+                   "event_id bigint, client string, at_us bigint, window_start bigint, request_no bigint, allowed boolean")
+
+
+@query
+def streamed_steps(spark, sf_dir):
+    folder = shared_folder(spark, "steps")
+    arriving = derived.table_stream(spark, sf_dir, "conversations").selectExpr(*derived.STEPS)
+    return _finish(jobs.stream_steps(arriving, folder, block=4), spark, folder,
+                   "session_id bigint, arrival bigint, step_number int, accepted boolean, expected_step int")
+
+
+@query
+def streamed_frames(spark, sf_dir):
+    folder = shared_folder(spark, "frames")
+    arriving = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.FRAMES)
+    return _finish(jobs.stream_frames(arriving, folder, order=("event_id",)), spark, folder,
+                   "event_id bigint, session_id bigint, skipped boolean")
+
+
+@query
+def streamed_sessions(spark, sf_dir):
+    """Vaults that expired within the log; those still open at its end stay in state."""
+    folder = shared_folder(spark, "sessions")
+    arriving = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.ACCESSES).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _finish(jobs.stream_sessions(arriving, folder), spark, folder,
+                   "session_id bigint, opened timestamp, last_access timestamp, n_accesses bigint").withColumns({
+                       "opened": F.col("opened").cast("timestamp_ntz"), "last_access": F.col("last_access").cast("timestamp_ntz")})
+
+
+@query
+def streamed_audit(spark, sf_dir):
+    folder = shared_folder(spark, "audit-stream")
+    decided = derived.table_stream(spark, sf_dir, "events").selectExpr(
+        "concat('s', user_id) as session_id", "cast(event_id as int) as step_number", "event_type as instruction",
+        "named_struct('type', 'type', 'value', props) as action", "0.9D as confidence", "cast(null as string) as payload_notes")
+    jobs.stream_audit(A.audit_records(decided), folder).awaitTermination()
+    return spark.read.schema("session_id string, step_number int, instruction_hash string, action struct<value:string>").json(
+        f"{folder}/rows").select("session_id", "step_number", "instruction_hash", "action.value")
+
+
+# --- SQL functions and detectors -----------------------------------------------------------
+
+
+@query
+def named_detectors(spark, sf_dir):
+    """Two built-in detectors and one more pattern on the same texts."""
+    registry.register_pattern("order_no", "ORDER_NO", r"(?<![A-Za-z0-9])[A-Z]{4}0[0-9]{6}(?![0-9])")
+    return registry.detect_all(derived.texts(spark, sf_dir), ["EMAIL", "IFSC", "order_no"]).groupBy("detector", "type").agg(
+        F.count("*").alias("n_spans"))
+
+
+@query
+def sql_functions(spark, sf_dir):
+    registry.register_sql_functions(spark)
+    derived.texts(spark, sf_dir).createOrReplaceTempView("veilgrid_texts")
+    return spark.sql("""SELECT t.session_id, m.type, sensitivity_tier(m.type) AS tier, count(*) AS n_spans
+        FROM veilgrid_texts t, LATERAL pii_matches(t.text) m GROUP BY t.session_id, m.type""")
+
+
+@query
+def tier_2_switch(spark, sf_dir):
+    """Painted regions per tier with tier 2 redaction switched off."""
+    rows = _fused(spark, sf_dir).withColumn("render", F.expr("if(source = 'dom', 'pill', 'box')"))
+    return J.redaction_rects(rows, redact_tier_2=False).groupBy("sensitivity_tier").agg(F.count("*").alias("n_painted"))

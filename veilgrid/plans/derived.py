@@ -199,12 +199,80 @@ def events(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(*columns)
 
 
+# Requests per client: the event log played 1000 times faster, one client per event type.
+REQUESTS = [
+    "event_id", "event_type as client",
+    "cast(floor(unix_micros(cast(ts as timestamp)) / 1000) as bigint) as at_us",
+]
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests per client: the event log played 1000 times faster, one client per event type."""
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id", "event_type as client", "cast(floor(unix_micros(cast(ts as timestamp)) / 1000) as bigint) as at_us")
+    return events(spark, sf_dir, REQUESTS)
 
 
 REQUESTS_SQL = (
     "SELECT event_id, event_type AS client, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS at_us FROM events"
 )
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+# Pages with a form or a failure notice at their end.
+FORM_PAGES = [
+    "page_id",
+    """concat(html, CASE CAST(page_id % 4 AS INT)
+        WHEN 0 THEN concat('<form><label for="em', page_id, '">Email address</label><input id="em', page_id, '" type="email" value="user', page_id,
+            '@example.com"><label>Password <input type="password" id="pw', page_id, '"></label></form>')
+        WHEN 1 THEN concat('<div>Card number <input id="cc', page_id, '" autocomplete="cc-number" value="4111 1111 1111 1111"></div><button id="b', page_id,
+            '" aria-label="Delete Account Permanently">Continue</button>')
+        WHEN 2 THEN concat('<textarea id="t', page_id, '" placeholder="Mobile">9', lpad(concat(page_id, ''), 9, '0'),
+            '</textarea><select id="s', page_id, '" aria-label="Total price"><option value="5">Five</option><option value="7" selected>Seven</option></select>')
+        ELSE '' END) AS html""",
+]
+NOTICE_PAGES = [
+    "page_id",
+    """concat(html, CASE CAST(page_id % 6 AS INT) WHEN 0 THEN '<p>Login <b>failed</b>: Access Denied</p>' WHEN 1 THEN '<div role="alert"></div>'
+        WHEN 2 THEN '<span class="note error big"></span>' WHEN 3 THEN '<input aria-invalid="true">' WHEN 4 THEN '<i class="noerror"></i>' ELSE '' END) AS html""",
+]
+# Raw model output in all its shapes, one per customer.
+RESPONSES = [
+    "c_custkey",
+    """CASE CAST(c_custkey % 11 AS INT)
+        WHEN 0 THEN concat('{"type":"click","target_element_id":"el-', c_custkey, '","risk_tier":"safe","reasoning_short":"go"}')
+        WHEN 1 THEN concat('[{"type":"type","target_element_id":"el-', c_custkey, '","value":"hello","risk_tier":"risky"}]')
+        WHEN 2 THEN concat('{"actions":[{"type":"scroll","target_element_id":"el-', c_custkey, '"},{"type":"wait"}]}')
+        WHEN 3 THEN concat('{"action":{"type":"wait","value":"', c_custkey, '"},"result":{"type":"click"}}')
+        WHEN 4 THEN '{"response":"done","type":"task_complete"}'
+        WHEN 5 THEN '{"result":[],"type":"task_failed"}'
+        WHEN 6 THEN '[]' WHEN 7 THEN '"click"' WHEN 8 THEN '{broken' WHEN 9 THEN ''
+        ELSE '{"actions":null,"action":{"type":"click"},"type":"wait"}' END AS raw_response""",
+]
+# Recognised text of a screen: two blocks with nested lines, one row per line item.
+OCR_PAGES = [
+    "l_orderkey AS payload_id", "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq",
+    "l_quantity", "l_discount", "l_suppkey", "l_partkey",
+]
+
+
+def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = "named_struct('text', {}, 'bbox', named_struct('x0', {}, 'y0', {}, 'x1', {}, 'y1', {}), 'confidence', {})"
+    first = line.format("concat(' Card ', l_suppkey, ' ')", "l_quantity - 10.5", "l_discount * 100", "l_quantity + 40.4", "l_discount * 100 + 12", "cast(l_suppkey % 100 as double)")
+    second = line.format("if(l_partkey % 3 = 0, '   ', 'Total due')", "1D", "2D", "0.2D", "9.5D", "cast(null as double)")
+    third = line.format("if(l_partkey % 5 = 0, null, 'Welcome')", "l_quantity", "l_quantity", "l_quantity * 2", "l_quantity + 0.5D", "50D")
+    blocks = (
+        f"array(named_struct('paragraphs', array(named_struct('lines', array({first}, {second})))),"
+        f" named_struct('paragraphs', array(named_struct('lines', array({third})))))"
+    )
+    rows = table(spark, sf_dir, "lineitem").selectExpr(*OCR_PAGES)
+    return rows.selectExpr("payload_id", "seq", f"{blocks} as blocks")
+
+
+FACES = [
+    "l_orderkey AS payload_id", "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq",
+    "l_quantity - 20.5 AS origin_x", "l_discount * 1000 - 30 AS origin_y", "l_quantity - 3.6 AS width",
+    "CAST(l_suppkey % 4 AS DOUBLE) / 4 AS height", "CASE WHEN l_suppkey % 5 <> 0 THEN CAST(l_suppkey % 100 AS DOUBLE) / 100 END AS score",
+]
