@@ -41,26 +41,15 @@ def string_leaves(df: DataFrame, key: list[str]) -> DataFrame:
     return df.selectExpr(*key, f"inline(concat({', '.join(parts)}))")
 
 
-def issued_leaves(leaves: DataFrame, vault: DataFrame, strict_reference: bool = False) -> DataFrame:
-    """Leaves with ``is_issued``: a token of the right shape that a live vault gave out.
-
-    Only token-shaped leaves are joined; all other text stays where it is.
-    """
-    shape = K.is_audit_token_sql("value", strict_reference)
-    plain = F.col("value") if strict_reference else F.expr(K.plain_token_sql("value"))
-    tokens = vault.select(F.col("token").alias("_plain")).distinct().withColumn("_known", F.lit(True))
-    shaped = leaves.where(shape).withColumn("_plain", plain).join(tokens, "_plain", "left")
-    return shaped.withColumn("is_issued", F.expr("_known is not null")).drop("_plain", "_known").unionByName(
-        leaves.where(f"not {shape}").withColumn("is_issued", F.lit(False)))
+REQUIRED = (
+    "coalesce(size(filter(dom_summary.elements, e -> e.is_sensitive and e.sensitivity_tier in (1, 2))), 0)"
+)
 
 
 def redaction_coverage(payloads: DataFrame) -> DataFrame:
     """Sensitive tier 1 and 2 elements against regions, per payload."""
-    required = (
-        "coalesce(size(filter(dom_summary.elements, e -> e.is_sensitive and e.sensitivity_tier in (1, 2))), 0)"
-    )
     return payloads.select(
-        "payload_id", F.expr(required).alias("n_required"),
+        "payload_id", F.expr(REQUIRED).alias("n_required"),
         F.expr("coalesce(size(redacted_regions), 0)").alias("n_regions"),
     ).withColumn("redaction_missing", F.expr("n_required > 0 and n_regions < n_required"))
 
@@ -78,38 +67,44 @@ def payload_violations(payloads: DataFrame) -> DataFrame:
     missing = _violation(
         "'redacted_regions'", "redacted_regions count does not cover all tier 1/2 sensitive elements", "'REDACTION_MISSING'")
     bad = _violation("concat('redacted_regions[', i, ']')", "Invalid bounding_box in redacted_regions", "'INVALID_BOUNDING_BOX'")
-    covered = redaction_coverage(payloads.where(f"{image} is not null")).select("payload_id", "redaction_missing")
-    rows = payloads.where(f"{image} is not null").select(
-        "payload_id", F.expr(f"""concat(
-            if(length({image}) < {V.MIN_IMAGE}, array({short}), array()),
-            array_compact(transform(coalesce(redacted_regions, array()), (r, i) -> if({invalid}, {bad}, null))))""").alias("_v"))
-    return rows.select("payload_id", F.expr("inline(_v)")).unionByName(
-        covered.where("redaction_missing").select("payload_id", F.expr(f"inline(array({missing}))")))
+    return payloads.where(f"{image} is not null").select("payload_id", F.expr(f"""inline(concat(
+        if(length({image}) < {V.MIN_IMAGE}, array({short}), array()),
+        if({REQUIRED} > 0 and {REQUIRED} > coalesce(size(redacted_regions), 0), array({missing}), array()),
+        array_compact(transform(coalesce(redacted_regions, array()), (r, i) -> if({invalid}, {bad}, null)))))"""))
 
 
-def leaf_violations(leaves: DataFrame, detector: Column | None = None) -> DataFrame:
+def leaf_violations(
+    leaves: DataFrame, vault: DataFrame, strict_reference: bool = False, detector: Column | None = None
+) -> DataFrame:
     """Personal data outside tokens, and unredacted text under a sensitive key.
 
-    ``leaves`` has payload_id, path, value, is_issued. ``detector`` may replace the built-in
+    A leaf that is a token given out by a live vault is fine. Findings come first, row by
+    row, and only they meet the vault: a finding that is no token gets a key of its own, so
+    it matches nothing and does not gather on null. ``detector`` may replace the built-in
     one; it yields an array of structs with a ``type`` field from the column ``value``.
     """
-    live = leaves.where(f"not is_issued and path <> '{IMAGE_PATH}'")
     spans = detector if detector is not None else D.detect("value")
-    found = live.select("payload_id", "path", F.explode_outer(F.transform(spans, lambda s: s["type"])).alias("matched_type"))
-    pii = found.where("matched_type is not null").select(
-        "payload_id", "path", F.lit("raw PII value found outside semantic token").alias("reason"), "matched_type")
-    keys = live.where(f"value <> '' and rlike(lower(path), '{'|'.join(V.SENSITIVE_KEY_WORDS)}')").select(
-        "payload_id", "path", F.lit("unredacted password or secret string found in sensitive field").alias("reason"),
-        F.lit("PASSWORD").alias("matched_type"))
-    return pii.unionByName(keys)
+    pii = "raw PII value found outside semantic token"
+    secret = "unredacted password or secret string found in sensitive field"
+    keys = F.expr(
+        f"if(value <> '' and rlike(lower(path), '{'|'.join(V.SENSITIVE_KEY_WORDS)}'),"
+        f" array(named_struct('reason', '{secret}', 'matched_type', 'PASSWORD')), array())")
+    hits = F.transform(spans, lambda s: F.struct(F.lit(pii).alias("reason"), s["type"].alias("matched_type")))
+    found = leaves.where(f"path <> '{IMAGE_PATH}'").select(
+        "payload_id", "path", "value", F.explode_outer(F.concat(hits, keys)).alias("_v")).where("_v.reason is not null")
+    plain = "value" if strict_reference else K.plain_token_sql("value")
+    keyed = found.withColumn("_token", F.expr(
+        f"if({K.is_audit_token_sql('value', strict_reference)}, {plain}, concat('~', payload_id, '~', path))"))
+    return keyed.join(vault.select(F.col("token").alias("_token")), "_token", "left_anti").select(
+        "payload_id", "path", "_v.reason", "_v.matched_type")
 
 
 def audit_violations(
     payloads: DataFrame, vault: DataFrame, strict_reference: bool = False, detector: Column | None = None
 ) -> DataFrame:
     """All violations of all payloads: ``payload_id, path, reason, matched_type``."""
-    leaves = issued_leaves(string_leaves(payloads, ["payload_id"]), vault, strict_reference)
-    return payload_violations(payloads).unionByName(leaf_violations(leaves, detector))
+    leaves = string_leaves(payloads, ["payload_id"])
+    return payload_violations(payloads).unionByName(leaf_violations(leaves, vault, strict_reference, detector))
 
 
 def audit_verdicts(payloads: DataFrame, violations: DataFrame) -> DataFrame:

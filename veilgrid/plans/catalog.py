@@ -25,7 +25,7 @@ from veilgrid.operators import validate as W
 from veilgrid.operators import vault as U
 from veilgrid.plans import derived
 from veilgrid.plans.derived import table
-from veilgrid.session import shared_folder
+from veilgrid.session import cut_lineage, shared_folder
 from veilgrid.sources import audit_log as audit_sources
 from veilgrid.sources import html as html_sources
 from veilgrid.sources import payloads as sources_payloads
@@ -62,15 +62,14 @@ def pii_spans(spark, sf_dir):
 
 @query
 def top_pii_type(spark, sf_dir):
-    rows = derived.texts(spark, sf_dir).select("doc_id", D.detect("text").alias("spans"))
+    rows = D.computed_once(derived.texts(spark, sf_dir), {"spans": D.spans_sql("text")})
     return rows.select("doc_id", D.top_type("spans").alias("top_type")).where("top_type is not null")
 
 
 @query
 def value_guard(spark, sf_dir):
-    return derived.texts(spark, sf_dir).select("doc_id", D.value_guard("text").alias("violated_type")).where(
-        "violated_type is not null"
-    )
+    rows = D.computed_once(derived.texts(spark, sf_dir), {"violated_type": D.value_guard_sql("text")})
+    return rows.where("violated_type is not null").select("doc_id", "violated_type")
 
 
 @query
@@ -407,6 +406,11 @@ def sensitive_without_token(spark, sf_dir):
 
 
 def _payloads(spark, sf_dir) -> DataFrame:
+    """Payload documents as a table of their own, the way an audit finds them."""
+    return cut_lineage(_made_payloads(spark, sf_dir), "payloads")
+
+
+def _made_payloads(spark, sf_dir) -> DataFrame:
     """Payload documents, one per order, with some broken in known ways."""
     elements = _tokenized(spark, sf_dir).groupBy("payload_id").agg(F.sort_array(F.collect_list(F.expr(
         """named_struct('seq', seq, 'element_id', element_id, 'tag', tag, 'role', role,
@@ -620,7 +624,7 @@ def vision_collapse(spark, sf_dir):
 
 @query
 def channel_union(spark, sf_dir):
-    return J.merge_channels(_dom_boxes(spark, sf_dir), _vision(spark, sf_dir)).select(
+    return J.merge_channels(_dom_boxes(spark, sf_dir), _vision(spark, sf_dir).select("payload_id", "seq", "box")).select(
         "payload_id", "source", "seq", "box.x", "box.y", "box.w", "box.h", "vision_confirmed")
 
 
@@ -775,7 +779,7 @@ def origin_boost(spark, sf_dir):
 def _stored_payloads(spark, sf_dir) -> DataFrame:
     """Payload documents written as JSON lines and read back by the source."""
     path = shared_folder(spark, "payloads")
-    _payloads(spark, sf_dir).drop("extra").write.json(path)
+    _made_payloads(spark, sf_dir).drop("extra").write.json(path)
     return sources_payloads.read_payloads(spark, path)
 
 

@@ -8,9 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilgrid.session import spread
+
+HEAVY = ("documents", "orders", "lineitem", "pages")  # inputs of detection and classification
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in HEAVY else rows
 
 
 def _pad(expr: str, width: int) -> str:
