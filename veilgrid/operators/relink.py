@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def relink(before: DataFrame, after: DataFrame) -> DataFrame:
+def relink(before: DataFrame, after: DataFrame, order: str = "seq") -> DataFrame:
     """Find each perceived element again: ``resolved_id`` and ``reindexed``.
 
-    ``before`` and ``after``: payload_id, element_id, tag, label. A direct hit holds unless
+    ``before`` and ``after``: payload_id, element_id, tag, label; ``after`` also has its
+    document ``order``, by which the first of several equal ids is the direct hit. A direct hit holds unless
     both tag and label differ; then, or without a hit, a unique element with the wanted tag
     and label does. No match and several matches stay unresolved.
     """
@@ -18,9 +19,8 @@ def relink(before: DataFrame, after: DataFrame) -> DataFrame:
             "_tag": F.lower(F.coalesce("tag", F.lit(""))), "_label": F.lower(F.trim(F.coalesce("label", F.lit(""))))})
 
     wanted, current = norm(before), norm(after)
-    direct = current.select(
-        "payload_id", "element_id", F.col("_tag").alias("_tag2"), F.col("_label").alias("_label2")
-    ).groupBy("payload_id", "element_id").agg(F.min(F.struct("_tag2", "_label2")).alias("_hit"))
+    seen = F.struct(F.col("_tag").alias("_tag2"), F.col("_label").alias("_label2"))
+    direct = current.groupBy("payload_id", "element_id").agg(F.min_by(seen, order).alias("_hit"))
     unique = current.groupBy("payload_id", "_tag", "_label").agg(
         F.min("element_id").alias("_other"), F.count("*").alias("_n")
     ).where("_n = 1 and _label <> ''").drop("_n")

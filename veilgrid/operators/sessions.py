@@ -94,20 +94,23 @@ def active_sessions(accesses: DataFrame, now: Column, ts: str = "ts", warn_at: i
     return live.agg(F.count("*").alias("n_active")).withColumn("warn", F.col("n_active") >= warn_at)
 
 
-def concurrency(epochs: DataFrame, ts: str = "ts", ttl: int = V.SESSION_TTL_SECONDS, warn_at: int = V.SESSION_WARNING) -> DataFrame:
+def concurrency(
+    epochs: DataFrame, ts: str = "ts", ttl: int = V.SESSION_TTL_SECONDS, warn_at: int = V.SESSION_WARNING,
+    unit: str = "minute",
+) -> DataFrame:
     """Live vaults after every opening and closing; a vault closes once its TTL has passed.
 
-    The total over time is summed per hour first, so only one row per hour of the log is
-    ordered in a single task.
+    The total over time is summed per ``unit`` first, so only one row per minute of the log
+    is ordered in a single task.
     """
     spans = epochs.groupBy("session_id", "vault_epoch").agg(F.min(ts).alias("opened"), F.max(ts).alias("last"))
     changes = spans.select("session_id", "vault_epoch", F.inline(F.array(
         F.struct(F.col("opened").alias("changed_at"), F.lit(0).alias("side"), F.lit(1).alias("change")),
         F.struct((F.col("last") + F.expr(f"interval {ttl} seconds")).alias("changed_at"), F.lit(1).alias("side"), F.lit(-1).alias("change")),
     )))
-    hourly = changes.withColumn("_bucket", F.date_trunc("hour", "changed_at")).withColumn("_all", F.lit(0))
+    sliced = changes.withColumn("_bucket", F.date_trunc(unit, "changed_at")).withColumn("_all", F.lit(0))
     total = running_sum_by_bucket(
-        hourly, ["_all"], "_bucket", ["changed_at", "side", "session_id", "vault_epoch"], "change", "active")
+        sliced, ["_all"], "_bucket", ["changed_at", "side", "session_id", "vault_epoch"], "change", "active")
     return total.withColumn("over_limit", F.expr(f"change = 1 and active > {warn_at}")).drop("_all", "_bucket", "side")
 
 
@@ -151,13 +154,24 @@ def audit_gaps(requests: DataFrame, audit: DataFrame) -> DataFrame:
     return both.where("n_requests <> n_events")
 
 
-def session_history(steps: DataFrame, order: str = "step_number") -> DataFrame:
-    """History text of each session from its accepted steps (at most ``MAX_STEPS`` in a task)."""
+def session_history(steps: DataFrame, order: str = "step_number", block: int = 1000) -> DataFrame:
+    """History text of each session from its accepted steps, put together block by block.
+
+    Lines meet in blocks of consecutive steps first, so a very long session is written by
+    many tasks and only its finished blocks come together.
+    """
     line = F.expr(
         "concat('Step ', step_number, ': Intended to \\'', instruction, '\\'. Executed action: ', action_type,"
         " ' on ', coalesce(target_element_id, 'None'), '\\n')"
     )
-    lines = steps.where("accepted").select("session_id", F.struct(F.col(order), line.alias("line")).alias("_l"))
-    told = lines.groupBy("session_id").agg(F.concat(F.lit(V.HISTORY_HEADER), F.array_join(
-        F.transform(F.sort_array(F.collect_list("_l")), lambda s: s["line"]), "")).alias("history"))
-    return steps.select("session_id").distinct().join(told, "session_id", "left").fillna(V.NO_HISTORY, ["history"])
+
+    def told(rows: DataFrame, key: list, order_by: Column, text: Column, name: str) -> DataFrame:
+        parts = F.transform(F.sort_array(F.collect_list(F.struct(order_by.alias("o"), text.alias("t")))), lambda s: s["t"])
+        return rows.groupBy(*key).agg(F.array_join(parts, "").alias(name))
+
+    lines = steps.where("accepted").withColumn("_block", F.floor(F.col(order) / block))
+    blocks = told(lines, ["session_id", "_block"], F.col(order), line, "_part")
+    texts = told(blocks, ["session_id"], F.col("_block"), F.col("_part"), "_text")
+    everyone = steps.groupBy("session_id").agg(F.lit(True).alias("_any"))
+    return everyone.join(texts, "session_id", "left").select(
+        "session_id", F.coalesce(F.concat(F.lit(V.HISTORY_HEADER), "_text"), F.lit(V.NO_HISTORY)).alias("history"))

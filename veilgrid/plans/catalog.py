@@ -380,7 +380,8 @@ def executability(spark, sf_dir):
 
 @query
 def hallucinated_targets(spark, sf_dir):
-    return P.hallucinated_targets(derived.actions(spark, sf_dir), _elements(spark, sf_dir)).select(
+    ids = derived.raw_elements(spark, sf_dir).select("payload_id", F.expr(C.element_id_sql("payload_id", "seq")).alias("element_id"))
+    return P.hallucinated_targets(derived.actions(spark, sf_dir), ids).select(
         "payload_id", "action_seq", "target_element_id")
 
 
@@ -578,7 +579,7 @@ def purged_vault(spark, sf_dir):
 
 def _dom_boxes(spark, sf_dir) -> DataFrame:
     """Boxes of the elements on the first four lines of an order."""
-    return derived.raw_elements(spark, sf_dir).where("seq < 500000000").select("payload_id", "seq", E.box().alias("box"))
+    return derived.raw_elements(spark, sf_dir).where("seq < 5000000000000").select("payload_id", "seq", E.box().alias("box"))
 
 
 def _vision(spark, sf_dir) -> DataFrame:
@@ -631,7 +632,7 @@ def channel_union(spark, sf_dir):
 def _fused(spark, sf_dir) -> DataFrame:
     boxes = _vision(spark, sf_dir)
     return J.fused_regions(
-        _elements(spark, sf_dir).where("seq < 500000000"), boxes.where("text is null"), boxes.where("text is not null"))
+        _elements(spark, sf_dir).where("seq < 5000000000000"), boxes.where("text is null"), boxes.where("text is not null"))
 
 
 @query
@@ -742,7 +743,7 @@ def ordered_spans(spark, sf_dir):
 def relinked_elements(spark, sf_dir):
     page = E.classify_dom(derived.raw_elements(spark, sf_dir)).selectExpr("payload_id", "element_id", "seq", "tag", "label_text as label")
     after = page.where("seq % 13 <> 0").selectExpr(
-        "payload_id", "case seq % 5 when 0 then concat('new-', element_id) else element_id end as element_id",
+        "payload_id", "seq", "case seq % 5 when 0 then concat('new-', element_id) else element_id end as element_id",
         "if(seq % 7 = 0, 'span', tag) as tag", "if(seq % 7 < 2, concat(label, ' 2'), upper(label)) as label")
     return R.relink(page.drop("seq"), after)
 

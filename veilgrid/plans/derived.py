@@ -69,7 +69,7 @@ _BOX = [
 # Page elements before classification, one per line item; a payload is an order.
 RAW_ELEMENTS = [
     "l_orderkey AS payload_id",
-    "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq",
+    "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq",
     "CASE WHEN l_suppkey % 4 = 3 THEN ' ' ELSE concat('el-', l_linenumber, '-', l_partkey, '-', l_suppkey) END AS dom_id",
     "CASE WHEN l_suppkey % 8 = 3 THEN concat('x-', l_linenumber, '-', l_partkey, '-', l_suppkey) END AS ext_id",
     f"CASE {_KIND} WHEN 6 THEN 'BUTTON' WHEN 7 THEN 'div' WHEN 9 THEN 'select' WHEN 11 THEN 'a' WHEN 13 THEN 'textarea' ELSE 'input' END AS tag",
@@ -103,7 +103,7 @@ REGIONS_WHERE = "l_linenumber % 5 <> 0"
 # What the vision channel saw: shifted copies of the boxes on odd lines.
 VISION_BOXES = [
     "l_orderkey AS payload_id",
-    "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq",
+    "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq",
     "CAST((l_partkey % 40) * 20 + (l_suppkey % 7) * 12 AS INT) AS x",
     "CAST(l_linenumber * 30 + (l_suppkey % 3) * 4 AS INT) AS y",
     "CAST(60 + (l_suppkey % 5) * 40 AS INT) AS w",
@@ -117,7 +117,7 @@ VISION_WHERE = "l_linenumber % 2 = 1"
 # Agent actions, one per line item, on an element of the same order or on none.
 _ELEMENT = "concat('el-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
 ACTIONS = [
-    "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS action_seq",
+    "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS action_seq",
     "l_orderkey AS payload_id",
     f"CASE CAST(l_suppkey % 10 AS INT) WHEN 0 THEN concat('ghost-card-', l_partkey) WHEN 1 THEN CAST(NULL AS VARCHAR(9)) WHEN 2 THEN '' ELSE {_ELEMENT} END AS target_element_id",
     """CASE CAST(l_partkey % 9 AS INT) WHEN 0 THEN 'type' WHEN 1 THEN 'type' WHEN 2 THEN 'scroll' WHEN 3 THEN 'wait'
@@ -258,7 +258,7 @@ RESPONSES = [
 ]
 # Recognised text of a screen: two blocks with nested lines, one row per line item.
 OCR_PAGES = [
-    "l_orderkey AS payload_id", "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq",
+    "l_orderkey AS payload_id", "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq",
     "l_quantity", "l_discount", "l_suppkey", "l_partkey",
 ]
 
@@ -277,7 +277,7 @@ def ocr_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACES = [
-    "l_orderkey AS payload_id", "CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq",
+    "l_orderkey AS payload_id", "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq",
     "l_quantity - 20.5 AS origin_x", "l_discount * 1000 - 30 AS origin_y", "l_quantity - 3.6 AS width",
     "CAST(l_suppkey % 4 AS DOUBLE) / 4 AS height", "CASE WHEN l_suppkey % 5 <> 0 THEN CAST(l_suppkey % 100 AS DOUBLE) / 100 END AS score",
 ]

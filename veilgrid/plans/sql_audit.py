@@ -11,7 +11,7 @@ from veilgrid.plans.sql_text import (
 
 REGIONS = f"regions AS ({d.select_sql(d.REGIONS, 'lineitem', d.REGIONS_WHERE)})"
 VISION = f"vision AS MATERIALIZED ({d.select_sql(d.VISION_BOXES, 'lineitem', d.VISION_WHERE)})"
-DOM_BOXES = "doms AS MATERIALIZED (SELECT payload_id, seq, x, y, w, h FROM raw WHERE seq < 500000000)"
+DOM_BOXES = "doms AS MATERIALIZED (SELECT payload_id, seq, x, y, w, h FROM raw WHERE seq < 5000000000000)"
 
 
 def iou(a: str, b: str) -> str:
@@ -46,7 +46,7 @@ def matching(dom: str = "doms", seen: str = "vision") -> str:
 
 UNION = """confirmed AS (SELECT DISTINCT payload_id, 'dom' AS source, dom_seq AS seq FROM dom_hit
         UNION SELECT DISTINCT payload_id, 'vision', vision_seq FROM walk WHERE vision_seq IS NOT NULL)"""
-FUSED = f"""doms AS MATERIALIZED (SELECT *, method AS detection_source FROM el WHERE sensitivity_tier IN (1, 2) AND seq < 500000000),
+FUSED = f"""doms AS MATERIALIZED (SELECT *, method AS detection_source FROM el WHERE sensitivity_tier IN (1, 2) AND seq < 5000000000000),
     lines AS MATERIALIZED (SELECT * FROM vision WHERE text IS NOT NULL),
     {spans('lines', 'payload_id, seq', prefix='line_')},
     line_best AS (SELECT payload_id, seq, arg_min(type, (tier, ord, start_idx)) AS kind FROM line_spans GROUP BY ALL),
@@ -155,12 +155,13 @@ def audit_queries() -> dict[str, str]:
         "ordered_spans": with_(TEXTS, TEXT_SPANS, TEXT_KEPT, """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_idx DESC) - 1 AS INTEGER) AS pos,
             type, start_idx, end_idx FROM kept"""),
         "relinked_elements": with_(RAW, ELEMENTS, """before AS (SELECT payload_id, element_id, seq, tag, label_text AS label FROM dom),
-            after AS MATERIALIZED (SELECT payload_id, CASE seq % 5 WHEN 0 THEN 'new-' || element_id ELSE element_id END AS element_id, CASE WHEN seq % 7 = 0 THEN 'span' ELSE tag END AS tag,
+            after AS MATERIALIZED (SELECT payload_id, seq, CASE seq % 5 WHEN 0 THEN 'new-' || element_id ELSE element_id END AS element_id, CASE WHEN seq % 7 = 0 THEN 'span' ELSE tag END AS tag,
                 coalesce(lower(trim(CASE WHEN seq % 7 < 2 THEN label || ' 2' ELSE upper(label) END)), '') AS label FROM before WHERE seq % 13 <> 0),
+            direct AS (SELECT payload_id, element_id, arg_min(tag, seq) AS tag, arg_min(label, seq) AS label FROM after GROUP BY ALL),
             single AS (SELECT payload_id, tag, label, min(element_id) AS other FROM after WHERE label <> '' GROUP BY ALL HAVING count(*) = 1)""",
             """SELECT b.payload_id, b.element_id, CASE WHEN coalesce(a.tag = b.tag OR a.label = coalesce(lower(trim(b.label)), ''), false) THEN b.element_id ELSE other END AS resolved_id,
             NOT coalesce(a.tag = b.tag OR a.label = coalesce(lower(trim(b.label)), ''), false) AND other IS NOT NULL AS reindexed
-            FROM before b LEFT JOIN after a ON a.payload_id = b.payload_id AND a.element_id = b.element_id
+            FROM before b LEFT JOIN direct a ON a.payload_id = b.payload_id AND a.element_id = b.element_id
             LEFT JOIN single s ON s.payload_id = b.payload_id AND s.tag = b.tag AND s.label = coalesce(lower(trim(b.label)), '')"""),
         "confirmed_labels": with_(*ACT[:-1], CONFIRMED, "SELECT origin, label FROM conf"),
         "origin_profiles": with_(*ACT[:-1], CONFIRMED, "SELECT origin, string_agg(label, '|' ORDER BY label) AS labels FROM conf GROUP BY origin"),

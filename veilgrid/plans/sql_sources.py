@@ -24,7 +24,7 @@ def source_queries() -> dict[str, str]:
             count(DISTINCT coalesce(reasoning_short, '')) AS n_instructions FROM actions GROUP BY ALL"""),
         "audit_step_metrics": """SELECT * FROM (SELECT 's' || user_id AS session_id, unnest(['total', 'vision-total']) AS name, count(*) AS n, unnest([max(value), max(value / 2)]) AS max_ms
             FROM events GROUP BY user_id) JOIN (SELECT 's' || user_id AS session_id, count(*) FILTER (event_id % 3 = 0) AS n_dom FROM events GROUP BY user_id) USING (session_id)""",
-        "ocr_lines": f"""WITH flat AS (SELECT l_orderkey AS payload_id, CAST(l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS BIGINT) AS seq, * FROM lineitem),
+        "ocr_lines": f"""WITH flat AS (SELECT l_orderkey AS payload_id, CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq, * FROM lineitem),
             lines AS (SELECT payload_id, seq, 0 AS pos, 'Card ' || l_suppkey AS text, l_quantity - 10.5 AS x0, l_discount * 100 AS y0, l_quantity + 40.4 AS x1, l_discount * 100 + 12 AS y1, (l_suppkey % 100)::DOUBLE / 100 AS confidence FROM flat
             UNION ALL SELECT payload_id, seq, 1, 'Total due', 1, 2, 0.2, 9.5, 0.5 FROM flat WHERE l_partkey % 3 <> 0
             UNION ALL SELECT payload_id, seq, 2, 'Welcome', l_quantity, l_quantity, l_quantity * 2, l_quantity + 0.5, 0.5 FROM flat WHERE l_partkey % 5 <> 0)

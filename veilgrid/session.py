@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -31,6 +32,11 @@ def local_session(cores: int | str = "*", app: str = "veilgrid", **conf: str) ->
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="veilgrid-")
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir`` for state, stream sinks and cut lineage.
 
@@ -40,8 +46,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="veilgrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -42,6 +42,8 @@ class _Elements(HTMLParser):
         self.labels: list[dict] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "option" and self.stack[-1].tag == "option":  # its end tag may be left out
+            self._close()
         a = {k: v or "" for k, v in reversed(attrs)}
         node = _Open(tag)
         if tag in INTERACTIVE:
