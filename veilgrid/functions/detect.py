@@ -33,10 +33,13 @@ def computed_once(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     """Add columns that later filters cannot be substituted into.
 
     The optimizer moves a filter below a projection by repeating the projected expression
-    in it, which multiplies expensive detectors. A one-row generator is evaluated once.
+    in it, which multiplies expensive detectors. An expression that depends on the row's
+    position, here only in a condition that always holds, stays where it is. Filters on
+    input columns belong before this step.
     """
-    fields = ", ".join(f"'{name}', {expr}" for name, expr in exprs.items())
-    return df.selectExpr("*", f"inline_outer(array(named_struct({fields})))")
+    return df.withColumns({
+        name: F.expr(f"if(monotonically_increasing_id() >= 0, {expr}, null)") for name, expr in exprs.items()
+    })
 
 
 def in_list(expr: str, names: tuple[str, ...]) -> str:
@@ -147,7 +150,7 @@ def detect_type(text: str, kind: str) -> Column:
 
 def top_type_sql(spans: str) -> str:
     """First span type having the lowest tier number; null without spans."""
-    return f"coalesce(get(filter({spans}, s -> {tier_sql('s.type')} = 1), 0).type, get({spans}, 0).type)"
+    return let("found", spans, f"coalesce(get(filter(found, s -> {tier_sql('s.type')} = 1), 0).type, get(found, 0).type)")
 
 
 def top_type(spans: str) -> Column:
