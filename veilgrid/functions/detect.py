@@ -33,12 +33,12 @@ def computed_once(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     """Add columns that later filters cannot be substituted into.
 
     The optimizer moves a filter below a projection by repeating the projected expression
-    in it, which multiplies expensive detectors. An expression that depends on the row's
-    position, here only in a condition that always holds, stays where it is. Filters on
-    input columns belong before this step.
+    in it, which multiplies expensive detectors. An expression with a random number in it,
+    here only in a condition that always holds, stays where it is. Filters on input columns
+    belong before this step.
     """
     return df.withColumns({
-        name: F.expr(f"if(monotonically_increasing_id() >= 0, {expr}, null)") for name, expr in exprs.items()
+        name: F.expr(f"if(rand(0) >= 0, {expr}, null)") for name, expr in exprs.items()
     })
 
 
