@@ -5,6 +5,8 @@ from __future__ import annotations
 from bisect import bisect_right
 from typing import Any
 
+import numpy as np
+
 from veilgrid.functions import values as V
 
 
@@ -49,24 +51,22 @@ class FixedWindowRate:
     def __init__(self, limit: int = V.RATE_LIMIT, window: int = V.RATE_WINDOW_SECONDS * 1_000_000):
         self.limit, self.window = limit, window
 
-    def summary(self, rows: list[tuple]) -> tuple[list[int], list[tuple[int, int]], int]:
-        times = [t for (t,) in rows]
+    def summary(self, rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        times = np.fromiter((t for (t,) in rows), dtype=np.int64, count=len(rows))
         n = len(times)
-        # Where the chain of windows ends when a window opens at each request.
-        final: list[tuple[int, int]] = [(0, 0)] * n
-        for i in range(n - 1, -1, -1):
-            following = bisect_right(times, times[i] + self.window)
-            final[i] = (times[i], n - i) if following == n else final[following]
+        # The last window of the chain that starts at each request, by doubling its links.
+        following = np.searchsorted(times, times + self.window, side="right")
+        last = np.where(following < n, following, np.arange(n))
+        while not np.array_equal(last, last[last]):
+            last = last[last]
         # A window from before can end only within one window length, or at the next request.
-        reach = min(n, bisect_right(times, times[0] + self.window) + 1)
-        return times[:reach], final[:reach], n
-
-    def advance(self, state: tuple[int, int] | None, summary: tuple[list[int], list[tuple[int, int]], int]) -> tuple[int, int]:
-        times, final, n = summary
-        if state is None:
-            return final[0]
-        first = bisect_right(times, state[0] + self.window)
-        return final[first] if first < len(times) else (state[0], state[1] + n)
+        reach = min(n, int(np.searchsorted(times, times[0] + self.window, side="right")) + 1)
+        return times[:reach].copy(), times[last[:reach]], n - last[:reach], n
+
+    def advance(self, state: tuple[int, int] | None, summary: tuple) -> tuple[int, int]:
+        times, starts, counts, n = summary
+        first = 0 if state is None else int(np.searchsorted(times, state[0] + self.window, side="right"))
+        return (int(starts[first]), int(counts[first])) if first < len(times) else (state[0], state[1] + n)
 
     def step(self, state: tuple[int, int] | None, row: tuple) -> tuple[tuple[int, int], tuple]:
         (now,) = row

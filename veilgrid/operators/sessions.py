@@ -14,13 +14,16 @@ RATE_OUTPUT = "window_start bigint, request_no bigint, allowed boolean"
 BINDING_OUTPUT = "verdict string"
 
 
-def slice_of(ts: str, unit: str = "day") -> Column:
-    """Time bucket for ordered operators: narrow enough that one key's slice fits a task."""
+def slice_of(ts: str, unit: str = "hour") -> Column:
+    """Time bucket for ordered operators: narrow enough that the busiest key's slice fits a task.
+
+    ``ordered.widest_bucket`` measures which unit does; sparse logs run better on a wide one.
+    """
     return F.date_trunc(unit, F.col(ts))
 
 
 def step_acceptance(
-    steps: DataFrame, arrival: str = "arrival", block: int = 1_000_000, initial: DataFrame | None = None
+    steps: DataFrame, arrival: str = "arrival", block: int = 200_000, initial: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Verdict per arriving step, and the last accepted step of each session as state."""
     rows = steps.withColumn("_bucket", F.floor(F.col(arrival) / block).cast("bigint"))
@@ -31,7 +34,7 @@ def step_acceptance(
 
 def rate_limit(
     requests: DataFrame, key: str, time: str, order: tuple[str, ...] = (), limit: int = V.RATE_LIMIT,
-    window: int = V.RATE_WINDOW_SECONDS * 1_000_000, slice_width: int = 3_600_000_000,
+    window: int = V.RATE_WINDOW_SECONDS * 1_000_000, slice_width: int = 600_000_000,
     initial: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Verdict per request; ``time`` is in whole microseconds and so are the widths."""
@@ -50,7 +53,7 @@ def aligned_rate_limit(requests: DataFrame, key: str, ts: str, limit: int = V.RA
 
 
 def context_binding(
-    messages: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "day"
+    messages: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour"
 ) -> DataFrame:
     """Verdict per message: session_id, event (send, end, tab_closed), tab_id, frame_id."""
     rows = messages.withColumn("_bucket", slice_of(ts, unit))
@@ -60,7 +63,7 @@ def context_binding(
     return out.drop("_bucket")
 
 
-def unchanged_frames(frames: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "day") -> DataFrame:
+def unchanged_frames(frames: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour") -> DataFrame:
     """``skipped``: the content hash is that of the session's previous frame and not blank."""
     rows = frames.withColumn("_bucket", slice_of(ts, unit))
     lagged = lag_by_bucket(rows, ["session_id"], "_bucket", [ts, *order], ["content_hash"], "_prev")
@@ -71,7 +74,7 @@ def unchanged_frames(frames: DataFrame, ts: str = "ts", order: tuple[str, ...] =
 
 def expiry_epochs(
     accesses: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), ttl: int = V.SESSION_TTL_SECONDS,
-    unit: str = "day",
+    unit: str = "hour",
 ) -> DataFrame:
     """``vault_epoch`` per access: an idle gap over the TTL starts the next one."""
     rows = accesses.withColumn("_bucket", slice_of(ts, unit))
@@ -114,14 +117,14 @@ def concurrency(
     return total.withColumn("over_limit", F.expr(f"change = 1 and active > {warn_at}")).drop("_all", "_bucket", "side")
 
 
-def server_steps(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "day") -> DataFrame:
+def server_steps(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour") -> DataFrame:
     """``request_step`` of each attempt: successful calls of the session so far plus one."""
     rows = attempts.withColumn("_bucket", slice_of(ts, unit)).withColumn("_ok", F.expr("cast(succeeded as int)"))
     counted = running_sum_by_bucket(rows, ["session_id"], "_bucket", [ts, *order], "_ok", "_done")
     return counted.withColumn("request_step", F.col("_done") - F.col("_ok") + 1).drop("_bucket", "_ok", "_done")
 
 
-def previous_errors(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "day") -> DataFrame:
+def previous_errors(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour") -> DataFrame:
     """``last_action_error``: error of the attempt before, null after a success."""
     rows = attempts.withColumn("_bucket", slice_of(ts, unit))
     lagged = lag_by_bucket(rows, ["session_id"], "_bucket", [ts, *order], ["error"], "_prev")

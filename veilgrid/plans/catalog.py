@@ -467,11 +467,11 @@ def continuity_breaks(spark, sf_dir):
 
 @query
 def unchanged_frames(spark, sf_dir):
-    return S.unchanged_frames(derived.events(spark, sf_dir, derived.FRAMES), order=("event_id",)).select("event_id", "session_id", "skipped")
+    return S.unchanged_frames(derived.events(spark, sf_dir, derived.FRAMES), order=("event_id",), unit="day").select("event_id", "session_id", "skipped")
 
 
 def _epochs(spark, sf_dir) -> DataFrame:
-    return S.expiry_epochs(derived.events(spark, sf_dir, derived.ACCESSES), order=("event_id",))
+    return S.expiry_epochs(derived.events(spark, sf_dir, derived.ACCESSES), order=("event_id",), unit="day")
 
 
 @query
@@ -497,7 +497,7 @@ def session_concurrency(spark, sf_dir):
 
 @query
 def context_binding(spark, sf_dir):
-    return S.context_binding(derived.events(spark, sf_dir, derived.BINDINGS), order=("event_id",)).select(
+    return S.context_binding(derived.events(spark, sf_dir, derived.BINDINGS), order=("event_id",), unit="day").select(
         "event_id", "session_id", "verdict")
 
 
@@ -509,19 +509,20 @@ def rate_limit(spark, sf_dir):
 
 @query
 def aligned_rate_limit(spark, sf_dir):
-    rows = derived.requests(spark, sf_dir).withColumn("ts", F.expr("cast(timestamp_micros(at_us) as timestamp_ntz)"))
+    rows = derived.requests(spark, sf_dir).withColumn("ts", F.expr(
+        "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(cast(at_us as decimal(18, 0)) / 1000000 as decimal(18, 6)))"))
     return S.aligned_rate_limit(rows, "client", "ts")
 
 
 @query
 def server_steps(spark, sf_dir):
-    return S.server_steps(derived.events(spark, sf_dir, derived.ATTEMPTS), order=("event_id",)).select(
+    return S.server_steps(derived.events(spark, sf_dir, derived.ATTEMPTS), order=("event_id",), unit="day").select(
         "event_id", "session_id", F.col("request_step").cast("bigint").alias("request_step"))
 
 
 @query
 def previous_errors(spark, sf_dir):
-    return S.previous_errors(derived.events(spark, sf_dir, derived.ATTEMPTS), order=("event_id",)).select(
+    return S.previous_errors(derived.events(spark, sf_dir, derived.ATTEMPTS), order=("event_id",), unit="day").select(
         "event_id", "session_id", "last_action_error")
 
 

@@ -207,7 +207,7 @@ def events(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
 # Requests per client: the event log played 1000 times faster, one client per event type.
 REQUESTS = [
     "event_id", "event_type as client",
-    "cast(floor(unix_micros(cast(ts as timestamp)) / 1000) as bigint) as at_us",
+    "cast(floor(unix_micros(cast(concat(cast(ts as string), 'Z') as timestamp)) / 1000) as bigint) as at_us",
 ]
 
 
