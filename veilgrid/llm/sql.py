@@ -56,7 +56,105 @@ SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, least_id AS component_id, doc
 FROM (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+_RATES = {
+    "symbol_rate": ("1000 * n_symbols // greatest(word_chars, 1)", 10, False), "word_length": ("100 * word_chars // greatest(n_words, 1)", 60, True),
+    "dup_line_rate": ("1000 * n_dup_lines // greatest(n_words, 1)", 10, False),
+    "repeat_rate": ("1000 * n_repeat_words // greatest(n_words, 1)", 20, False),
+}
+_QUARTILES = """SELECT {keys} metric, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
+    FROM (SELECT {keys} metric, bin, sum(n) OVER (PARTITION BY {keys} metric) AS total, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bin) AS upto
+        FROM (SELECT {keys} metric, bin, count(*) AS n FROM bins GROUP BY {keys} metric, bin)) GROUP BY {keys} metric"""
+
+#: Common table expressions up to ``judged``: the measures of ``documents``, base_failed and kept.
+QUALITY_CTES = f"""
+words AS (SELECT doc_id, lang, source, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words)),
+twice AS (SELECT doc_id, unnest(places) AS i FROM (SELECT doc_id, list(i) AS places FROM windows GROUP BY doc_id, g HAVING count(*) > 1)),
+repeats AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS pos FROM twice) GROUP BY doc_id),
+measured AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
+    FROM (SELECT *, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS lines FROM words) LEFT JOIN repeats USING (doc_id)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
+rates AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, CAST({x} AS BIGINT) AS x, {spread} AS spread, {low} AS low FROM based"
+                              for m, (x, spread, low) in _RATES.items())}),
+bins AS (SELECT lang, source, metric, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bin FROM rates WHERE NOT base_failed),
+q0 AS ({_QUARTILES.format(keys="")}), q1 AS ({_QUARTILES.format(keys="lang,")}), q2 AS ({_QUARTILES.format(keys="lang, source,")}),
+fenced AS (SELECT r.*, CASE WHEN q2.total >= 200 THEN q2.q1 WHEN q1.total >= 200 THEN q1.q1 ELSE q0.q1 END AS a,
+        CASE WHEN q2.total >= 200 THEN q2.q3 WHEN q1.total >= 200 THEN q1.q3 ELSE q0.q3 END AS b
+    FROM rates r JOIN q2 ON q2.lang IS NOT DISTINCT FROM r.lang AND q2.source IS NOT DISTINCT FROM r.source AND q2.metric = r.metric
+    JOIN q1 ON q1.lang IS NOT DISTINCT FROM r.lang AND q1.metric = r.metric JOIN q0 ON q0.metric = r.metric),
+verdicts AS (SELECT doc_id, bool_and(x <= b + 3 * greatest(b - a, spread) AND (NOT low OR x >= a - 3 * greatest(b - a, spread))) AS fits FROM fenced GROUP BY doc_id),
+judged AS (SELECT based.*, NOT base_failed AND coalesce(fits, false) AS kept FROM based LEFT JOIN verdicts USING (doc_id))
+"""
+
+QUALITY_RULES = f"""WITH {QUALITY_CTES}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged"""
+
+REVISITS = f"""
+WITH parts AS (SELECT *, url[strpos(url, '://') + 3:] AS r FROM pages),
+keyed AS (SELECT page_id, html, CASE WHEN NOT contains(url, '://') THEN url ELSE
+        regexp_replace(regexp_replace({_LOWERED.format("regexp_extract(r, '^[^/?#]*')")}, '^.*@', ''), '[.]?(:80|:443)?$', '')
+        || CASE WHEN path = '' THEN '/' WHEN length(path) > 1 AND regexp_replace(path, '/+$', '') = '' THEN '/' WHEN length(path) > 1 THEN regexp_replace(path, '/+$', '') ELSE path END
+        || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END END AS canonical
+    FROM (SELECT *, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'),
+        lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[a-z]+|gclid|fbclid|ref)='))) AS query FROM parts)),
+answers AS (SELECT page_id, canonical, page_id AS ts, md5(coalesce(html, '')) AS tag, page_id % 28 AS day, strlen(coalesce(html, '')) AS bytes FROM keyed),
+asked AS (SELECT page_id, canonical, page_id + CASE WHEN page_id % 11 = 0 THEN -86400 ELSE 86400 END AS ts, CASE WHEN page_id % 7 = 0 THEN NULL
+        WHEN page_id % 5 = 0 THEN 'changed' ELSE md5(coalesce(html, '')) END AS tag, page_id % 28 AS day FROM keyed),
+found AS (SELECT asked.*, answers.page_id AS base, answers.tag AS base_tag, answers.day AS base_day, bytes,
+        row_number() OVER (PARTITION BY asked.page_id ORDER BY answers.ts DESC, 'r' || answers.page_id DESC) AS n
+    FROM asked LEFT JOIN answers ON answers.canonical = asked.canonical AND answers.ts < asked.ts),
+decided AS (SELECT *, CASE WHEN base IS NULL THEN 'no_response' WHEN tag IS NOT NULL THEN CASE WHEN tag = base_tag THEN 'resolved' ELSE 'validator_mismatch' END
+    WHEN day = base_day THEN 'resolved' ELSE 'validator_mismatch' END AS outcome FROM found WHERE n = 1)
+SELECT page_id, canonical, outcome, base AS response_page, CASE WHEN outcome = 'resolved' THEN
+    'cache-control: ' || CASE WHEN tag IS NULL THEN 'max-age=60' ELSE 'max-age=600' END || chr(10) || 'content-length: ' || bytes || chr(10) || 'content-type: text/html' || chr(10)
+    || CASE WHEN tag IS NULL THEN 'date: tomorrow' || chr(10) ELSE '' END
+    || 'etag: ' || CASE WHEN tag IS NULL THEN '' ELSE 'W/' END || '"' || base_tag || '"' || chr(10) || 'last-modified: day ' || base_day END AS headers
+FROM decided
+"""
+
+
+def mixing_ctes(source: str, share: str, max_epochs: int) -> str:
+    """Common table expressions up to ``mixed``: rows of ``source`` (doc_id, lang, source, text) with their epochs."""
+
+    def level(name: str, above: list[str], here: list[str], before: str) -> str:
+        keys, up = ", ".join(here), ", ".join(above)
+        part = f"PARTITION BY {up}" if above else ""
+        on = " AND ".join(f"n.{c} IS NOT DISTINCT FROM g.{c}" for c in above) or "true"
+        return f"""
+{name}_nodes AS (SELECT n.*, g.budget FROM (SELECT {keys}, sum(cap) AS cap, max(CASE WHEN cap > 0 THEN {here[-1]}_weight ELSE 0 END) AS weight FROM leaves GROUP BY {keys}) n
+    JOIN {before} g ON {on}),
+{name}_left AS (SELECT *, sum(weight) OVER ({part}) - coalesce(sum(weight) OVER o, 0) AS weight_left, budget - coalesce(sum(cap) OVER o, 0) AS budget_left FROM {name}_nodes
+    WINDOW o AS ({part} ORDER BY CASE WHEN weight > 0 THEN CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE) END NULLS FIRST, {here[-1]} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+{name}_full AS (SELECT *, weight = 0 OR cap * weight_left <= weight * budget_left AS is_full FROM {name}_left),
+{name} AS (SELECT {keys}, CAST(CASE WHEN is_full THEN cap ELSE weight * (budget - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER ({part}))
+    // sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER ({part}) END AS BIGINT) AS budget FROM {name}_full)"""
+
+    return f"""
+counted AS (SELECT doc_id, lang, source, 'domain' || (TRY_CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS INTEGER) % 4) AS domain,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS BIGINT) AS n_tokens FROM {source}),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens, sum(n_tokens) * {max_epochs} AS cap,
+    CASE domain WHEN 'domain0' THEN 4 WHEN 'domain1' THEN 3 WHEN 'domain2' THEN 2 ELSE 1 END AS domain_weight,
+    CASE lang WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS lang_weight, 1 AS source_weight FROM counted GROUP BY ALL),
+whole AS (SELECT sum(tokens) * {share.replace("/", "//")} AS budget FROM leaves),
+{level("by_domain", [], ["domain"], "whole")}, {level("by_lang", ["domain"], ["domain", "lang"], "by_domain")},
+{level("by_source", ["domain", "lang"], ["domain", "lang", "source"], "by_lang")},
+given AS (SELECT c.*, CAST(l.tokens AS BIGINT) AS leaf_tokens, s.budget AS leaf_budget, CASE WHEN l.tokens > 0 THEN CAST(s.budget // l.tokens AS BIGINT) ELSE 0 END AS whole_epochs FROM counted c
+    JOIN leaves l ON l.domain IS NOT DISTINCT FROM c.domain AND l.lang IS NOT DISTINCT FROM c.lang AND l.source IS NOT DISTINCT FROM c.source
+    JOIN by_source s ON s.domain IS NOT DISTINCT FROM c.domain AND s.lang IS NOT DISTINCT FROM c.lang AND s.source IS NOT DISTINCT FROM c.source),
+placed AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY CAST('0x' || md5('7:' || whole_epochs || ':' || doc_id)[1:15] AS BIGINT), doc_id
+    ROWS UNBOUNDED PRECEDING) AS upto, leaf_budget - whole_epochs * leaf_tokens AS rest FROM given),
+mixed AS (SELECT *, whole_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS epochs FROM placed)"""
+
+
+MIXING = f"""WITH {mixing_ctes("documents", "3 / 5", 4)}
+SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, epochs FROM mixed"""
+
 SQL = {
+    "op2_quality_rules": QUALITY_RULES,
+    "op3_revisits": REVISITS,
+    "op4_mixing": MIXING,
     "op5_url_filter": URL_FILTER,
     "op6_decontamination": DECONTAMINATION,
     "op7_line_dedup": LINE_DEDUP,
