@@ -41,7 +41,7 @@ class Settings:
 
 SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()),
-    T.StructField("signature", T.BinaryType()), T.StructField("band_keys", T.ArrayType(T.LongType())),
+    T.StructField("signature", T.BinaryType()),
 ])
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
@@ -74,7 +74,7 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: set size, a 128-bit hash of the set, one byte of each MinHash value, and the keys of the bands."""
+    """Per row: set size, a 128-bit hash of the set, and one byte of each MinHash value."""
     factors, terms = _seeds(s.hashes)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,17 +90,11 @@ def signed(docs: DataFrame, s: Settings, doc_id: str = "doc_id", text: str = "te
                     for k in range(s.hashes):
                         one = (values * factors[k] + terms[k]) >> np.uint64(32)
                         least[full, k] = np.minimum.reduceat(one.astype(np.uint32), starts)
-                keys = least.reshape(part.num_rows, s.bands, s.rows).astype(np.uint64)
-                band = np.arange(s.bands, dtype=np.uint64)[None, :]
-                total = np.broadcast_to(mix(band + np.uint64(1)), keys.shape[:2]).copy()
-                for r in range(s.rows):
-                    total = mix(total ^ keys[:, :, r]) + np.uint64(r + 1)
                 raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array(sizes, pa.int64()),
                     pa.array([hashlib.blake2b(raw[8 * a: 8 * b], digest_size=16).digest() for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()),
                     pa.array([x.tobytes() for x in (least & 0xFF).astype(np.uint8)], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * s.bands, pa.array(total.reshape(-1).view(np.int64))),
                 ], names=SIGNED.names)
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(sign, SIGNED)
@@ -169,18 +163,24 @@ def _sets(docs: DataFrame, ids: DataFrame, s: Settings, doc_id: str, text: str)
     return rows.join(ids, "id", "left_semi").mapInArrow(gather, SETS)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the intersection of two sorted sets is at least ``percent`` / 100 of their union."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if 100 * len(x) < percent * len(y) or not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
     """``pairs`` (a, b) of which the whole shingle sets have the least similarity."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stays = []
-            for one, other in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, other))
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(x) else 0
-                stays.append(bool(both) and 100 * both >= s.percent * (len(x) + len(y) - both))
+            stays = [
+                _similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in sets), s.percent)
+                for sets in zip(batch.column(2), batch.column(3), strict=True)
+            ]
             alive = pa.array(np.flatnonzero(stays))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], names=["a", "b"])
 
@@ -200,9 +200,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, doc_id:
     2. Classes that share a band's key meet in a bucket. Each bucket first compares its members with its smallest
        one only. Candidates go through the Bayesian test on signature batches, survivors through an exact comparison
        of whole sets. Components of these links follow.
-    3. Components that meet in a bucket and are not one yet are compared with each other, all members of the one with
-       all of the other, so no link is lost: two single documents as a pair, larger components block by block, with
-       the same two tests and without a row for each pair.
+    3. Members of a bucket that are not in one component yet are compared with each other, so no link is lost: a pair
+       left out is in one component already. Parts of a bucket meet as a whole, through the same two tests.
 
     Rows without words, null texts included, are linked with nothing. doc_ids should differ; rows of one doc_id are
     one document with the largest of their sets and come out once each. A null doc_id gives null component_id and
@@ -211,33 +210,30 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, doc_id:
     s = settings
     table = cut_lineage(signed(docs, s, doc_id, text), "signed")
     usable = table.where("id is not null and n_shingles > 0")
-    owner = usable.groupBy("set_hash", "n_shingles").agg(F.min("id").alias("class"))
-    classes = cut_lineage(usable.select("id", "set_hash", "n_shingles").distinct().join(owner, ["set_hash", "n_shingles"]).select("id", "class"), "classes")
-    reps = usable.join(owner.select(F.col("class").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    signatures = reps.select("id", "n_shingles", "signature")
-    members = reps.select("id", F.explode("band_keys").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1")
-    crowded = cut_lineage(members.join(buckets, "bucket"), "buckets")
+    # equal sets have equal signatures, so a class takes that of its smallest id
+    reps = cut_lineage(usable.groupBy("set_hash", "n_shingles").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "classes")
+    classes = usable.select("id", "set_hash", "n_shingles").join(reps.select("set_hash", "n_shingles", F.col("id").alias("class")), ["set_hash", "n_shingles"])
+    reps = reps.groupBy("id").agg(F.max_by(F.struct("n_shingles", "signature"), "n_shingles").alias("r")).select("id", "r.*")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda b: F.struct(
+        b.alias("band"), F.xxhash64(b, F.substring(F.col("signature"), b * s.rows + 1, F.lit(s.rows))).alias("bucket")))
+    members = reps.select("id", "n_shingles", F.explode(keys).alias("k")).select("id", "n_shingles", "k.*")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n_shingles").alias("weight"), F.min("id").alias("first")).where("size > 1")
+    crowded = cut_lineage(members.drop("n_shingles").join(buckets, "bucket"), "buckets")
 
     stars = crowded.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    found = cut_lineage(confirmed(likely(stars, signatures, s), docs, s, doc_id, text), "links")
+    found = confirmed(cut_lineage(likely(stars, reps, s), "likely"), docs, s, doc_id, text)
     # documents of one id in several rows: their sets are one document's
     same = classes.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("a", "b")
-    found = found.unionByName(same)
-
-    reached = components(found, "a", "b")
+    reached = cut_lineage(components(found.unionByName(same), "a", "b"), "components")
     member = cut_lineage(
         reps.select("id").join(reached, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "members",
     )
-    met = cut_lineage(_component_pairs(crowded, member), "met")
-    several = member.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    large = met.join(several.toDF("ca"), "ca", "left_semi").unionByName(met.join(several.toDF("cb"), "cb", "left_semi")).distinct()
-    single = met.join(large, ["ca", "cb"], "left_anti").toDF("a", "b").join(stars, ["a", "b"], "left_anti")
-    found = cut_lineage(
-        found.unionByName(confirmed(likely(single, signatures, s), docs, s, doc_id, text))
-        .unionByName(linked_components(large, member, signatures, docs, s, doc_id, text)), "links",
-    )
-    reached = cut_lineage(components(found, "a", "b"), "components")
+    more = cut_lineage(cross_links(crowded, member, reps, docs, s, doc_id, text), "links")
+    if not more.isEmpty():
+        between = more.join(member.toDF("a", "ca"), "a").join(member.toDF("b", "cb"), "b")
+        joined = components(between, "ca", "cb").toDF("component", "whole")
+        reached = reached.unionByName(joined.select(F.col("component").alias("id"), "component")).distinct().join(
+            joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
 
     ids = classes.groupBy("id").agg(F.min("class").alias("class"))
     grouped = ids.join(reached.withColumnRenamed("id", "class"), "class", "left").select("id", F.coalesce("component", "class").alias("component_id"))
@@ -248,98 +244,117 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), *, doc_id:
     )
 
 
-def _component_pairs(crowded: DataFrame, member: DataFrame, block: int = 256) -> DataFrame:
-    """Pairs ``ca`` < ``cb`` of components that meet in a bucket of more than two members.
-
-    Buckets of more than ``block`` components are cut into blocks, and every two blocks meet under a key of their
-    own, so that no task has to hold more than two blocks of a bucket.
-    """
-    met = crowded.where("size > 2").join(member, "id").select("bucket", "component").distinct()
-    counts = met.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    placed = met.join(counts, "bucket").select(
-        "bucket", "component", F.ceil(F.col("n") / block).cast("int").alias("blocks"),
-    ).withColumn("part", F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.select("bucket", "part", others.alias("against"), F.col("component").alias("ca"))
-    right = placed.select("bucket", F.col("part").alias("against"), others.alias("part"), F.col("component").alias("cb"))
-    return left.join(right, ["bucket", "part", "against"]).where("ca < cb").select("ca", "cb").distinct()
-
-
-def _faced(pairs: DataFrame, member: DataFrame, block: int) -> DataFrame:
-    """``host``, ``i``, ``j``, ``side``, ``id``: members of a component (side 0) and of all its smaller partners (side 1).
-
-    The larger component of a pair is the host. Hosts come in blocks ``i``, their partners' members in blocks ``j``,
-    and each two blocks meet once, so a host is not repeated for each partner.
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole runs of rows that are equal in the first ``keys`` columns, run after run of a sorted input."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        last = [batch.column(c)[-1] for c in range(keys)]
+        if [rest[0].column(c)[0] for c in range(keys)] == last:
+            continue
+        whole = pa.Table.from_batches(rest)
+        differs = np.zeros(whole.num_rows, dtype=bool)
+        for c in range(keys):
+            differs |= whole.column(c).to_numpy() != last[c].as_py()
+        cut = int(np.flatnonzero(differs)[-1]) + 1
+        yield whole.slice(0, cut)
+        rest = whole.slice(cut).to_batches()
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _bounds(table: pa.Table, keys: int) -> np.ndarray:
+    """Where runs of rows equal in the first ``keys`` columns start, and the end."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    new[0] = True
+    for c in range(keys):
+        column = table.column(c).to_numpy()
+        new[1:] |= column[1:] != column[:-1]
+    return np.append(np.flatnonzero(new), table.num_rows)
+
+
+def _faced(crowded: DataFrame, member: DataFrame, block: int, shingles: int) -> DataFrame:
+    """``bucket``, ``i``, ``j``, ``part``, ``band``, ``id``, ``component`` of buckets with members of several components.
+
+    A bucket of more than ``block`` members, or of more than ``shingles`` shingles, is cut into parts; every two parts
+    meet under a key of their own, so no task holds more than two parts of a bucket.
     """
-    sizes = cut_lineage(member.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    both = pairs.join(sizes.toDF("ca", "na"), "ca").join(sizes.toDF("cb", "nb"), "cb")
-    larger = F.col("na") >= F.col("nb")
-    hosted = both.select(F.when(larger, F.col("ca")).otherwise(F.col("cb")).alias("host"), F.when(larger, F.col("cb")).otherwise(F.col("ca")).alias("component"))
-    guests = hosted.join(member, "component").select("host", "id")
-    blocks = guests.groupBy("host").agg(F.ceil(F.count("*") / (4 * block)).cast("int").alias("nj"))
-    blocks = blocks.join(sizes.select(F.col("component").alias("host"), F.ceil(F.col("n") / block).cast("int").alias("ni")), "host")
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = member.withColumnRenamed("component", "host").join(blocks, "host").select("host", part("ni").alias("i"), every("nj").alias("j"), F.lit(0).alias("side"), "id")
-    others = guests.join(blocks, "host").select("host", every("ni").alias("i"), part("nj").alias("j"), F.lit(1).alias("side"), "id")
-    return own.unionByName(others)
-
-
-def _sides(group: pa.Table, value: str) -> list[tuple[np.ndarray, list]]:
-    ids, side = (group.column(c).to_numpy() for c in ("id", "side"))
-    values = group.column(value).to_pylist()
-    return [(ids[side == k], [v for v, x in zip(values, side, strict=True) if x == k]) for k in (0, 1)]
-
-
-def linked_components(pairs: DataFrame, member: DataFrame, signatures: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text: str, block: int = 256) -> DataFrame:
-    """Links (a, b) between the components of ``pairs``: one at least where there is one.
-
-    All members of the one are compared with all of the other, in blocks.
-    The Bayesian test on signature batches leaves the members with a likely partner, the sets of these are compared
-    whole. Neither step makes a row for a pair of documents.
+    own = crowded.where("size > 2").join(member, "id")
+    mixed = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    parts = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("weight") / shingles)).cast("int")
+    placed = own.join(mixed.select("bucket"), "bucket", "left_semi").select(
+        "bucket", "band", "id", "component", parts.alias("parts"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    each = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return each.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "band", "id", "component")
+
+
+def cross_links(crowded: DataFrame, member: DataFrame, reps: DataFrame, docs: DataFrame, s: Settings, doc_id: str, text: str, block: int = 2048, shingles: int = 2_000_000) -> DataFrame:
+    """Links (a, b) between bucket members of different components, without a row for each pair.
+
+    Parts of a bucket are compared as a whole. A pair is looked at in the first band that it shares, which the
+    signatures tell, and taken through the Bayesian batches. Each member goes on with the list of its likely
+    partners, and these pairs are compared by their whole sets.
     """
     needed = least_matches(s)
+    kinds = T.StructType([
+        T.StructField("bucket", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()),
+        T.StructField("id", T.LongType()), T.StructField("partners", T.ArrayType(T.LongType())),
+    ])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 3):
+            bounds = _bounds(table, 3)
+            part, i, j, band, ids, own = (table.column(c).to_numpy() for c in ("part", "i", "j", "band", "id", "component"))
+            marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, s.hashes)
+            sizes = table.column("n_shingles").to_numpy()
+            out: dict[str, list] = {"bucket": [], "i": [], "j": [], "id": [], "partners": []}
+            for start, end in zip(bounds, bounds[1:], strict=False):
+                at = np.arange(start, end)
+                ones, others = (at, at) if i[start] == j[start] else (at[part[start:end] == i[start]], at[part[start:end] == j[start]])
+                met: dict[int, list[int]] = {}
+                for x in ones:
+                    y = others[own[others] != own[x]]
+                    y = y[y > x] if i[start] == j[start] else y
+                    y = y[np.minimum(sizes[y], sizes[x]) * 100 >= np.maximum(sizes[y], sizes[x]) * s.percent]
+                    matches = np.zeros(len(y), dtype=np.int64)
+                    for k, least in enumerate(needed):
+                        if not len(y):
+                            break
+                        piece = slice(k * s.batch, (k + 1) * s.batch)
+                        matches = matches + (marks[y, piece] == marks[x, piece]).sum(axis=1)
+                        y, matches = y[matches >= least], matches[matches >= least]
+                    if len(y):
+                        shared = (marks[y] == marks[x]).reshape(len(y), s.bands, s.rows).all(axis=2)
+                        y = y[shared.argmax(axis=1) == band[start]]
+                    if len(y):
+                        met[int(x)] = ids[y].tolist()
+                        for z in y.tolist():
+                            met.setdefault(z, [])
+                for x, partners in met.items():
+                    for name, value in (("bucket", table.column("bucket")[x].as_py()), ("i", i[start]), ("j", j[start]), ("id", ids[x]), ("partners", partners)):
+                        out[name].append(value)
+            if out["id"]:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(out["bucket"], pa.int64()), pa.array(out["i"], pa.int32()), pa.array(out["j"], pa.int32()),
+                     pa.array(out["id"], pa.int64()), pa.array(out["partners"], pa.list_(pa.int64()))], names=kinds.names)
 
-    def compare(group: pa.Table) -> pa.Table:
-        (one_ids, one), (other_ids, other) = _sides(group, "signature")
-        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(len(v), s.hashes) for v in (one, other))
-        alive = [np.arange(len(x)).repeat(len(y)), np.tile(np.arange(len(y)), len(x))]
-        matches = np.zeros(len(alive[0]), dtype=np.int64)
-        for k, least in enumerate(needed):
-            part = slice(k * s.batch, (k + 1) * s.batch)
-            own, theirs = x[:, part], y[:, part]
-            matches = matches + np.concatenate([
-                (own[a] == theirs[b]).sum(axis=1) for a, b in zip(*(np.array_split(v, len(v) // 20_000 + 1) for v in alive), strict=True)
-            ])
-            stays = matches >= least
-            alive, matches = [v[stays] for v in alive], matches[stays]
-        ids = np.concatenate((one_ids[np.unique(alive[0])], other_ids[np.unique(alive[1])]))
-        key = [pa.array(np.full(len(ids), group.column(c)[0].as_py()), t) for c, t in (("host", pa.int64()), ("i", pa.int32()), ("j", pa.int32()))]
-        side = pa.array(np.repeat([0, 1], [len(np.unique(alive[0])), len(np.unique(alive[1]))]), pa.int32())
-        return pa.table([*key, side, pa.array(ids, pa.int64())], names=["host", "i", "j", "side", "id"])
-
-    def verify(group: pa.Table) -> pa.Table:
-        (one_ids, one), (other_ids, other) = _sides(group, "shingles")
-        found: list[tuple[int, int]] = []
-        if one and other:
-            sets = [np.frombuffer(v, np.uint64) for v in one]
-            sizes = np.array([len(v) for v in sets])
-            owner, values = np.arange(len(sets)).repeat(sizes), np.concatenate(sets)
-            order = np.argsort(values, kind="stable")
-            owner, values = owner[order], values[order]
-            for b, v in zip(other_ids, other, strict=True):
-                v = np.frombuffer(v, np.uint64)
-                shared = np.isin(values, v)
-                both = np.bincount(owner[shared], minlength=len(sets))
-                hit = np.flatnonzero(100 * both >= s.percent * (sizes + len(v) - both))
-                if len(hit):
-                    found.append((int(one_ids[hit[0]]), int(b)))
-        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-    keys = ["host", "i", "j"]
-    faced = _faced(pairs, member, block).join(signatures.select("id", "signature"), "id")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 3):
+            bounds = _bounds(table, 3)
+            ids, partners, raw = table.column("id").to_pylist(), table.column("partners").to_pylist(), table.column("shingles").combine_chunks()
+            found: list[tuple[int, int]] = []
+            for start, end in zip(bounds, bounds[1:], strict=False):
+                sets = {ids[k]: np.frombuffer(raw[k].as_buffer(), np.uint64) for k in range(start, end)}
+                found += [(ids[k], y) for k in range(start, end) for y in partners[k] if _similar(sets[ids[k]], sets[y], s.percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    faced = _faced(crowded, member, block, shingles).join(reps, "id").select(
+        "bucket", "i", "j", "part", "band", "id", "component", "n_shingles", "signature")
     likely_members = cut_lineage(
-        faced.groupBy(*keys).applyInArrow(compare, "host bigint, i int, j int, side int, id bigint"), "likely",
-    )
+        faced.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(compare, kinds), "likely")
     sets = _sets(docs, likely_members.select("id").distinct(), s, doc_id, text)
-    return likely_members.join(sets, "id").groupBy(*keys).applyInArrow(verify, "a bigint, b bigint")
+    grouped = likely_members.join(sets, "id").select("bucket", "i", "j", "id", "partners", "shingles")
+    return grouped.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id").mapInArrow(verify, "a bigint, b bigint")
