@@ -1,0 +1,313 @@
+"""Sharding, mixing, URL filters, revisits, secrets and the pipeline against plain Python."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from veilgrid.llm import mixing, queries, ranks, secrets, shards, urls, warc
+
+
+# --- running totals and sharding -----------------------------------------------------------------------------------
+
+def test_running_totals(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["hot"] * 8 + ["a", None]), i // 2, r.randrange(9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o bigint, before bigint")
+    found = ranks.running(df, ["k"], ["o"], F.col("before"), before="upto", total="whole").collect()
+    by = defaultdict(list)
+    for row in found:
+        by[row["k"]].append(row)
+    for k, mine in by.items():
+        assert sum(x["before"] for x in mine) == mine[0]["whole"] == sum(v for key, _, v in rows if key == k)
+        total = 0
+        for x in sorted(mine, key=lambda x: (x["o"], x["upto"])):
+            assert x["upto"] == total or any(y["o"] == x["o"] for y in mine if y is not x)
+            total += x["before"]
+    assert len(found) == 3000
+
+
+def placed(spark, texts, n=4, partitions=3):
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, Shard string, unit string").repartition(partitions)
+    return shards.shard_documents(docs, shards.equal_text_links(docs), shards=n).select("doc_id", "text", "unit", "shard", "slot").collect()
+
+
+def holds(rows, n):
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes[j] for j in range(n)) <= 1 and set(sizes) <= set(range(n))
+    for j in range(n):
+        assert sorted(r["slot"] for r in rows if r["shard"] == j) == list(range(sizes[j]))
+
+
+def test_equal_texts_share_a_shard_and_sizes_are_even(spark):
+    texts = [(i, f"text {i}", "x", "u") for i in range(150)] + [(200 + i, f"copy {i // 6}", "x", "u") for i in range(120)]
+    texts += [(400, None, "x", "u"), (401, None, "x", "u"), (402, "", "x", "u"), (402, "", "x", "u"), (None, "", "x", "u")]
+    rows = placed(spark, texts)
+    assert len(rows) == len(texts) and {r["unit"] for r in rows} == {"u"}
+    holds(rows, 4)
+    where = defaultdict(set)
+    for r in rows:
+        where[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for t, s in where.items() if t is not None)
+
+
+def test_a_group_over_its_quota_takes_few_shards(spark):
+    rows = placed(spark, [(i, "the same" if i < 500 else f"text {i}", "x", "u") for i in range(1000)], n=8)
+    holds(rows, 8)
+    assert len({r["shard"] for r in rows if r["text"] == "the same"}) <= 6
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 50])
+def test_few_rows(spark, n):
+    rows = placed(spark, [(i, "same", "x", "u") for i in range(n)], n=24)
+    assert len(rows) == n and all(c <= -(-n // 24) for c in Counter(r["shard"] for r in rows).values())
+
+
+def test_any_links(spark):
+    """Pairs of neighbours, as a link of two, pull documents together."""
+    docs = spark.createDataFrame([(i,) for i in range(64)], "doc_id bigint")
+    pairs = [(i, f"{i // 8}-{i % 8}") for i in range(64)] + [(i, f"{i // 8}-{(i + 1) % 8}") for i in range(64)]
+    links = spark.createDataFrame(pairs, "doc_id bigint, link string").select(shards.node_of(F.col("doc_id")).alias("node"), "link")
+    rows = shards.shard_documents(docs, links, shards=4).collect()
+    holds(rows, 4)
+    at = {r["doc_id"]: r["shard"] for r in rows}
+    cut = sum(at[i] != at[i // 8 * 8 + (i + 1) % 8] for i in range(64))
+    assert cut < 40  # 48 of 64 by chance
+
+
+# --- mixing --------------------------------------------------------------------------------------------------------
+
+def shared(budget, children):
+    """Shares of (cap, weight) children: the open ones share by weight, whoever is full keeps its cap."""
+    full = {k for k, (cap, w) in children.items() if not cap or not w}
+    while True:
+        rest = budget - sum(children[k][0] for k in full)
+        weight = sum(children[k][1] for k in children if k not in full)
+        more = {k for k in children if k not in full and children[k][0] * weight <= children[k][1] * rest}
+        if not more:
+            return {k: children[k][0] if k in full else children[k][1] * rest // weight for k in children}
+        full |= more
+
+
+def test_budgets_flow_down_the_tree(spark):
+    r = random.Random(4)
+    for seed in range(3):
+        leaves = [(a, b, c, r.choice([0, 5, 40, 400, 3000])) for a in ("x", "y", None) for b in ("en", None) for c in ("s", "t", "u")]
+        weights = [("a", "x", 5), ("a", None, 2), ("b", "en", 3), ("c", "t", 0), ("c", "u", 7)]
+        listed = {(level, name): w for level, name, w in weights}
+        df = spark.createDataFrame(leaves, "a string, b string, c string, tokens bigint")
+        table = spark.createDataFrame(weights, "level string, name string, weight bigint")
+        budget = 2500 * (seed + 1)
+        found = {(x["a"], x["b"], x["c"]): x["budget"] for x in mixing.leaf_budgets(df, table, ["a", "b", "c"], budget, 2).collect()}
+        cap = {(a, b, c): 2 * n * (listed.get(("c", c), 1) > 0) for a, b, c, n in leaves}
+        up = lambda d: {p: sum(v for k, v in cap.items() if k[:d] == p) for p in {k[:d] for k in cap}}
+        given = {(): min(budget, sum(cap.values()))}
+        for d, level in enumerate("abc"):
+            caps, after = up(d + 1), {}
+            for p, b in given.items():
+                after |= shared(b, {k: (v, listed.get((level, k[-1]), 1)) for k, v in caps.items() if k[:-1] == p})
+            given = after
+        assert found == given
+
+
+def test_prefixes_of_seeded_epochs(spark):
+    rows = [(i, "a" if i % 3 else None, "b", (i * 7) % 23, "e") for i in range(300)] + [(400, "z", "b", None, "e"), (401, "z", "b", 0, "e")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, n_tokens bigint, Epochs string")
+    table = spark.createDataFrame([("lang", "a", 9)], "level string, name string, weight bigint")
+    out = mixing.mixed(docs, table, ["lang", "source"], share=(3, 2), max_epochs=3).collect()
+    assert len(out) == len(rows)
+    for leaf in {(r["lang"], r["source"]) for r in out}:
+        mine = [r for r in out if (r["lang"], r["source"]) == leaf]
+        tokens, budget = mine[0]["leaf_tokens"], mine[0]["leaf_budget"]
+        whole = budget // tokens if tokens else 0
+        order = sorted(mine, key=lambda r: (int(hashlib.md5(f"7:{whole}:{r['doc_id']}".encode()).hexdigest()[:15], 16), r["doc_id"]))
+        upto, rest = 0, budget - whole * tokens
+        for r in order:
+            upto += r["n_tokens"] or 0
+            assert r["epochs"] == whole + (rest > 0 and upto <= rest)
+        assert sum(r["epochs"] * (r["n_tokens"] or 0) for r in mine) <= budget
+    assert mixing.mixed(docs.limit(0), table, ["lang", "source"]).count() == 0
+    taken = mixing.epoch_rows(mixing.mixed(docs, table, ["lang", "source"], share=(3, 2), max_epochs=3))
+    assert taken.count() == sum(r["epochs"] for r in out) and taken.groupBy("doc_id", "epoch").count().where("count > 1").isEmpty()
+
+
+# --- URL filters ---------------------------------------------------------------------------------------------------
+
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es", "block"), ("", "/x", "block"),
+    ("example.com", "/en/a", "allow"), ("example.com", "/en/a", "block"), ("a.net", "", "allow"), ("net", "/es/b/c", "allow"), ("org", "/", None),
+]
+URLS = [
+    "http://www.Example.com/en/1", "https://example.com/en/", "https://example.com/en", "http://notexample.com/en/1", "http://EXAMPLE.com/en/abc?x#y",
+    "http://m.a.net", "http://m.a.net/es/b", "x.net/es/", "ftp://b.net/es/b/c/d", "http://b.net/es", "http://b.net/essen", "http://q.org/x/y", "//", "",
+    "://", "http://?a", "http://#", None, "a://b://c.com/", "http://example.com:80/en/", "http://u@example.com/en/", "http://com/", "http://com", "http://É.com/ÄÖ",
+    "http://a.net/es/b\nc://d",
+]
+
+
+def verdict(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = rest
+        for c in "/?#":
+            host = host.split(c)[0]
+        path = rest[len(host):].split("?")[0].split("#")[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(h.split(".")) if h else 0, len(p), v == "block", h + p, v) for h, p, v in RULES
+            if v and path.startswith(p) and (not h or host == h or host.endswith("." + h))]
+    best = max(fits, default=(0, 0, 0, None, "allow"))
+    return host, path, best[3], best[4]
+
+
+@pytest.mark.parametrize("most", [100, 2])
+def test_longest_match(spark, most):
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS * 2)], "page_id bigint, url string, Host string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    out = urls.judge_urls(pages, rules, most=most)
+    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    for r in out.collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict(r["url"]), r["url"]
+    assert out.count() == 2 * len(URLS)
+    assert urls.judge_urls(pages.limit(0), rules, most=most).count() == 0
+    assert {r["verdict"] for r in urls.judge_urls(pages, rules.limit(0), default="block").collect()} == {"block"}
+
+
+# --- revisits ------------------------------------------------------------------------------------------------------
+
+def test_revisits(spark):
+    r = random.Random(9)
+    tags = [None, '"a"', 'W/"a"', '"b"']
+    rows = []
+    for i in range(1500):
+        url = r.choice(["http://Hot.com/p/"] * 6 + [f"https://s{r.randrange(20)}.org/?b=1&a=2&utm_x=3#f", None, "no scheme"])
+        headers = {k: v for k, v in (("ETag", r.choice(tags)), ("Last-Modified", r.choice([None, "d1", "d2"])), ("X-Id", str(i)), ("Content-Length", str(i))) if v}
+        rows.append((f"r{i:05d}", url, r.choice([None, *range(300)]), r.choice(["response", "revisit", "request"]), headers if r.random() < 0.95 else None, "x"))
+    captures = spark.createDataFrame(rows, "record_id string, url string, ts bigint, kind string, headers map<string,string>, outcome string").repartition(5)
+    key = lambda u: "hot.com/p" if u and "Hot" in u else u[8:].split("/")[0] + "/?a=2&b=1" if u and "://" in u else u
+    expected = {}
+    for rec, url, ts, kind, headers, _ in rows:
+        if kind != "revisit":
+            continue
+        own = {k.lower(): v for k, v in (headers or {}).items()}
+        before = [x for x in rows if x[3] == "response" and url and x[1] == url and ts is not None and x[2] is not None and x[2] < ts]
+        if not before:
+            expected[rec] = (key(url), None, "no_response", None)
+            continue
+        base = max(before, key=lambda x: (x[2], x[0]))
+        stored = {k.lower(): v for k, v in (base[4] or {}).items()}
+        result = "no_validator"
+        for name in ("etag", "last-modified"):
+            if name in own and name in stored:
+                result = "resolved" if own[name].removeprefix("W/") == stored[name].removeprefix("W/") else "validator_mismatch"
+                break
+        merged = stored | {k: v for k, v in own.items() if k != "content-length"} if result == "resolved" else None
+        expected[rec] = (key(url), base[0], result, merged)
+    found = {x["record_id"]: (x["canonical"], x["response"], x["outcome"], x["headers"]) for x in warc.resolve_revisits(captures).collect()}
+    assert found == expected and len({v[2] for v in expected.values()}) == 4
+    assert warc.resolve_revisits(captures.limit(0)).count() == 0
+
+
+# --- secrets -------------------------------------------------------------------------------------------------------
+
+def secret_docs(spark, n=400):
+    r = random.Random(1)
+    rows = []
+    for i in range(n):
+        value = hashlib.sha1(str(i).encode()).hexdigest()
+        words = ["".join(r.choices(["tion", "er", "the", "an", "re"], k=r.randrange(1, 7))) for _ in range(40)]
+        if i % 4 == 0:
+            words[20:20] = [r.choice(["token", "api_key", "password"]), "=", f'"{value}"']
+        elif i % 4 == 1:
+            words[20:20] = ["commit", f"https://host.org/files/{value}/x"]
+        rows.append((i, " ".join(words), "src", "v"))
+    rows += [(9000, None, None, "v"), (9001, "", "src", "v"), (9002, "a" * 200_000 + " b", "src", "v"), (9002, "a" * 200_000 + " b", "src", "v")]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, source string, Value string")
+
+
+def test_forest_removes_false_positives_of_held_out_values(spark):
+    docs = secret_docs(spark)
+    out = secrets.secret_findings(docs).collect()
+    held = [r for r in out if r["doc_id"] < 9000 and secret_held_out(spark, r["value"])]
+    assert len(held) > 60
+    right = sum(r["secret"] == (len(r["value"]) == 40 and r["doc_id"] % 4 == 0 and not r["in_path"]) for r in held)
+    assert right >= 0.97 * len(held)
+    assert {r["doc_id"] for r in out if r["secret"]} == {i for i in range(0, 400, 4)}
+    assert sum(r["doc_id"] == 9002 for r in out) == 2
+
+
+def secret_held_out(spark, value, known={}):  # noqa: B006
+    if value not in known:
+        known[value] = spark.range(1).select(F.pmod(F.xxhash64(F.lit(5), F.lit(value)), F.lit(3)) == 0).first()[0]
+    return known[value]
+
+
+def test_secrets_without_candidates_or_with_one_kind_of_label(spark):
+    docs = secret_docs(spark, 8)
+    assert secrets.secret_findings(docs.limit(0)).count() == 0
+    assert secrets.secret_findings(docs.where("doc_id IN (9000, 9001)")).count() == 0
+    labels = secrets.candidates(docs).select("doc_id", "word_at", "nth", F.lit(1).alias("label"))
+    assert {r["secret"] for r in secrets.secret_findings(docs, labelled=labels).collect()} == {True}
+
+
+# --- registered queries without SQL, and the pipeline ---------------------------------------------------------------
+
+def test_registered_sharding(spark, sf_dir="/root/testdata/sf0.001"):
+    out = queries.op1_sharding(spark, sf_dir)
+    assert [c for c, _ in out.dtypes] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = out.collect()
+    holds(rows, 24)
+    import zlib
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in queries.table(spark, sf_dir, "documents").collect()}
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir="/root/testdata/sf0.001"):
+    from test_text_operators import groups, hits, lower, measures
+
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "benchmark passages", "source mixture", "balanced shards"]
+    docs = queries.table(spark, sf_dir, "documents")
+    odd = spark.createDataFrame([(90001, None, "en", "src1", None), (90002, "", None, None, 0), (90003, "words " * 3, "en", "src2", 18)], docs.schema)
+    docs = docs.unionByName(odd).unionByName(docs.where("doc_id < 5"))
+    items = [(r["item_id"], r["text"]) for r in queries.table(spark, sf_dir, "benchmark").collect()]
+    extra = docs.withColumns({"N_words": F.lit("x"), "Epochs": F.lit("y"), "Slot": F.lit("z"), "domain": F.lit("d"), "node": F.lit("n")})
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        if i < 4:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            wide = stage(spark, extra.limit(40), sf_dir)
+            assert wide.columns == extra.columns
+        given = Counter(r["doc_id"] for r in before)
+        left = Counter(r["doc_id"] for r in rows)
+        if name == "quality rules":
+            assert all(measures(r["text"])[0] >= 10 and 5 * measures(r["text"])[4] <= measures(r["text"])[0] for r in rows)
+            assert len(rows) > 0.7 * len(before)
+        elif name == "near duplicates":
+            expected = {g[0] for g in groups([(r["doc_id"], r["text"]) for r in before], 5) if g[3]}
+            assert left == Counter({d: n for d, n in given.items() if d in expected})
+        elif name == "benchmark passages":
+            texts = {r["doc_id"]: r["text"] for r in rows}
+            for r in before:
+                n, hit, _ = hits(r["text"], items)
+                assert (hit == 0) == (texts.get(r["doc_id"]) == r["text"]) and (r["doc_id"] in texts or hit == n)
+                assert r["doc_id"] not in texts or not hits(texts[r["doc_id"]], items)[1] or lower(texts[r["doc_id"]]) != lower(r["text"])
+            assert all(r["n_chars"] == len(r["text"]) for r in rows)
+        elif name == "source mixture":
+            tokens = lambda x: sum(len((r["text"] or "").split()) for r in x)
+            assert 0.5 * tokens(before) < tokens(rows) <= 0.9 * tokens(before) + 1
+            assert not left - given
+        else:
+            holds(rows, 24)
+            assert left == given
+        docs = spark.createDataFrame(rows, out.schema)
+        extra = docs.withColumns({"N_words": F.lit("x"), "Epochs": F.lit("y"), "Slot": F.lit("z"), "domain": F.lit("d"), "node": F.lit("n")}) if i < 3 else None
+        if extra is None:
+            extra = docs

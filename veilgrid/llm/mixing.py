@@ -53,7 +53,7 @@ def _shared(nodes: DataFrame, above: list[str], name: str) -> DataFrame:
     of what is left for it and those behind.
     """
     siblings = Window.partitionBy(*above)
-    order = siblings.orderBy(F.expr("cap / weight"), name)
+    order = siblings.orderBy(F.expr("try_divide(cap, weight)"), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     some = nodes.withColumn("weight", F.when(F.col("cap") > 0, F.col("weight")).otherwise(0))
     live = some.withColumns({

@@ -13,8 +13,8 @@ from veilgrid.session import cut_lineage
 FILL = 0.9
 #: Members of a link that meet its row in one join key; larger links are salted.
 SALT_ROWS = 50_000
-#: Hash buckets in which movers of one size and target are admitted.
-TURNS = 64
+#: Hash buckets of links, and of nodes in them, in which movers of one size and target are admitted.
+TURNS = 16
 
 
 def shard_documents(
@@ -25,9 +25,9 @@ def shard_documents(
 
     ``links``: ``node`` (``hash_128`` of a doc_id) and ``link``, any value; documents that share a link are neighbours.
     Sizes of shards differ by one row at most. The start is a hash of the doc_id. In each round every link proposes
-    the shard with room that holds most of its members; a document takes the proposal with most votes among its
-    links if it has more neighbours there than in its own shard. Movers are admitted up to the room, whole links
-    together, the largest first. Documents without links have no votes and give way: room is the quota less the
+    the shard with room that can hold most of its members, of these the one that holds most; a document takes the
+    proposal with most votes among its links if that is more than its own shard offers. Movers are admitted up to the room, link by link,
+    the largest first; the rest of a link may follow in a later round. Documents without links have no votes and give way: room is the quota less the
     linked documents. It ends when nothing moves, or after ``rounds``. At last rows over a shard's quota, unlinked
     ones first, fill the shards below it.
 
@@ -82,28 +82,34 @@ def _moves(members: DataFrame, state: DataFrame, room: list[int], turn: int) ->
     member = members.join(state.select("node", "shard"), "node")
     votes = member.groupBy("link", "shard").agg(F.sum("weight").alias("n"), F.max("size").alias("size"))
     chance = F.xxhash64(F.lit(turn), "link", "shard")
-    best = F.max_by(F.struct("shard", "n"), F.when(F.get(free, F.col("shard")) > 0, F.struct("n", chance)))
+    # what a shard can hold of the link comes first, then what it holds
+    reach = lambda n: F.least(n + F.get(free, F.col("shard")), F.col("size"))
+    best = F.max_by(F.struct("shard", reach(F.col("n")).alias("reach"), "n"), F.when(F.get(free, F.col("shard")) > 0, F.struct(reach(F.col("n")), "n", chance)))
     tally = votes.groupBy("link").agg(
         best.alias("best"), F.max("size").alias("size"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("votes"))
     salted = tally.select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / SALT_ROWS) - 1).cast("int"))).alias("salt"))
+    own = F.element_at("votes", F.col("shard"))
     heard = member.drop("size").join(salted, ["link", "salt"]).select(
-        "node", "weight", "shard", "link", "size", F.col("best.shard").alias("target"), F.col("best.n").alias("for"),
-        F.element_at("votes", F.col("shard")).alias("own"))
+        "node", "weight", "shard", F.struct("link", "size").alias("unit"), F.col("best.shard").alias("target"),
+        F.struct(F.col("best.reach").alias("reach"), F.col("best.n").alias("n")).alias("there"), F.struct(reach(own).alias("reach"), own.alias("n")).alias("here"))
+    sums = lambda c: F.struct(F.sum(f"{c}.reach").alias("reach"), F.sum(f"{c}.n").alias("n"))
     by_target = heard.groupBy("node", "weight", "shard", "target").agg(
-        F.sum("for").alias("for"), F.sum("own").alias("own"), F.max_by(F.struct("link", "size"), "for").alias("unit"))
+        sums("there").alias("there"), sums("here").alias("here"), F.max_by("unit", "there").alias("unit"))
     chosen = by_target.groupBy("node", "weight", "shard").agg(
-        F.max_by(F.struct("target", "for", "unit"), F.struct(F.when(F.col("target").isNotNull(), F.col("for")), F.xxhash64(F.lit(turn), "target"))).alias("to"),
-        F.sum("own").alias("own"))
-    gain = F.struct(F.col("to.for"), F.xxhash64(F.lit(turn), "to.unit.link", "to.target"))
-    stay = F.struct(F.col("own"), F.xxhash64(F.lit(turn), "to.unit.link", "shard"))
+        F.max_by(F.struct("target", "there", "unit"), F.struct(F.when(F.col("target").isNotNull(), F.col("there")), F.xxhash64(F.lit(turn), "target"))).alias("to"),
+        sums("here").alias("here"))
+    gain = F.struct(F.col("to.there"), F.xxhash64(F.lit(turn), "to.unit.link", "to.target"))
+    stay = F.struct(F.col("here"), F.xxhash64(F.lit(turn), "to.unit.link", "shard"))
     movers = chosen.where((F.col("to.target") != F.col("shard")) & (gain > stay)).select(
         "node", "weight", F.col("to.target").alias("target"), F.length(F.bin("to.unit.size")).alias("magnitude"),
-        F.pmod(F.xxhash64(F.lit(turn), "to.unit.link"), F.lit(TURNS)).cast("int").alias("bucket"))
-    mass = movers.groupBy("target", "magnitude", "bucket").agg(F.sum("weight").alias("mass"))
-    fits = mass.where(F.col("mass") <= F.get(free, F.col("target")))  # a few rows for each shard, whatever the input
-    upto = F.sum("mass").over(Window.partitionBy("target").orderBy(F.desc("magnitude"), "bucket"))
+        F.pmod(F.xxhash64(F.lit(turn), "to.unit.link"), F.lit(TURNS)).cast("int").alias("bucket"),
+        F.pmod(F.xxhash64(F.lit(turn), "node.a", "node.b"), F.lit(TURNS)).cast("int").alias("part"))
+    group = ["target", "magnitude", "bucket", "part"]
+    mass = movers.groupBy(*group).agg(F.sum("weight").alias("mass"))  # at most shards * 64 * TURNS ** 2 rows
+    fits = mass.where(F.col("mass") <= F.get(free, F.col("target")))
+    upto = F.sum("mass").over(Window.partitionBy("target").orderBy(F.desc("magnitude"), "bucket", "part"))
     admitted = fits.withColumn("upto", upto).where(F.col("upto") <= F.get(free, F.col("target")))
-    return movers.join(F.broadcast(admitted.select("target", "magnitude", "bucket")), ["target", "magnitude", "bucket"], "left_semi").select("node", "target")
+    return movers.join(F.broadcast(admitted.select(*group)), group, "left_semi").select("node", "target")
 
 
 def _placed(docs: DataFrame, labels: DataFrame, quota: list[int], doc_id: str, seed: int, shard: str, slot: str) -> DataFrame:
