@@ -39,6 +39,9 @@ class Settings:
         return self.bands * self.rows
 
 
+#: Bits of the filter that picks the documents whose sets are compared (16 MB); more ids let more others through.
+MARKS = 1 << 27
+
 SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("set_hash", T.BinaryType()),
     T.StructField("signature", T.BinaryType()),
@@ -146,11 +149,28 @@ def likely(pairs: DataFrame, signatures: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "one", "other").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _marked(ids: DataFrame) -> np.ndarray:
+    """``MARKS`` bits as bytes, of which those of the hashes of ``ids`` are set: a fixed size, whatever the ids."""
+    at = F.pmod(F.xxhash64("id"), F.lit(MARKS))
+    parts = ids.select(at.alias("at")).groupBy(F.expr("at DIV 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
+    marks = np.zeros(MARKS // 8, dtype=np.uint8)
+    for row in parts.toLocalIterator():  # at most MARKS / 32768 rows
+        marks[row["part"] * 4096: (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
+    return marks
+
+
 def _sets(docs: DataFrame, ids: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
-    """``id`` and the whole shingle set of the documents ``ids``, one row each."""
+    """``id`` and the whole shingle set of the documents ``ids``, and of a few others that share a bit with one.
+
+    The bits are a filter in front of the joins that follow: texts themselves are not shuffled.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(_marked(ids))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = known.value
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.take(pa.array(np.flatnonzero(marks[at >> 3] >> (at & 7) & 1)))
             for start, end in pieces(batch.column(1)):
                 part = batch.slice(start, end - start)
                 values, offsets = shingle_sets(part.column(1), s.words)
@@ -159,8 +179,8 @@ def _sets(docs: DataFrame, ids: DataFrame, s: Settings, doc_id: str, text: str)
                     part.column(0), pa.array([raw[8 * a: 8 * b] for a, b in zip(offsets, offsets[1:], strict=False)], pa.binary()),
                 ], names=SETS.names)
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(gather, SETS)
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return rows.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(MARKS))).mapInArrow(gather, SETS)
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
