@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import values as V
 
 SPAN_TYPE = "struct<type:string,match:string,start_idx:int,end_idx:int>"
+BLOCK = 256  # elements that a fold appends to one array before it starts the next
 NO_SPANS = f"cast(array() as array<{SPAN_TYPE}>)"
 
 
@@ -39,6 +40,31 @@ def computed_once(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", f"inline_outer(array(named_struct({fields})))")
 
 
+def folded(values: str, element: str, start: str, step: str, keep: str, row: str, element_type: str) -> str:
+    """Rows of a fold over ``values`` in time linear in their number.
+
+    The fold's state ``a.x`` goes from ``start`` by ``step``; where ``keep`` holds, ``row`` is appended (all see
+    ``a.x`` and ``element``). Appending copies an array, so rows gather in blocks that are flattened once.
+    """
+    none = f"cast(array() as array<{element_type}>)"
+    full = f"size(a.open) >= {BLOCK}"
+    return f"""aggregate({values}, named_struct('x', {start}, 'open', {none}, 'done', cast(array() as array<array<{element_type}>>)),
+        (a, {element}) -> if({keep}, named_struct('x', {step},
+            'open', if({full}, array({row}), concat(a.open, array({row}))),
+            'done', if({full}, concat(a.done, array(a.open)), a.done)), a),
+        a -> flatten(concat(a.done, array(a.open))))"""
+
+
+def fixed_width(text: str) -> str:
+    """The text as four bytes per character, of which any part is found at once."""
+    return f"encode({text}, 'UTF-32')"
+
+
+def part_sql(wide: str, start: str, length: str) -> str:
+    """Characters ``start`` (from 0) to ``start + length`` of a text in ``fixed_width``."""
+    return f"decode(substring({wide}, 4 * ({start}) + 1, 4 * ({length})), 'UTF-32')"
+
+
 def in_list(expr: str, names: tuple[str, ...]) -> str:
     return f"{expr} in ({', '.join(repr(n) for n in names)})"
 
@@ -53,14 +79,12 @@ def pattern_spans_sql(text: str, kind: str, pattern: str, gate: str) -> str:
     The offsets follow from the pieces between the matches, so the text is read twice
     by the regex engine and only where the cheap ``gate`` holds and something matched.
     """
-    fold = f"""aggregate(sequence(0, size(m) - 1),
-        named_struct('pos', 0, 'hits', {NO_SPANS}),
-        (a, i) -> named_struct(
-            'pos', a.pos + length(get(p, i)) + length(get(m, i)),
-            'hits', concat(a.hits, array(named_struct('type', '{kind}', 'match', get(m, i),
-                'start_idx', a.pos + length(get(p, i)),
-                'end_idx', a.pos + length(get(p, i)) + length(get(m, i)))))),
-        a -> a.hits)"""
+    end = "a.x + length(get(p, i)) + length(get(m, i))"
+    fold = folded(
+        "sequence(0, size(m) - 1)", "i", "0", end, "true",
+        f"named_struct('type', '{kind}', 'match', get(m, i), 'start_idx', a.x + length(get(p, i)), 'end_idx', {end})",
+        SPAN_TYPE,
+    )
     found = let("p", f"split({text}, {raw(pattern)}, -1)", fold)
     matched = let(
         "m", f"regexp_extract_all({text}, {raw(pattern)}, 0)", f"if(size(m) = 0, {NO_SPANS}, {found})"
@@ -106,14 +130,10 @@ def aadhaar_from_runs(runs: str) -> str:
 
 def otp_from_runs(runs: str, text: str) -> str:
     n = V.OTP_CONTEXT_CHARS
-    context = (
-        f"substring({text}, greatest(r.start_idx - {n}, 0) + 1, r.end_idx + {n} - greatest(r.start_idx - {n}, 0))"
-    )
-    return _runs_as(
-        runs, "OTP",
-        f"length(r.match) between 4 and 6 and {_digits('r.match')} = length(r.match)"
-        f" and rlike({context}, {raw(V.OTP_CONTEXT)})",
-    )
+    context = part_sql("wide", f"greatest(r.start_idx - {n}, 0)", f"r.end_idx + {n} - greatest(r.start_idx - {n}, 0)")
+    short = f"filter({runs}, r -> length(r.match) between 4 and 6 and {_digits('r.match')} = length(r.match))"
+    near = let("wide", fixed_width(text), _runs_as("short", "OTP", f"rlike({context}, {raw(V.OTP_CONTEXT)})"))
+    return let("short", short, f"if(size(short) = 0, {NO_SPANS}, {near})")
 
 
 def spans_sql(text: str) -> str:
@@ -179,20 +199,16 @@ def resolved_spans_sql(spans: str) -> str:
         f" 'neg_len', s.start_idx - s.end_idx, 'tier', {tier_sql('s.type')}, 'ord', {order},"
         f" 'type', s.type, 'match', s.match, 'end_idx', s.end_idx)))"
     )
-    return f"""aggregate({ranked}, named_struct('last', 0, 'kept', {NO_SPANS}),
-        (a, s) -> if(s.start_idx >= a.last,
-            named_struct('last', s.end_idx, 'kept', concat(a.kept, array(named_struct(
-                'type', s.type, 'match', s.match, 'start_idx', s.start_idx, 'end_idx', s.end_idx)))), a),
-        a -> a.kept)"""
+    kept = "named_struct('type', s.type, 'match', s.match, 'start_idx', s.start_idx, 'end_idx', s.end_idx)"
+    return folded(ranked, "s", "0", "s.end_idx", "s.start_idx >= a.x", kept, SPAN_TYPE)
 
 
 def splice_sql(text: str, spans: str, replacement: str) -> str:
     """Replace each of the ordered, non-overlapping ``spans``; ``replacement`` sees the span as ``s``."""
     previous_end = "if(i = 0, 0, get(kept, i - 1).end_idx)"
-    pieces = (
-        f"transform(kept, (s, i) -> concat(substring({text}, {previous_end} + 1,"
-        f" s.start_idx - {previous_end}), {replacement}))"
-    )
-    tail = f"substring({text}, get(kept, size(kept) - 1).end_idx + 1)"
-    body = f"if(size(kept) = 0, {text}, concat(array_join({pieces}, ''), {tail}))"
+    between = part_sql("wide", previous_end, f"s.start_idx - {previous_end}")
+    pieces = f"transform(kept, (s, i) -> concat({between}, {replacement}))"
+    last = "get(kept, size(kept) - 1).end_idx"
+    joined = let("wide", fixed_width(text), f"concat(array_join({pieces}, ''), {part_sql('wide', last, f'length({text}) - {last}')})")
+    body = f"if(size(kept) = 0, {text}, {joined})"
     return let("kept", spans, body)

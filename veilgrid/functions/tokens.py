@@ -23,7 +23,8 @@ def _literal(text: str) -> str:
 
 def suffix_sql(session: str, value: str, key: str, letters: int = SUFFIX_LETTERS) -> str:
     k = _literal(key)
-    inner = f"sha2(concat({k}, '|', {session}, '|', {value}), 256)"
+    # the session's length tells where it ends, so no two pairs of session and value are one text
+    inner = f"sha2(concat({k}, '|', length({session}), '|', {session}, '|', {value}), 256)"
     outer = f"sha2(concat({k}, '|', {inner}), 256)"
     return f"translate(substring({outer}, 1, {letters}), '0123456789', 'ghijklmnop')"
 
@@ -53,6 +54,11 @@ def token_type_sql(token: str) -> str:
     return f"coalesce(nullif(regexp_extract({token}, {raw(V.STATS_TOKEN)}, 1), ''), 'UNKNOWN')"
 
 
+def token_suffix_sql(token: str) -> str:
+    """The keyed suffix of a token, which alone identifies session and value; null for other texts."""
+    return f"nullif(regexp_extract({token}, {raw(V.STATS_TOKEN.replace('([A-Z_]+)_[a-z0-9]+', '[A-Z_]+_([a-z0-9]+)'))}, 1), '')"
+
+
 def plain_token_sql(token: str) -> str:
     """A token without its uncertainty mark, as the vault holds it."""
     return f"regexp_replace({token}, {raw(chr(92) + '?' + chr(92) + ']$|: uncertain' + chr(92) + ']$')}, ']')"

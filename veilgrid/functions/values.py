@@ -92,3 +92,4 @@ REASON_ERROR_TEXT = "Visible error text detected on page"
 REASON_ERROR_ELEMENT = "Element with error role/class detected"
 NO_HISTORY = "No previous steps in this session."
 HISTORY_HEADER = "Previous steps taken:\n"
+TEXT_TOKEN = r"\[[A-Z_]+_[a-p]{24}\]"  # a token as redaction writes it into a text

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 from veilgrid.functions import detect as D
 from veilgrid.functions import tokens as K
 from veilgrid.functions import values as V
+from veilgrid.functions.classify import trim_sql
+from veilgrid.functions.detect import raw
 
 LEAF = "array<struct<path:string,value:string>>"
 IMAGE_PATH = "redacted_image_base64"
@@ -29,7 +31,27 @@ def _leaves_sql(expr: str, kind: T.DataType, path: str, depth: int) -> str | Non
         x, i = f"x{depth}", f"i{depth}"
         inner = _leaves_sql(x, kind.elementType, f"concat({path}, '[', {i}, ']')", depth + 1)
         return inner and f"coalesce(flatten(transform({expr}, ({x}, {i}) -> {inner})), cast(array() as {LEAF}))"
-    return None
+    if isinstance(kind, T.MapType):
+        e = f"e{depth}"
+        inner = _leaves_sql(f"{e}.value", kind.valueType, f"concat({path}, '.', cast({e}.key as string))", depth + 1)
+        return inner and f"coalesce(flatten(transform(map_entries({expr}), {e} -> {inner})), cast(array() as {LEAF}))"
+    if isinstance(kind, T.VariantType):
+        return _variant_leaves_sql(expr, path)
+    if isinstance(kind, (T.NumericType, T.BooleanType, T.DatetimeType, T.NullType, T.BinaryType, T.AnsiIntervalType)):
+        return None
+    raise TypeError(f"the audit cannot look into {kind.simpleString()}")
+
+
+def _variant_leaves_sql(expr: str, path: str) -> str:
+    """Every string at any depth of a variant, under the name of its field (the nearest one before it in a list)."""
+    literal = raw(r'"((?:[^"\\]|\\.)*+)"(:?)')
+    parts = D.let("js", f"to_json({expr})", "arrays_zip(" + ", ".join(
+        f"regexp_extract_all(js, {literal}, {g})" for g in (1, 2)) + ")")
+    text = "get(from_json(concat('[\"', t.`0`, '\"]'), 'array<string>'), 0)"
+    before = "get(tokens, i - 1)"
+    name = f"if(i > 0 and {before}.`1` = ':', concat('.', {before}.`0`), '')"
+    leaf = f"transform(tokens, (t, i) -> if(t.`1` = ':', null, named_struct('path', concat({path}, {name}), 'value', {text})))"
+    return f"if({expr} is null, cast(array() as {LEAF}), array_compact({D.let('tokens', parts, leaf)}))"
 
 
 def string_leaves(df: DataFrame, key: list[str]) -> DataFrame:
@@ -130,7 +152,7 @@ def raw_value_leaks(leaves: DataFrame, sensitive: DataFrame, block: int = VALUE_
     and value becomes a row unless it leaks, and a payload with very many values is spread
     over several rows.
     """
-    values = sensitive.select("payload_id", F.trim("raw_value").alias("raw_value")).where(
+    values = sensitive.select("payload_id", F.expr(trim_sql("raw_value")).alias("raw_value")).where(
         f"length(raw_value) >= {V.MIN_LEAK_LENGTH}").distinct()
     sizes = values.groupBy("payload_id").agg(F.ceil(F.count("*") / block).alias("_blocks"))
     packed = values.join(sizes, "payload_id").groupBy(
@@ -155,13 +177,14 @@ def audit_records(decisions: DataFrame) -> DataFrame:
 
 
 def region_rollup(regions: DataFrame) -> DataFrame:
-    """Regions per payload by detection source."""
-    return regions.groupBy("payload_id").pivot("detection_source", list(V.DETECTION_METHODS)).agg(
+    """Regions per payload by detection source; regions of the page have none and count as the page's own."""
+    found = regions.withColumn("detection_source", F.coalesce("detection_source", F.lit("dom_heuristic")))
+    return found.groupBy("payload_id").pivot("detection_source", list(V.DETECTION_METHODS)).agg(
         F.count(F.lit(1))).fillna(0, list(V.DETECTION_METHODS))
 
 
 def latency_rollup(metrics: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Count, mean, p50, p95 and maximum per measure, with bounded sketches for the percentiles."""
+    """Count, p50, p95 and maximum per measure, with bounded sketches for the percentiles."""
     return metrics.groupBy("name").agg(
         F.count("*").alias("n"), F.max("duration_ms").alias("max_ms"),
         F.percentile_approx("duration_ms", 0.5, accuracy).alias("p50_ms"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgrid.functions.classify import trim_sql
+
 
 def relink(before: DataFrame, after: DataFrame, order: str = "seq") -> DataFrame:
     """Find each perceived element again: ``resolved_id`` and ``reindexed``.
@@ -16,7 +18,7 @@ def relink(before: DataFrame, after: DataFrame, order: str = "seq") -> DataFrame
     """
     def norm(df: DataFrame) -> DataFrame:
         return df.withColumns({
-            "_tag": F.lower(F.coalesce("tag", F.lit(""))), "_label": F.lower(F.trim(F.coalesce("label", F.lit(""))))})
+            "_tag": F.lower(F.coalesce("tag", F.lit(""))), "_label": F.lower(F.expr(trim_sql("coalesce(label, '')")))})
 
     wanted, current = norm(before), norm(after)
     seen = F.struct(F.col("_tag").alias("_tag2"), F.col("_label").alias("_label2"))

@@ -127,20 +127,27 @@ def server_steps(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (
 def previous_errors(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour") -> DataFrame:
     """``last_action_error``: error of the attempt before, null after a success."""
     rows = attempts.withColumn("_bucket", slice_of(ts, unit))
-    lagged = lag_by_bucket(rows, ["session_id"], "_bucket", [ts, *order], ["error"], "_prev")
-    return lagged.withColumn("last_action_error", F.col("_prev.error")).drop("_prev", "_bucket")
+    rows = rows.withColumn("_error", F.expr("if(succeeded, null, error)"))
+    lagged = lag_by_bucket(rows, ["session_id"], "_bucket", [ts, *order], ["_error"], "_prev")
+    return lagged.withColumn("last_action_error", F.col("_prev._error")).drop("_prev", "_bucket", "_error")
 
 
 def task_limits(attempts: DataFrame, max_retries: int = V.MAX_RETRIES, max_steps: int = V.MAX_STEPS) -> DataFrame:
-    """Outcome per session: the first step that failed too often, else too many steps."""
+    """Outcome per session by the limit that it reached first: a step that failed too often, or the number of steps.
+
+    A task ends there: ``n_steps`` counts up to that step, and a failure after the last allowed step does not count.
+    """
     steps = attempts.groupBy("session_id", "step_number").agg(
         F.sum(F.expr("cast(not succeeded as int)")).alias("n_failed"))
-    return steps.groupBy("session_id").agg(
-        F.min(F.when(F.col("n_failed") >= max_retries, F.col("step_number"))).alias("failed_step"),
-        F.count("*").alias("n_steps"),
-    ).withColumn("outcome", F.expr(
+    failed = steps.where(F.col("n_failed") >= max_retries).groupBy("session_id").agg(F.min("step_number").alias("_failed"))
+    upto = steps.join(failed, "session_id", "left").groupBy("session_id").agg(
+        F.first("_failed").alias("_failed"),
+        F.count(F.when(F.col("_failed").isNull() | (F.col("step_number") <= F.col("_failed")), 1)).alias("_upto"))
+    counts = upto.withColumn("failed_step", F.expr(f"if(_upto <= {max_steps}, _failed, null)")).withColumn(
+        "n_steps", F.least("_upto", F.lit(max_steps)))
+    return counts.withColumn("outcome", F.expr(
         f"case when failed_step is not null then 'max_retries_exceeded'"
-        f" when n_steps >= {max_steps} then 'max_steps_exceeded' end"))
+        f" when n_steps >= {max_steps} then 'max_steps_exceeded' end")).drop("_failed", "_upto")
 
 
 def outcomes(ends: DataFrame, ts: str = "ts") -> DataFrame:

@@ -44,6 +44,12 @@ def redact_text(
     }).drop("_r")
 
 
+def text_tokens(redacted: DataFrame, text: str = "redacted_text") -> DataFrame:
+    """One row per token in a redacted text, in order: other columns, ``pos``, ``token``."""
+    found = F.expr(f"regexp_extract_all({text}, {raw(V.TEXT_TOKEN)}, 0)")
+    return redacted.select(*[c for c in redacted.columns if c != text], F.posexplode(found).alias("pos", "token"))
+
+
 def split_residual(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Clean rows, and rows to hold back because personal data is still in the text."""
     return redacted.where("residual = 0"), redacted.where("residual > 0")

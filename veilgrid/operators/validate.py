@@ -40,6 +40,7 @@ PAYLOAD_RULES = {
     "confidence_range": (
         "exists(detection_confidence_notes, n -> coalesce(n.confidence is null or n.confidence < 0 or n.confidence > 1, true))"
     ),
+    "note_without_element": "exists(detection_confidence_notes, n -> coalesce(n.element_id is null, true))",
     "method_value": (
         "exists(detection_confidence_notes, n -> not coalesce(" + in_list("n.method", V.DETECTION_METHODS) + ", false))"
     ),

@@ -57,6 +57,18 @@ def resolve_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> D
     )
 
 
+def restore_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
+    """Attach ``raw_value`` by the token's suffix, for tokens that a redacted text holds.
+
+    A text's token names the type of the span, the vault's the type seen first; the suffix is the same. Needs suffixes
+    of at least ``UNIQUE_LETTERS`` letters.
+    """
+    suffix = F.expr(K.token_suffix_sql("token"))
+    lookup = vault.select("session_id", suffix.alias("_suffix"), "raw_value")
+    keyed = rows.withColumn("_suffix", F.expr(K.token_suffix_sql(token)))
+    return keyed.join(lookup, ["session_id", "_suffix"], "left").drop("_suffix")
+
+
 def has_token(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
     """Rows whose token their own session issued."""
     return rows.join(vault.select("session_id", F.col("token").alias(token)), ["session_id", token], "left_semi")

@@ -136,6 +136,13 @@ def token_join(spark, sf_dir):
     return U.with_tokens(occ, _vault(spark, sf_dir)).select("session_id", "ord", "pos", "sensitivity_type", "token")
 
 
+@query
+def redaction_round_trip(spark, sf_dir):
+    """Every token of every redacted text, resolved back to its raw value."""
+    redacted = X.redact_text(derived.texts(spark, sf_dir), KEY).select("doc_id", "session_id", "redacted_text")
+    return U.restore_tokens(X.text_tokens(redacted), _vault(spark, sf_dir)).select("doc_id", "pos", "raw_value")
+
+
 def _claimed_tokens(spark, sf_dir) -> DataFrame:
     """Token strings as a model might send them back: real, of another session, and invented."""
     vault = _vault(spark, sf_dir)
@@ -579,8 +586,7 @@ def purged_vault(spark, sf_dir):
 
 
 def _dom_boxes(spark, sf_dir) -> DataFrame:
-    """Boxes of the elements on the first four lines of an order."""
-    return derived.raw_elements(spark, sf_dir).where("seq < 5000000000000").select("payload_id", "seq", E.box().alias("box"))
+    return derived.raw_elements(spark, sf_dir).select("payload_id", "seq", E.box().alias("box"))
 
 
 def _vision(spark, sf_dir) -> DataFrame:
@@ -633,7 +639,7 @@ def channel_union(spark, sf_dir):
 def _fused(spark, sf_dir) -> DataFrame:
     boxes = _vision(spark, sf_dir)
     return J.fused_regions(
-        _elements(spark, sf_dir).where("seq < 5000000000000"), boxes.where("text is null"), boxes.where("text is not null"))
+        _elements(spark, sf_dir), boxes.where("text is null"), boxes.where("text is not null"))
 
 
 @query
@@ -781,7 +787,7 @@ def origin_boost(spark, sf_dir):
 def _stored_payloads(spark, sf_dir) -> DataFrame:
     """Payload documents written as JSON lines and read back by the source."""
     path = shared_folder(spark, "payloads")
-    _made_payloads(spark, sf_dir).drop("extra").write.json(path)
+    _made_payloads(spark, sf_dir).write.json(path)
     return sources_payloads.read_payloads(spark, path)
 
 
@@ -861,6 +867,19 @@ def normalised_responses(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------
 
 
+@query
+def unknown_field_leaks(spark, sf_dir):
+    """Payload lines with fields that no schema knows, nested ones and broken lines: what the audit finds in them."""
+    path = shared_folder(spark, "unknown-fields")
+    table(spark, sf_dir, "orders").selectExpr(f"({derived.UNKNOWN_LINES}) as value").write.text(path)
+    lines = sources_payloads.read_payloads(spark, path)
+    leaves = A.string_leaves(lines.select("payload_id", "line"), ["payload_id"])
+    none = spark.createDataFrame([], "token string")
+    found = A.leaf_violations(leaves, none).unionByName(lines.where("reject_reason is not null").selectExpr(
+        "payload_id", "'line' as path", "'broken' as reason", "reject_reason as matched_type"))
+    return found.groupBy("path", "matched_type").agg(F.count("*").alias("n_found"))
+
+
 def _finish(started, spark, folder: str, schema: str) -> DataFrame:
     started.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/rows").drop("epoch")
@@ -904,7 +923,7 @@ def streamed_sessions(spark, sf_dir):
     """Vaults that expired within the log; those still open at its end stay in state."""
     folder = shared_folder(spark, "sessions")
     arriving = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.ACCESSES).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _finish(jobs.stream_sessions(arriving, folder), spark, folder,
+    return _finish(jobs.stream_sessions(arriving, folder, late="0 seconds"), spark, folder,
                    "session_id bigint, opened timestamp, last_access timestamp, n_accesses bigint").withColumns({
                        "opened": F.col("opened").cast("timestamp_ntz"), "last_access": F.col("last_access").cast("timestamp_ntz")})
 

@@ -112,7 +112,6 @@ VISION_BOXES = [
     f"""CASE CAST(l_suppkey % 4 AS INT) WHEN 0 THEN concat('Card on file: 4111 1111 1111 ', {_pad('l_suppkey % 10000', 4)})
         WHEN 1 THEN 'Welcome back!' WHEN 2 THEN concat('write user', l_suppkey, '@example.com') END AS text""",
 ]
-VISION_WHERE = "l_linenumber % 2 = 1"
 
 # Agent actions, one per line item, on an element of the same order or on none.
 _ELEMENT = "concat('el-', l_linenumber, '-', l_partkey, '-', l_suppkey)"
@@ -164,7 +163,7 @@ def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vision_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where(VISION_WHERE).selectExpr(*VISION_BOXES)
+    return table(spark, sf_dir, "lineitem").selectExpr(*VISION_BOXES)
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +255,12 @@ RESPONSES = [
         WHEN 6 THEN '[]' WHEN 7 THEN '"click"' WHEN 8 THEN '{broken' WHEN 9 THEN ''
         ELSE '{"actions":null,"action":{"type":"click"},"type":"wait"}' END AS raw_response""",
 ]
+# Payload lines with fields outside the schema, one per order; each seventh is broken.
+UNKNOWN_LINES = """CASE WHEN o_orderkey % 7 = 3 THEN concat('{"payload_id":', o_orderkey, ',"memo":') ELSE concat(
+    '{"payload_id":', o_orderkey, ',"session_id":"s","memo":"', CASE WHEN o_orderkey % 5 = 1 THEN 'card 4111 1111 1111 1111' ELSE 'none' END,
+    '","extra":{"list":[1,{"mail":"', CASE WHEN o_orderkey % 3 = 1 THEN concat('a', o_orderkey, '@example.com') ELSE 'no mail' END,
+    '"},"plain"],"password":"', CASE WHEN o_orderkey % 4 = 1 THEN 'hun\\u0074er2' ELSE '' END,
+    '"},"redacted_regions":[{"element_id":"e","note":"', CASE WHEN o_orderkey % 6 = 1 THEN '9876543210' ELSE '' END, '"}]}') END"""
 # Recognised text of a screen: two blocks with nested lines, one row per line item.
 OCR_PAGES = [
     "l_orderkey AS payload_id", "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq",

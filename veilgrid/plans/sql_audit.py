@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from veilgrid.functions import values as V
 from veilgrid.plans import derived as d
-from veilgrid.plans.sql_elements import ACT, EL, ELEMENTS, RAW, TOKENIZED
+from veilgrid.plans.sql_elements import ACT, EL, ELEMENTS, RAW, TOKENIZED, trim
 from veilgrid.plans.sql_text import (
     ACTIONS, ISSUED_SHAPE, STRICT_SHAPE, TEXT_KEPT, TEXT_SPANS, TEXTS, spans, tier, with_,
 )
 
 REGIONS = f"regions AS ({d.select_sql(d.REGIONS, 'lineitem', d.REGIONS_WHERE)})"
-VISION = f"vision AS MATERIALIZED ({d.select_sql(d.VISION_BOXES, 'lineitem', d.VISION_WHERE)})"
-DOM_BOXES = "doms AS MATERIALIZED (SELECT payload_id, seq, x, y, w, h FROM raw WHERE seq < 5000000000000)"
+VISION = f"vision AS MATERIALIZED ({d.select_sql(d.VISION_BOXES, 'lineitem')})"
+DOM_BOXES = "doms AS MATERIALIZED (SELECT payload_id, seq, x, y, w, h FROM raw)"
 
 
 def iou(a: str, b: str) -> str:
@@ -46,7 +46,7 @@ def matching(dom: str = "doms", seen: str = "vision") -> str:
 
 UNION = """confirmed AS (SELECT DISTINCT payload_id, 'dom' AS source, dom_seq AS seq FROM dom_hit
         UNION SELECT DISTINCT payload_id, 'vision', vision_seq FROM walk WHERE vision_seq IS NOT NULL)"""
-FUSED = f"""doms AS MATERIALIZED (SELECT *, method AS detection_source FROM el WHERE sensitivity_tier IN (1, 2) AND seq < 5000000000000),
+FUSED = f"""doms AS MATERIALIZED (SELECT *, CAST(NULL AS VARCHAR) AS detection_source FROM el WHERE sensitivity_tier IN (1, 2)),
     lines AS MATERIALIZED (SELECT * FROM vision WHERE text IS NOT NULL),
     {spans('lines', 'payload_id, seq', prefix='line_')},
     line_best AS (SELECT payload_id, seq, arg_min(type, (tier, ord, start_idx)) AS kind FROM line_spans GROUP BY ALL),
@@ -141,28 +141,28 @@ def audit_queries() -> dict[str, str]:
             FROM orders LEFT JOIN (SELECT payload_id, count(*) AS n FROM violations GROUP BY ALL) v ON v.payload_id = o_orderkey"""),
         "send_gate": with_(*PAY, LOOSE, REGIONS, mismatches(DOM_ONLY), """SELECT payload_id, CASE WHEN payload_id IN (SELECT payload_id FROM violations)
             OR payload_id IN (SELECT payload_id FROM mismatches) THEN 'hold' ELSE 'send' END AS gate FROM pay"""),
-        "raw_value_leaks": with_(*PAY, """secrets AS (SELECT DISTINCT payload_id, trim(v) AS raw_value FROM (
+        "raw_value_leaks": with_(*PAY, f"""secrets AS (SELECT DISTINCT payload_id, {trim('v')} AS raw_value FROM (
                 SELECT payload_id, raw_value AS v FROM el WHERE sensitivity_tier IN (1, 2) AND raw_value IS NOT NULL
-                UNION ALL SELECT payload_id, match FROM spans JOIN el USING (payload_id, seq) WHERE el.sensitivity_tier IN (1, 2)) WHERE length(trim(v)) >= 3)""",
+                UNION ALL SELECT payload_id, match FROM spans JOIN el USING (payload_id, seq) WHERE el.sensitivity_tier IN (1, 2)) WHERE length({trim('v')}) >= 3)""",
             """SELECT l.payload_id, path, raw_value FROM leaves l JOIN secrets s ON s.payload_id = l.payload_id AND contains(l.value, s.raw_value)
             WHERE path <> 'redacted_image_base64' AND NOT starts_with(value, '[')"""),
         "audit_records": with_(ACTIONS, """SELECT 's' || payload_id AS session_id, CAST(action_seq % 20 AS INTEGER) AS step_number, sha256(coalesce(reasoning_short, '')) AS instruction_hash,
             type, target_element_id, '[REDACTED]' AS value, risk_tier, 0.9::DOUBLE AS confidence FROM actions"""),
-        "region_rollup": with_(*FUSION, """SELECT payload_id, count(*) FILTER (detection_source = 'dom_heuristic') AS dom_heuristic,
+        "region_rollup": with_(*FUSION, """SELECT payload_id, count(*) FILTER (detection_source IS NULL) AS dom_heuristic,
             count(*) FILTER (detection_source = 'vision_model') AS vision_model, count(*) FILTER (detection_source = 'ocr_regex') AS ocr_regex FROM fused_rows GROUP BY payload_id"""),
         "latency_rollup": """SELECT event_type AS name, count(*) AS n, max(value) AS max_ms, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY event_type""",
         "newest_steps": "SELECT event_id, user_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
         "ordered_spans": with_(TEXTS, TEXT_SPANS, TEXT_KEPT, """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_idx DESC) - 1 AS INTEGER) AS pos,
             type, start_idx, end_idx FROM kept"""),
-        "relinked_elements": with_(RAW, ELEMENTS, """before AS (SELECT payload_id, element_id, seq, tag, label_text AS label FROM dom),
+        "relinked_elements": with_(RAW, ELEMENTS, f"""before AS (SELECT payload_id, element_id, seq, tag, label_text AS label FROM dom),
             after AS MATERIALIZED (SELECT payload_id, seq, CASE seq % 5 WHEN 0 THEN 'new-' || element_id ELSE element_id END AS element_id, CASE WHEN seq % 7 = 0 THEN 'span' ELSE tag END AS tag,
-                coalesce(lower(trim(CASE WHEN seq % 7 < 2 THEN label || ' 2' ELSE upper(label) END)), '') AS label FROM before WHERE seq % 13 <> 0),
+                coalesce(lower({trim("CASE WHEN seq % 7 < 2 THEN label || ' 2' ELSE upper(label) END")}), '') AS label FROM before WHERE seq % 13 <> 0),
             direct AS (SELECT payload_id, element_id, arg_min(tag, seq) AS tag, arg_min(label, seq) AS label FROM after GROUP BY ALL),
             single AS (SELECT payload_id, tag, label, min(element_id) AS other FROM after WHERE label <> '' GROUP BY ALL HAVING count(*) = 1)""",
-            """SELECT b.payload_id, b.element_id, CASE WHEN coalesce(a.tag = b.tag OR a.label = coalesce(lower(trim(b.label)), ''), false) THEN b.element_id ELSE other END AS resolved_id,
-            NOT coalesce(a.tag = b.tag OR a.label = coalesce(lower(trim(b.label)), ''), false) AND other IS NOT NULL AS reindexed
+            f"""SELECT b.payload_id, b.element_id, CASE WHEN coalesce(a.tag = b.tag OR a.label = coalesce(lower({trim('b.label')}), ''), false) THEN b.element_id ELSE other END AS resolved_id,
+            NOT coalesce(a.tag = b.tag OR a.label = coalesce(lower({trim('b.label')}), ''), false) AND other IS NOT NULL AS reindexed
             FROM before b LEFT JOIN direct a ON a.payload_id = b.payload_id AND a.element_id = b.element_id
-            LEFT JOIN single s ON s.payload_id = b.payload_id AND s.tag = b.tag AND s.label = coalesce(lower(trim(b.label)), '')"""),
+            LEFT JOIN single s ON s.payload_id = b.payload_id AND s.tag = b.tag AND s.label = coalesce(lower({trim('b.label')}), '')"""),
         "confirmed_labels": with_(*ACT[:-1], CONFIRMED, "SELECT origin, label FROM conf"),
         "origin_profiles": with_(*ACT[:-1], CONFIRMED, "SELECT origin, string_agg(label, '|' ORDER BY label) AS labels FROM conf GROUP BY origin"),
         "origin_boost": with_(*ACT[:-1], CONFIRMED, """SELECT payload_id, seq, CASE WHEN is_sensitive AND label IS NOT NULL THEN least(confidence + 0.15::DOUBLE, 0.99::DOUBLE) ELSE confidence END AS confidence,

@@ -102,7 +102,7 @@ def element_queries() -> dict[str, str]:
                  WHEN sensitivity_tier = 2 AND c < 0.6 THEN coalesce(left(semantic_token, -1) || ': uncertain]', '[' || sensitivity_type || ': uncertain]')
                  ELSE semantic_token END AS gated_token FROM (SELECT *, (seq % 101)::DOUBLE / 100 AS c FROM tok)"""),
         "confidence_badges": f"""SELECT CASE WHEN confidence >= 0.85 THEN 'green' WHEN confidence >= 0.6 THEN 'yellow' ELSE 'red' END AS badge, count(*) AS n_boxes
-            FROM ({d.select_sql(d.VISION_BOXES, 'lineitem', d.VISION_WHERE)}) GROUP BY ALL""",
+            FROM ({d.select_sql(d.VISION_BOXES, 'lineitem')}) GROUP BY ALL""",
         "client_risk": with_(ACTIONS, rf"""SELECT payload_id, action_seq, CASE WHEN risk_tier IN ('safe', 'risky') THEN risk_tier
             WHEN regexp_matches(risk_tier, '^-?[0-9]+$') THEN CASE WHEN risk_tier IN ('1', '2') THEN 'risky' ELSE 'safe' END
             WHEN sensitivity_tier IN (1, 2) THEN 'risky' WHEN regexp_matches(lower(target_element_id), '{_TARGETS}') THEN 'risky'

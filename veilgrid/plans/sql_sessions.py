@@ -57,10 +57,14 @@ def session_queries() -> dict[str, str]:
             greatest(count(*) - 20, 0) AS n_over FROM ({d.REQUESTS_SQL}) GROUP BY ALL""",
         "server_steps": with_(log(d.ATTEMPTS), """SELECT event_id, session_id, CAST(1 + coalesce(sum(succeeded::INT)
             OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS request_step FROM log"""),
-        "previous_errors": with_(log(d.ATTEMPTS), """SELECT event_id, session_id, lag(error) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS last_action_error FROM log"""),
+        "previous_errors": with_(log(d.ATTEMPTS), """SELECT event_id, session_id, lag(CASE WHEN NOT succeeded THEN error END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS last_action_error FROM log"""),
         "task_limits": with_(log(d.ATTEMPTS), """per AS (SELECT session_id, step_number, count(*) FILTER (NOT succeeded) AS bad FROM log GROUP BY ALL),
-            task AS (SELECT session_id, min(step_number) FILTER (bad >= 3) AS failed_step, count(*) AS n_steps FROM per GROUP BY session_id)""",
-            """SELECT *, CASE WHEN failed_step IS NOT NULL THEN 'max_retries_exceeded' WHEN n_steps >= 20 THEN 'max_steps_exceeded' END AS outcome FROM task"""),
+            ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY step_number) AS n FROM per),
+            ended AS (SELECT *, n = 20 OR bad >= 3 AS ends FROM ranked),
+            task AS (SELECT session_id, coalesce(min(n) FILTER (ends), max(n)) AS n_steps, arg_min(CASE WHEN bad >= 3 THEN step_number END, n) FILTER (ends) AS f,
+                arg_min(step_number, n) FILTER (ends) AS last_step, arg_min(bad, n) FILTER (ends) AS last_bad FROM ended GROUP BY session_id)""",
+            """SELECT session_id, CASE WHEN last_bad >= 3 THEN last_step END AS failed_step, n_steps,
+            CASE WHEN last_bad >= 3 THEN 'max_retries_exceeded' WHEN n_steps >= 20 THEN 'max_steps_exceeded' END AS outcome FROM task"""),
         "task_outcomes": with_(log(d.ENDS), "SELECT reason, count(*) AS n_sessions FROM (SELECT session_id, arg_max(reason, ts) AS reason FROM log GROUP BY session_id) GROUP BY reason"),
         "audit_completeness": with_(STEPS, """asked AS (SELECT session_id, step_number FROM steps),
             logged AS (SELECT * FROM asked WHERE (session_id + step_number) % 9 <> 0 UNION ALL SELECT * FROM asked WHERE session_id % 10 = 1)""",

@@ -47,6 +47,14 @@ def source_queries() -> dict[str, str]:
             CASE k WHEN 0 THEN 'safe' WHEN 1 THEN 'risky' END AS risk_tier, CASE k WHEN 0 THEN 'go' END AS reasoning_short,
             CASE k WHEN 9 THEN 'empty_response' WHEN 8 THEN 'invalid_json' WHEN 6 THEN 'not_an_object' WHEN 7 THEN 'not_an_object' END AS reject_reason
             FROM (SELECT c_custkey, c_custkey % 11 AS k FROM customer)""",
+        "unknown_field_leaks": """SELECT path, matched_type, count(*) AS n_found FROM (
+            SELECT unnest([
+                CASE WHEN k % 7 = 3 THEN {'path': 'line', 'matched_type': 'invalid_json'} END,
+                CASE WHEN k % 7 <> 3 AND k % 5 = 1 THEN {'path': 'line.memo', 'matched_type': 'CARD_NUMBER'} END,
+                CASE WHEN k % 7 <> 3 AND k % 3 = 1 THEN {'path': 'line.mail', 'matched_type': 'EMAIL'} END,
+                CASE WHEN k % 7 <> 3 AND k % 4 = 1 THEN {'path': 'line.password', 'matched_type': 'PASSWORD'} END,
+                CASE WHEN k % 7 <> 3 AND k % 6 = 1 THEN {'path': 'line.note', 'matched_type': 'PHONE'} END], recursive := true)
+            FROM (SELECT o_orderkey AS k FROM orders)) WHERE path IS NOT NULL GROUP BY ALL""",
         "streamed_redaction": with_(spans("documents", "doc_id, source"), kept("doc_id, source"), redacted, """SELECT doc_id, sha256(coalesce(head || substr(text, last + 1), text)) AS redacted_sha,
             CAST(coalesce(n, 0) AS INTEGER) AS n_redacted, 'clean' AS outcome FROM documents LEFT JOIN joined USING (doc_id)"""),
         "streamed_rate_limit": with_(RATE, "SELECT event_id, client, at_us, window_start, CAST(request_no AS BIGINT) AS request_no, request_no <= 20 AS allowed FROM walk"),

@@ -67,7 +67,7 @@ def kept(key: str, prefix: str = "") -> str:
 
 
 def suffix(session: str, value: str, letters: int = 24) -> str:
-    inner = f"sha256('{KEY}|' || {session} || '|' || {value})"
+    inner = f"sha256('{KEY}|' || length({session}) || '|' || {session} || '|' || {value})"
     return f"translate(substr(sha256('{KEY}|' || {inner}), 1, {letters}), '0123456789', 'ghijklmnop')"
 
 
@@ -107,14 +107,14 @@ CREDENTIALS = rf"""found AS (SELECT *, regexp_matches(task_instruction, '(?i)\b(
         CASE WHEN u1 IS NOT NULL OR p1 IS NOT NULL THEN p1 WHEN needs_credentials THEN p2 END AS password,
         CASE WHEN u1 IS NOT NULL OR p1 IS NOT NULL THEN 'quoted' WHEN needs_credentials AND u2 IS NOT NULL THEN 'informal'
              WHEN needs_credentials THEN 'unresolved' ELSE 'none' END AS credential_source FROM found)"""
-OCCURRENCES = """occurrences AS (
+OCCURRENCES = """occurrences AS MATERIALIZED (
         SELECT session_id, match AS raw_value, type AS sensitivity_type, doc_id AS ord, start_idx AS pos FROM spans
         UNION ALL SELECT session_id, username, 'NAME', instruction_id, 0 FROM credentials WHERE username IS NOT NULL
         UNION ALL SELECT session_id, password, 'PASSWORD', instruction_id, 1 FROM credentials WHERE password IS NOT NULL)"""
 
 
 def vault(letters: int = 24) -> str:
-    return f"""vault AS (SELECT session_id, raw_value, sensitivity_type, {token('session_id', 'raw_value', 'sensitivity_type', letters)} AS token FROM (
+    return f"""vault AS MATERIALIZED (SELECT session_id, raw_value, sensitivity_type, {token('session_id', 'raw_value', 'sensitivity_type', letters)} AS token FROM (
         SELECT *, row_number() OVER (PARTITION BY session_id, raw_value ORDER BY ord, pos, sensitivity_type) AS first FROM occurrences) WHERE first = 1)"""
 
 
@@ -159,6 +159,8 @@ def text_queries() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER (PARTITION BY session_id, token ORDER BY raw_value) - 1 AS r FROM vault)"""),
         "token_join": with_(*VAULT, """SELECT session_id, ord, pos, o.sensitivity_type, token FROM occurrences o
             LEFT JOIN vault v USING (session_id, raw_value)"""),
+        "redaction_round_trip": with_(TEXTS, TEXT_SPANS, TEXT_KEPT, """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id, session_id ORDER BY rn) - 1 AS INTEGER) AS pos,
+            match AS raw_value FROM kept"""),
         "token_resolution": with_(*VAULT, CLAIMED, """SELECT session_id, token, claim, raw_value,
             CASE WHEN raw_value IS NULL THEN 'unresolvable_token' ELSE 'ok' END AS status FROM claimed LEFT JOIN vault USING (session_id, token)"""),
         "stable_tokens": with_(*VAULT, CLAIMED, "SELECT session_id, token, claim FROM claimed SEMI JOIN vault USING (session_id, token)"),

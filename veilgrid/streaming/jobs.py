@@ -78,12 +78,12 @@ def stream_frames(
 
 
 def stream_sessions(
-    accesses: DataFrame, folder: str, ts: str = "ts", ttl: int = V.SESSION_TTL_SECONDS, late: str = "0 seconds",
-    once: bool = True,
+    accesses: DataFrame, folder: str, late: str, ts: str = "ts", ttl: int = V.SESSION_TTL_SECONDS, once: bool = True,
 ) -> StreamingQuery:
     """Vault lifetimes as they expire: session_id, opened, last_access, n_accesses.
 
-    Each is written once the watermark has passed its TTL; open vaults stay in state.
+    Each is written once the watermark has passed its TTL; open vaults stay in state. ``late`` says how far an access
+    may lie behind the newest one; the engine drops what comes later still.
     """
     windows = accesses.withWatermark(ts, late).groupBy(
         "session_id", F.session_window(ts, f"{ttl} seconds").alias("_w")).agg(F.count("*").alias("n_accesses"))
