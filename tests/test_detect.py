@@ -118,3 +118,22 @@ def test_token_shape(spark):
         K.token("concat(s, '2')", "v", "'otp'", "key").alias("c"), K.token("s", "''", "'otp'", "key").alias("d")).first()
     assert re.fullmatch(r"\[OTP_[a-p]{24}\]", row.a)
     assert len({row.a, row.b, row.c}) == 3 and row.d is None
+
+
+def test_time_grows_with_the_hits_of_a_text_not_with_their_square(spark):
+    """One text of 12,000 hits takes about as long as 12 of 1,000."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(texts, hits):
+        df = spark.createDataFrame([(" ".join(f"u{i}@e.com otp 1{i:04d}." for i in range(hits // 2)),)] * texts, "text string").coalesce(1)
+        redacted = D.splice_sql("text", D.resolved_spans_sql(D.spans_sql("text")), "'X'")
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            assert df.select(F.sum(F.length(F.expr(redacted)))).first()[0] > 0
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(1, 12_000) < 3 * seconds(12, 1_000)

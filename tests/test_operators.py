@@ -162,8 +162,7 @@ def greedy(dom, vision):
     return out
 
 
-@pytest.mark.parametrize("limit", [500, 0])
-def test_channel_merge_equals_the_greedy_one(spark, limit):
+def test_channel_merge_equals_the_greedy_one(spark):
     rng = random.Random(7)
 
     def boxes(n, first):
@@ -171,13 +170,52 @@ def test_channel_merge_equals_the_greedy_one(spark, limit):
                 for i in range(n)]
 
     pages = {p: (boxes(rng.randint(0, 12), 0), boxes(rng.randint(1, 60), 0)) for p in range(12)}
+    pages[12] = (boxes(40, 0), boxes(1500, 0))
+    pages[13] = ([(1, (0, 0, 100_000, 100_000))], [(1, (5, 5, 99_990, 99_000)), (2, (0, 0, 30, 30)), (3, (-7, -7, 30, 30))])
     dom = spark.createDataFrame([(p, s, b) for p, (d, _) in pages.items() for s, b in d], BOX)
     vision = spark.createDataFrame([(p, s, b) for p, (_, v) in pages.items() for s, b in v], BOX)
-    got = {(r.payload_id, r.seq): (r.match_source, r.match_seq) for r in J.match_regions(dom, vision, limit).collect()}
+    got = {(r.payload_id, r.seq): (r.match_source, r.match_seq) for r in J.match_regions(dom, vision).collect()}
     want = {(p, s): hit for p, (d, v) in pages.items() for s, hit in greedy(d, v).items()}
     assert got == want
 
 
+def test_boxes_of_one_seq_are_matched_by_themselves(spark):
+    vision = spark.createDataFrame([(1, 5, (0, 0, 20, 20)), (1, 5, (900, 900, 20, 20)), (1, 6, (0, 0, 20, 20))], BOX)
+    rows = J.match_regions(spark.createDataFrame([], BOX), vision).collect()
+    assert sorted((r.seq, r.box.x, r.match_source, r.match_seq) for r in rows) == [(5, 0, None, None), (5, 900, None, None), (6, 0, "vision", 5)]
+
+
+def test_page_regions_name_no_vision_channel(spark):
+    elements = spark.createDataFrame([(1, 2**62 + 5, 10, 10, 100, 20, "EMAIL", 2, "el", "ocr_regex", 0.9, "r")],
+                                     "payload_id int, seq bigint, x int, y int, w int, h int, sensitivity_type string, sensitivity_tier int,"
+                                     " element_id string, method string, confidence double, reason string")
+    lines = spark.createDataFrame([(1, 2**62 + 7, (500, 500, 90, 20), 0.1, "4111 1111 1111 1111")], BOX + ", confidence double, text string")
+    fused = J.fused_regions(elements, lines.drop("text"), lines)
+    assert {(r.source, r.detection_source) for r in fused.collect()} == {("dom", None), ("vision", "vision_model")}
+    rolled = A.region_rollup(fused).first()
+    assert (rolled.dom_heuristic, rolled.vision_model, rolled.ocr_regex) == (1, 1, 0)
+
+
+def test_audit_looks_into_maps_and_variants(spark):
+    rows = spark.createDataFrame([(1,)], "payload_id int").selectExpr(
+        "payload_id", "map('k', '4111111111111111') as extra", "array(map('m', named_struct('deep', 'a@b.com'))) as listed",
+        """parse_json('{"a":{"note":"9876543210","n":1},"l":[1,"x\\\\"y:",{"password":"p"}],"e":""}') as line""", "cast(null as variant) as none")
+    got = {(r.path, r.value) for r in A.string_leaves(rows, ["payload_id"]).collect()}
+    assert got == {("extra.k", "4111111111111111"), ("listed[0].m.deep", "a@b.com"), ("line.note", "9876543210"), ("line.l", 'x"y:'),
+                   ("line.password", "p"), ("line.e", "")}
+
+
+def test_leaks_are_found_whatever_white_space_surrounds_them(spark):
+    leaves = spark.createDataFrame([(1, "label", "say hunter2 now")], "payload_id int, path string, value string")
+    secrets = spark.createDataFrame([(1, "hunter2\n\t")], "payload_id int, raw_value string")
+    assert [r.raw_value for r in A.raw_value_leaks(leaves, secrets).collect()] == ["hunter2"]
+
+
+def test_tokens_of_ambiguous_sessions_differ(spark):
+    rows = spark.createDataFrame([("a", "b|c", "NAME"), ("a|b", "c", "NAME")], "session_id string, raw_value string, sensitivity_type string")
+    assert U.issue_vault(rows, "k").select("token").distinct().count() == 2
+
+
 def test_vision_cases(spark):
     faces = spark.createDataFrame([(1, 1, (300, 50, 80, 80), 0.05)], BOX + ", confidence double")
     lines = spark.createDataFrame([

@@ -88,12 +88,21 @@ def test_expiry_is_strict(spark):
 
 def test_frames_and_errors_cross_buckets(spark):
     hashes = ["A", "A", "B", "", "", "A", "A"]
-    df = spark.createDataFrame([("s", START + timedelta(hours=11 * i), h, None if i % 2 else f"e{i}") for i, h in enumerate(hashes)],
-                               "session_id string, ts timestamp_ntz, content_hash string, error string")
+    df = spark.createDataFrame([("s", START + timedelta(hours=11 * i), h, f"e{i}", i % 2 == 1) for i, h in enumerate(hashes)],
+                               "session_id string, ts timestamp_ntz, content_hash string, error string, succeeded boolean")
     assert [r.skipped for r in S.unchanged_frames(df).orderBy("ts").collect()] == [False, True, False, False, False, False, True]
     assert [r.last_action_error for r in S.previous_errors(df).orderBy("ts").collect()] == [None, "e0", None, "e2", None, "e4", None]
 
 
+def test_the_first_limit_ends_a_task(spark):
+    rows = [("late", n, n != 23) for n in range(1, 25) for _ in range(3)] + [("early", n, n != 3) for n in range(1, 25) for _ in range(3)]
+    rows += [("at", n, n != 20) for n in range(1, 23) for _ in range(3)] + [("short", 1, False), ("short", 2, True)]
+    got = {r.session_id: (r.failed_step, r.n_steps, r.outcome) for r in S.task_limits(
+        spark.createDataFrame(rows, "session_id string, step_number int, succeeded boolean")).collect()}
+    assert got == {"late": (None, 20, "max_steps_exceeded"), "early": (3, 3, "max_retries_exceeded"), "at": (20, 20, "max_retries_exceeded"),
+                   "short": (None, 2, None)}
+
+
 def test_history_text(spark):
     df = spark.createDataFrame([("s", 1, "go", "click", "el-1", True), ("s", 2, "on", "wait", None, True), ("s", 9, "no", "click", "x", False),
                                 ("t", 3, "no", "click", "x", False)],

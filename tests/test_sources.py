@@ -22,6 +22,14 @@ def test_multi_line_payload_with_mark(spark, tmp_path):
     assert tables["payloads"].first().payload_id is not None
 
 
+def test_broken_and_unknown_payloads_stay(spark, tmp_path):
+    path = tmp_path / "lines.json"
+    path.write_text('{"payload_id":7,"memo":"4111111111111111"}\n{broken\n[1]\n\n{"session_id":"s"}\n', encoding="utf-8")
+    rows = payloads.read_payloads(spark, str(path)).collect()
+    assert sorted(str(r.reject_reason) for r in rows) == ["None", "None", "invalid_json", "invalid_json"]
+    assert len({r.payload_id for r in rows}) == 4 and "4111111111111111" in {r.payload_id: str(r.line) for r in rows}[7]
+
+
 def test_audit_appends(spark):
     path = shared_folder(spark, "log")
     rows = spark.createDataFrame([("s", 1, "h", ("type", "[REDACTED]"), 0.9)],

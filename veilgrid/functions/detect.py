@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veilgrid.functions import values as V
 
 SPAN_TYPE = "struct<type:string,match:string,start_idx:int,end_idx:int>"
-BLOCK = 256  # elements that a fold appends to one array before it starts the next
+BLOCK = 128  # elements that one fold goes over
 NO_SPANS = f"cast(array() as array<{SPAN_TYPE}>)"
 
 
@@ -40,19 +40,19 @@ def computed_once(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.selectExpr("*", f"inline_outer(array(named_struct({fields})))")
 
 
-def folded(values: str, element: str, start: str, step: str, keep: str, row: str, element_type: str) -> str:
-    """Rows of a fold over ``values`` in time linear in their number.
+def prefix_sql(values: str, combine: str, zero: str) -> str:
+    """Running results of ``combine`` (of ``{a}`` and ``{b}``) over an array, each with its own element.
 
-    The fold's state ``a.x`` goes from ``start`` by ``step``; where ``keep`` holds, ``row`` is appended (all see
-    ``a.x`` and ``element``). Appending copies an array, so rows gather in blocks that are flattened once.
+    A fold copies its state at every step, so one over the whole array takes the square of its length. Blocks are
+    folded by themselves here, then their ends, and both are put together.
     """
-    none = f"cast(array() as array<{element_type}>)"
-    full = f"size(a.open) >= {BLOCK}"
-    return f"""aggregate({values}, named_struct('x', {start}, 'open', {none}, 'done', cast(array() as array<array<{element_type}>>)),
-        (a, {element}) -> if({keep}, named_struct('x', {step},
-            'open', if({full}, array({row}), concat(a.open, array({row}))),
-            'done', if({full}, concat(a.done, array(a.open)), a.done)), a),
-        a -> flatten(concat(a.done, array(a.open))))"""
+    step = lambda last, x: f"concat(acc, array({combine.format(a=last, b=x)}))"
+    last = "element_at(acc, -1)"
+    block = f"aggregate(slice(vs, b * {BLOCK} + 1, {BLOCK}), array({zero}), (acc, x) -> {step(last, 'x')})"
+    blocks = f"transform(sequence(0, cast((size(vs) - 1) div {BLOCK} as int)), b -> {block})"
+    bases = f"aggregate(bl, array({zero}), (acc, k) -> {step(last, 'element_at(k, -1)')})"
+    whole = f"flatten(transform(bl, (k, b) -> transform(slice(k, 2, {BLOCK}), v -> {combine.format(a='get(ba, b)', b='v')})))"
+    return let("vs", values, let("bl", blocks, let("ba", bases, whole)))
 
 
 def fixed_width(text: str) -> str:
@@ -79,12 +79,11 @@ def pattern_spans_sql(text: str, kind: str, pattern: str, gate: str) -> str:
     The offsets follow from the pieces between the matches, so the text is read twice
     by the regex engine and only where the cheap ``gate`` holds and something matched.
     """
-    end = "a.x + length(get(p, i)) + length(get(m, i))"
-    fold = folded(
-        "sequence(0, size(m) - 1)", "i", "0", end, "true",
-        f"named_struct('type', '{kind}', 'match', get(m, i), 'start_idx', a.x + length(get(p, i)), 'end_idx', {end})",
-        SPAN_TYPE,
+    lengths = "transform(m, (h, i) -> length(get(p, i)) + length(h))"
+    hits = (
+        f"transform(m, (h, i) -> named_struct('type', '{kind}', 'match', h, 'start_idx', get(e, i) - length(h), 'end_idx', get(e, i)))"
     )
+    fold = let("e", prefix_sql(lengths, "{a} + {b}", "0"), hits)
     found = let("p", f"split({text}, {raw(pattern)}, -1)", fold)
     matched = let(
         "m", f"regexp_extract_all({text}, {raw(pattern)}, 0)", f"if(size(m) = 0, {NO_SPANS}, {found})"
@@ -199,8 +198,14 @@ def resolved_spans_sql(spans: str) -> str:
         f" 'neg_len', s.start_idx - s.end_idx, 'tier', {tier_sql('s.type')}, 'ord', {order},"
         f" 'type', s.type, 'match', s.match, 'end_idx', s.end_idx)))"
     )
-    kept = "named_struct('type', s.type, 'match', s.match, 'start_idx', s.start_idx, 'end_idx', s.end_idx)"
-    return folded(ranked, "s", "0", "s.end_idx", "s.start_idx >= a.x", kept, SPAN_TYPE)
+    span = "named_struct('type', s.type, 'match', s.match, 'start_idx', s.start_idx, 'end_idx', s.end_idx)"
+    # a span behind all ends so far starts a part of its own; only spans of one part can overlap
+    ends = prefix_sql("transform(r, s -> s.end_idx)", "greatest({a}, {b})", "0")
+    starts = "filter(sequence(0, size(r) - 1), i -> i = 0 or get(r, i).start_idx >= get(ends, i - 1))"
+    chosen = f"""aggregate(slice(r, i + 1, coalesce(get(parts, k + 1), size(r)) - i), named_struct('last', 0, 'kept', {NO_SPANS}),
+        (a, s) -> if(s.start_idx >= a.last, named_struct('last', s.end_idx, 'kept', concat(a.kept, array({span}))), a), a -> a.kept)"""
+    resolved = let("ends", ends, let("parts", starts, f"flatten(transform(parts, (i, k) -> {chosen}))"))
+    return let("r", ranked, f"if(size(r) = 0, {NO_SPANS}, {resolved})")
 
 
 def splice_sql(text: str, spans: str, replacement: str) -> str:
