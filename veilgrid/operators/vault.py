@@ -49,6 +49,23 @@ def with_tokens(rows: DataFrame, vault: DataFrame, value: str = "raw_value") ->
     return rows.join(tokens, ["session_id", value], "left")
 
 
+def attach_tokens(
+    rows: DataFrame, key: str, order: tuple[str, ...], where: str = "raw_value is not null and raw_value <> ''", value: str = "raw_value",
+) -> DataFrame:
+    """``token`` of the rows that ``where`` picks, as the vault of these rows issues it; null for all others.
+
+    A token is a hash of the row itself, only its type is the vault's: that of the value's first occurrence. So rows
+    meet nothing but the values that occur under several types, which are few, and rows without a value meet nothing.
+    """
+    kind = F.upper(F.coalesce("sensitivity_type", F.lit("UNKNOWN")))
+    kinds = rows.where(where).groupBy("session_id", value).agg(
+        F.min(F.struct(*order, kind.alias("_kind")))["_kind"].alias("_first"), F.min(kind).alias("_low"), F.max(kind).alias("_high"),
+    ).where("_low <> _high").select("session_id", value, "_first")
+    picked = rows.where(where).join(kinds, ["session_id", value], "left").withColumn("_first", F.coalesce("_first", kind))
+    with_token = picked.withColumn("token", K.token("session_id", value, "_first", key)).select(*rows.columns, "token")
+    return with_token.unionByName(rows.where(f"not coalesce({where}, false)").withColumn("token", F.lit(None).cast("string")))
+
+
 def resolve_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
     """Attach ``raw_value``; null and ``unresolvable_token`` in ``status`` when not in the vault."""
     lookup = vault.select("session_id", F.col("token").alias(token), "raw_value")

@@ -237,13 +237,16 @@ def _elements(spark, sf_dir) -> DataFrame:
     return rows.withColumn("session_id", F.expr("concat('pay', payload_id % 40)"))
 
 
+WITH_TOKEN = "sensitivity_tier in (1, 2) and has_value"
+
+
 def _element_vault(spark, sf_dir) -> DataFrame:
-    sensitive = _elements(spark, sf_dir).where("sensitivity_tier in (1, 2) and has_value")
+    sensitive = _elements(spark, sf_dir).where(WITH_TOKEN)
     return U.issue_vault(sensitive, KEY, ("payload_id", "seq"))
 
 
 def _tokenized(spark, sf_dir) -> DataFrame:
-    joined = U.with_tokens(_elements(spark, sf_dir), _element_vault(spark, sf_dir))
+    joined = U.attach_tokens(_elements(spark, sf_dir), KEY, ("payload_id", "seq"), WITH_TOKEN)
     return joined.withColumn("semantic_token", F.expr(
         T.token_decision_sql("sensitivity_tier", "sensitivity_type", "raw_value", "token", "null")))
 
