@@ -897,10 +897,13 @@ def streamed_redaction(spark, sf_dir):
     return rows.select("doc_id", F.sha2("redacted_text", 256).alias("redacted_sha"), "n_redacted", "outcome")
 
 
+MICROS = "unix_micros(cast(ts as timestamp))"
+
+
 @query
 def streamed_rate_limit(spark, sf_dir):
     folder = shared_folder(spark, "rate")
-    asked = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.REQUESTS)
+    asked = derived.table_stream(spark, sf_dir, "events", MICROS).selectExpr(*derived.REQUESTS)
     return _finish(jobs.stream_rate_limit(asked, "client", "at_us", folder, order=("event_id",), slice_width=300_000_000), spark, folder,
                    "event_id bigint, client string, at_us bigint, window_start bigint, request_no bigint, allowed boolean")
 
@@ -908,7 +911,7 @@ def streamed_rate_limit(spark, sf_dir):
 @query
 def streamed_steps(spark, sf_dir):
     folder = shared_folder(spark, "steps")
-    arriving = derived.table_stream(spark, sf_dir, "conversations").selectExpr(*derived.STEPS)
+    arriving = derived.table_stream(spark, sf_dir, "conversations", "turn").selectExpr(*derived.STEPS)
     return _finish(jobs.stream_steps(arriving, folder, block=4), spark, folder,
                    "session_id bigint, arrival bigint, step_number int, accepted boolean, expected_step int")
 
@@ -916,7 +919,7 @@ def streamed_steps(spark, sf_dir):
 @query
 def streamed_frames(spark, sf_dir):
     folder = shared_folder(spark, "frames")
-    arriving = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.FRAMES)
+    arriving = derived.table_stream(spark, sf_dir, "events", MICROS).selectExpr(*derived.FRAMES)
     return _finish(jobs.stream_frames(arriving, folder, order=("event_id",)), spark, folder,
                    "event_id bigint, session_id bigint, skipped boolean")
 
@@ -925,7 +928,7 @@ def streamed_frames(spark, sf_dir):
 def streamed_sessions(spark, sf_dir):
     """Vaults that expired within the log; those still open at its end stay in state."""
     folder = shared_folder(spark, "sessions")
-    arriving = derived.table_stream(spark, sf_dir, "events").selectExpr(*derived.ACCESSES).withColumn("ts", F.col("ts").cast("timestamp"))
+    arriving = derived.table_stream(spark, sf_dir, "events", MICROS).selectExpr(*derived.ACCESSES).withColumn("ts", F.col("ts").cast("timestamp"))
     return _finish(jobs.stream_sessions(arriving, folder, late="0 seconds"), spark, folder,
                    "session_id bigint, opened timestamp, last_access timestamp, n_accesses bigint").withColumns({
                        "opened": F.col("opened").cast("timestamp_ntz"), "last_access": F.col("last_access").cast("timestamp_ntz")})
