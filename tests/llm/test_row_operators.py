@@ -167,10 +167,10 @@ def verdict(url):
 
 @pytest.mark.parametrize("most", [100, 2])
 def test_longest_match(spark, most):
-    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(URLS * 2)], "page_id bigint, url string, Host string")
+    pages = spark.createDataFrame([(i, u, "h", "f", "o") for i, u in enumerate(URLS * 2)], "page_id bigint, url string, Host string, found string, own_host string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     out = urls.judge_urls(pages, rules, most=most)
-    assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"]
+    assert out.columns == ["page_id", "url", "found", "own_host", "host", "path", "rule", "verdict"]
     for r in out.collect():
         assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict(r["url"]), r["url"]
     assert out.count() == 2 * len(URLS)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgrid.llm.frames import without
+from veilgrid.llm.frames import fresh, without
 
 #: Entries (some 100 bytes each) up to which the trie is broadcast; more of them are joined by host.
 BROADCAST_RULES = 200_000
@@ -78,9 +78,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
     itself; existing columns of these four names are replaced.
     """
     host, path = host_and_path(F.col(url))
-    wide = pages.select("*", host.alias("_host"), path.alias("_path")) if url.lower() in ("host", "path", "rule", "verdict") else None
-    base = (wide if wide is not None else pages.withColumns({"_host": host, "_path": path}))
-    base = without(base, "host", "path", "rule", "verdict").withColumnsRenamed({"_host": "host", "_path": "path"})
+    own_host, own_path, found = fresh(pages, "own_host", "own_path", "found")
+    base = without(pages.withColumns({own_host: host, own_path: path}), "host", "path", "rule", "verdict")
+    base = base.withColumnsRenamed({own_host: "host", own_path: "path"})
     entries = rules.where("verdict is not null").select(
         F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict",
     ).distinct()
@@ -94,8 +94,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, *, url: str = "url", default:
         root = known.value
         return pd.DataFrame([longest(root, h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)], columns=["rule", "verdict"])
 
-    return base.withColumn("_verdict", judged("host", "path")).select(
-        *base.columns, F.col("_verdict.rule").alias("rule"), F.col("_verdict.verdict").alias("verdict"))
+    return base.withColumn(found, judged("host", "path")).select(
+        *base.columns, F.col(found)["rule"].alias("rule"), F.col(found)["verdict"].alias("verdict"))
 
 
 def _joined(base: DataFrame, entries: DataFrame, default: str) -> DataFrame:
@@ -110,5 +110,6 @@ def _joined(base: DataFrame, entries: DataFrame, default: str) -> DataFrame:
         F.when(F.col("rule_host") == "", 0).otherwise(F.size(F.split("rule_host", r"\."))), F.length("rule_path"), F.col("rule_verdict") == "block",
     )
     best = fits.groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), order).alias("best"))
-    return base.join(best, ["host", "path"], "left").select(
-        *base.columns, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    (found,) = fresh(base, "found")
+    return base.join(best.withColumnRenamed("best", found), ["host", "path"], "left").select(
+        *base.columns, F.col(found)["rule"].alias("rule"), F.coalesce(F.col(found)["verdict"], F.lit(default)).alias("verdict"))
