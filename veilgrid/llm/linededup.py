@@ -42,7 +42,8 @@ def line_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).alias("doc"), hash_128(F.col(text)).alias("text_key"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
     keyed = rows.select("doc", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
-    keyed = keyed.select(hash_128(F.col("key")).alias("h"), "doc", "text_key", "pos")
+    # written first: the ranges' sample would split all texts a second time
+    keyed = cut_lineage(keyed.select(hash_128(F.col("key")).alias("h"), "doc", "text_key", "pos"), "line-hashes")
     spread = keyed.repartitionByRange("h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
     occurrences = cut_lineage(spread, "lines")
     # rows of one key and document lie beside each other; each part of a key gives its documents and the largest
