@@ -73,8 +73,10 @@ def test_html_elements(spark):
 def test_page_failures(spark):
     pages = spark.createDataFrame([
         ("<p>ok</p>",), ("<p>Login <b>failed</b></p>",), ("<script>error</script><p>ok</p>",), ("<p class='x alert-danger'>!</p>",),
-        ("<p class='noerror'>fine</p>",), ("<p role=\"alert\"></p>",)], "html string")
-    assert [r.verified for r in html.page_failures(pages).collect()] == [True, True, True, False, True, False]
+        ("<p class='noerror'>fine</p>",), ("<p role=\"alert\"></p>",), ("<div role=alert></div>",), ("<span class=error></span>",),
+        ("<!-- <p class='error'>access denied</p> -->",), ("<p>access\n   denied</p>",), ("<p>try</p><p>again</p>",), (None,)], "html string")
+    assert [r.verified for r in html.page_failures(pages).collect()] == [
+        True, False, True, False, True, False, False, False, True, False, False, True]
 
 
 def test_normalised_responses(spark):

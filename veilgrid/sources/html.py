@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgrid.functions import values as V
-from veilgrid.functions.detect import raw
 
 INTERACTIVE = ("input", "button", "select", "textarea")
 VOID = frozenset(
@@ -132,17 +132,51 @@ def html_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     return pages.select(page_id, html).mapInPandas(run, schema)
 
 
-ERROR_ELEMENT = (
-    r"""(?i)role\s*=\s*["']alert["']|aria-invalid\s*=\s*["']true["']"""
-    r"""|class\s*=\s*["'](?:[^"']*\s)?(?:error|alert-danger)(?:\s[^"']*)?["']"""
-)
+class _Notices(HTMLParser):
+    """The visible text of one page, and whether an element is marked as an error."""
+
+    INLINE = frozenset("a abbr b bdi bdo cite code em i kbd mark q s small span strong sub sup u var".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.text: list[str] = []
+        self.hidden = ""
+        self.marked = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in reversed(attrs)}
+        classes = a.get("class", "").split()
+        self.marked |= a.get("role") == "alert" or a.get("aria-invalid") == "true" or "error" in classes or "alert-danger" in classes
+        self.hidden = tag if tag in ("script", "style") else self.hidden
+        if tag not in self.INLINE:
+            self.text.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        self.hidden = "" if tag == self.hidden else self.hidden
+        if tag not in self.INLINE:
+            self.text.append(" ")
+
+    def handle_data(self, data: str) -> None:
+        if not self.hidden:
+            self.text.append(data)
 
 
 def page_failures(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add ``verified`` and ``failure_reason``: error phrases in the visible text, else error elements."""
-    hidden = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-    visible = f"lower(regexp_replace(regexp_replace({html}, {raw(hidden)}, ' '), '<[^>]*>', ' '))"
-    return pages.withColumn("failure_reason", F.expr(
-        f"case when rlike({visible}, '{'|'.join(V.FAILURE_PHRASES)}') then '{V.REASON_ERROR_TEXT}'"
-        f" when rlike({html}, {raw(ERROR_ELEMENT)}) then '{V.REASON_ERROR_ELEMENT}' end"
-    )).withColumn("verified", F.expr("failure_reason is null"))
+    """Add ``verified`` and ``failure_reason``: error phrases in the visible text, else error elements.
+
+    Text is read as a page shows it: white space folded, nothing from scripts, styles and comments.
+    """
+    phrases = re.compile("|".join(V.FAILURE_PHRASES))
+
+    @F.pandas_udf("string")
+    def reason(column: pd.Series) -> pd.Series:
+        out = []
+        for text in column:
+            page = _Notices()
+            page.feed(text or "")
+            page.close()
+            shown = " ".join("".join(page.text).split()).lower()
+            out.append(V.REASON_ERROR_TEXT if phrases.search(shown) else V.REASON_ERROR_ELEMENT if page.marked else None)
+        return pd.Series(out, dtype=object)
+
+    return pages.withColumn("failure_reason", reason(html)).withColumn("verified", F.expr("failure_reason is null"))
