@@ -35,7 +35,7 @@ METRICS = (
     Metric("symbol_rate", "1000 * n_symbols DIV greatest(word_chars, 1)", False, True, 10),
     Metric("word_length", "100 * word_chars DIV greatest(n_words, 1)", True, True, 60),
     Metric("dup_line_rate", "1000 * n_dup_lines DIV greatest(n_words, 1)", False, True, 10),
-    Metric("repeat_rate", "1000 * n_repeat_words DIV greatest(n_words, 1)", False, True, 20),
+    Metric("repeat_rate", "1000 * n_repeat_words DIV greatest(n_words, 1)", False, True, 60),
 )
 
 

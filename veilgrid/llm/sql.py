@@ -59,7 +59,7 @@ FROM (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) LEFT J
 _RATES = {
     "symbol_rate": ("1000 * n_symbols // greatest(word_chars, 1)", 10, False), "word_length": ("100 * word_chars // greatest(n_words, 1)", 60, True),
     "dup_line_rate": ("1000 * n_dup_lines // greatest(n_words, 1)", 10, False),
-    "repeat_rate": ("1000 * n_repeat_words // greatest(n_words, 1)", 20, False),
+    "repeat_rate": ("1000 * n_repeat_words // greatest(n_words, 1)", 60, False),
 }
 _QUARTILES = """SELECT {keys} metric, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
     FROM (SELECT {keys} metric, bin, sum(n) OVER (PARTITION BY {keys} metric) AS total, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bin) AS upto
