@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import detect as D
 from veilgrid.functions import tiers as T
-from veilgrid.functions import values as V
 
 
 def unique_elements(elements: DataFrame, columns: tuple[str, ...], order: str = "seq") -> DataFrame:
