@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilgrid.llm.graphs import components
-from veilgrid.llm.words import SPACED, Words, mix, pieces, powers
+from veilgrid.llm.words import SPACED, Words, mix, pieces
 from veilgrid.session import cut_lineage
 
 
