@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.llm.frames import fresh, without
 from veilgrid.llm.ranks import running
+from veilgrid.session import cut_lineage
 
 
 def word_tokens(text: Column) -> Column:
@@ -81,27 +85,35 @@ def mixed(
     ``levels`` names the tree's columns from the top, ``tokens`` the token counts. The whole budget is ``budget`` or
     ``share`` of all tokens. Of its budget a leaf takes whole epochs of all its documents, and of one more epoch the
     documents, in that epoch's seeded order, whose running total stays within the rest. Documents of no tokens are
-    taken in every whole epoch and in the prefix. Null levels are values. Equal doc_ids follow each other; a null
-    token count is 0. Existing columns of the three names are replaced. No rows: no rows.
+    taken in every whole epoch and in the prefix. Null levels are values. Rows of one doc_id are taken together; a null
+    token count is 0. The prefix of a leaf is given by its last place, which every row is compared with. Existing columns of the three names are replaced. No rows: no rows.
     """
     docs = without(docs, "leaf_tokens", "leaf_budget", "epochs")
-    amount = F.coalesce(F.col(tokens), F.lit(0)).cast("long")
-    leaves = docs.groupBy(*levels).agg(F.sum(amount).alias("tokens"))
+    leaf = [f"{c}_leaf" for c in levels]
+    amounts, turn, before = "amounts", "turn", "before"
+    # a table of ids and counts decides; texts do not move
+    narrow = cut_lineage(docs.select(
+        *[F.col(c).alias(k) for c, k in zip(levels, leaf, strict=True)], F.col(doc_id).alias("id"),
+        F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias(amounts)), "mixture-rows")
+    leaves = narrow.groupBy(*leaf).agg(F.sum(amounts).alias("tokens"))
     if budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share[0] // share[1]
-    leaf = [f"{c}_leaf" for c in levels]
-    given = leaf_budgets(leaves, weights, levels, budget, max_epochs).toDF(*leaf, "leaf_tokens", "leaf_budget")
-    same = F.lit(True)
-    for c, other in zip(levels, leaf, strict=True):
-        same = same & docs[c].eqNullSafe(given[other])
-    turn, amounts, before = fresh(docs, "turn", "amounts", "before")
-    epochs = F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget DIV leaf_tokens")).otherwise(F.lit(0))
-    rows = docs.join(given, same).select(*[docs[c] for c in docs.columns], "leaf_tokens", "leaf_budget", amount.alias(amounts))
-    rows = rows.withColumn(turn, seeded_order(seed, epochs, F.col(doc_id)))
-    ranked = running(rows, levels, [turn, doc_id], F.col(amounts), before=before)
-    rest = F.col("leaf_budget") - epochs * F.col("leaf_tokens")
-    taken = epochs + F.when((F.col(before) + F.col(amounts) <= rest) & (rest > 0), 1).otherwise(0)
-    return ranked.select(*docs.columns, "leaf_tokens", "leaf_budget", taken.cast("long").alias("epochs"))
+    given = leaf_budgets(leaves.toDF(*levels, "tokens"), weights, levels, budget, max_epochs).toDF(*leaf, "leaf_tokens", "leaf_budget")
+    given = cut_lineage(given.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget DIV leaf_tokens")).otherwise(F.lit(0))), "leaf-budgets")
+    same = lambda x, y, left: reduce(and_, [x[a].eqNullSafe(y[b]) for a, b in zip(left, leaf, strict=True)])
+    keys = narrow.join(given, same(narrow, given, leaf)).select(
+        *[narrow[k] for k in leaf], "id", amounts, seeded_order(seed, F.col("whole"), F.col("id")).alias(turn),
+        (F.col("leaf_budget") - F.col("whole") * F.col("leaf_tokens")).alias("rest")).where("rest > 0")
+    keys = keys.groupBy(*leaf, turn, "id", "rest").agg(F.sum(amounts).alias(amounts))
+    taken = running(keys, leaf, [turn, "id"], F.col(amounts), before=before).where(F.col(before) + F.col(amounts) <= F.col("rest"))
+    cuts = taken.groupBy(*leaf).agg(F.max(F.struct(turn, "id")).alias("cut"))
+    plan = given.join(cuts.toDF(*[f"{k}_cut" for k in leaf], "cut"), reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_cut")) for k in leaf]), "left")
+    place, whole, last = fresh(docs, "place", "whole", "cut")
+    plan = plan.select(*leaf, "leaf_tokens", "leaf_budget", F.col("whole").alias(whole), F.col("cut").alias(last))
+    rows = docs.join(plan, same(docs, plan, levels)).withColumn(
+        place, F.struct(seeded_order(seed, F.col(whole), F.col(doc_id)).alias("turn"), F.col(doc_id).alias("id")))
+    prefix = F.when(F.col(last).isNotNull() & (F.col(place) <= F.col(last)), 1).otherwise(0)
+    return rows.select(*[docs[c] for c in docs.columns], "leaf_tokens", "leaf_budget", (F.col(whole) + prefix).cast("long").alias("epochs"))
 
 
 def epoch_rows(rows: DataFrame, *, seed: int = 7, doc_id: str = "doc_id", epochs: str = "epochs") -> DataFrame:

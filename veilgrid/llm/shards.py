@@ -35,16 +35,32 @@ def shard_documents(
     move together until the last step. Null is a doc_id. Existing columns ``shard`` and ``slot`` are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in (shard.lower(), slot.lower())])
-    total = docs.count()
+    # a table of ids is placed; texts move once, to their shard and slot
+    ids = cut_lineage(docs.select(hash_128(F.col(doc_id)).alias("node")), "nodes")
+    total = ids.count()
     quota = [total // shards + (j < total % shards) for j in range(shards)]
-    members = cut_lineage(_members(docs, links, doc_id, max(1.0, FILL * total / shards)), "link-members")
+    members = cut_lineage(_members(ids, links, max(1.0, FILL * total / shards)), "link-members")
     labels = cut_lineage(_propagated(members, quota, shards, rounds, seed), "shards")
-    return _placed(docs, labels, quota, doc_id, seed, shard, slot)
-
-
-def _members(docs: DataFrame, links: DataFrame, doc_id: str, most: float) -> DataFrame:
+    placed = cut_lineage(_placed(ids, labels, quota, seed), "placed")
+    node, copy, found, nth = fresh(docs, "node", "copy", "found", "nth")
+    placed = placed.toDF(found, shard, slot)
+    keyed = docs.withColumn(node, hash_128(F.col(doc_id)))
+    repeated = cut_lineage(ids.groupBy("node").count().where("count > 1").select(F.col("node").alias(copy)), "repeated-nodes")
+    single = placed.join(repeated, placed[found] == repeated[copy], "left_anti")
+    out = keyed.join(single, keyed[node] == single[found]).select(*docs.columns, shard, slot)
+    if repeated.isEmpty():
+        return out
+    # rows of one doc_id take their places in any order
+    number = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.lit(0)))
+    rows = keyed.join(repeated, keyed[node] == repeated[copy], "left_semi").withColumn(nth, number(node))
+    places = placed.join(repeated, placed[found] == repeated[copy], "left_semi").withColumn(copy, number(found))
+    both = rows.join(places, (rows[node] == places[found]) & (rows[nth] == places[copy]))
+    return out.unionByName(both.select(*docs.columns, shard, slot))
+
+
+def _members(ids: DataFrame, links: DataFrame, most: float) -> DataFrame:
     """``link``, ``size``, ``salt``, ``node``, ``weight`` (rows of the node) for links of two documents or more."""
-    nodes = docs.groupBy(hash_128(F.col(doc_id)).alias("node")).agg(F.count("*").alias("weight"))
+    nodes = ids.groupBy("node").agg(F.count("*").alias("weight"))
     of = links.where("link is not null").select("node", F.struct(F.xxhash64(F.lit(1), "link").alias("a"), F.xxhash64(F.lit(2), "link").alias("b")).alias("link")).distinct().join(nodes, "node")
     sizes = of.groupBy("link").agg(F.sum("weight").alias("size"), F.count("*").alias("n")).where("n > 1")
     blocks = F.ceil(F.col("size") / most)
@@ -112,14 +128,13 @@ def _moves(members: DataFrame, state: DataFrame, room: list[int], turn: int) ->
     return movers.join(F.broadcast(admitted.select(*group)), group, "left_semi").select("node", "target")
 
 
-def _placed(docs: DataFrame, labels: DataFrame, quota: list[int], doc_id: str, seed: int, shard: str, slot: str) -> DataFrame:
-    node, alone, unit, at, place = fresh(docs, "node", "alone", "unit", "at", "place")
-    keyed = docs.withColumn(node, hash_128(F.col(doc_id)))
-    linked = labels.select(F.col("node").alias(node), F.col("unit").alias(unit), F.col("shard").alias(at))
-    rows = keyed.join(linked, node, "left").withColumns({
-        alone: F.col(unit).isNull(), at: F.coalesce(at, _start(node, len(quota), seed)),
+def _placed(ids: DataFrame, labels: DataFrame, quota: list[int], seed: int) -> DataFrame:
+    """``node``, ``shard``, ``slot``: a place for each row of ``ids``."""
+    at, place = "at", "place"
+    rows = ids.join(labels.withColumnRenamed("shard", at), "node", "left").withColumns({
+        "alone": F.col("unit").isNull(), at: F.coalesce(at, _start("node", len(quota), seed)),
     })
-    ranked = running(rows, [at], [alone, unit, node], before=place)
+    ranked = running(rows, [at], ["alone", "unit", "node"], before=place)
     counts = dict(rows.groupBy(at).count().collect())  # one row per shard
     over = [max(0, counts.get(j, 0) - q) for j, q in enumerate(quota)]
     under = [max(0, q - counts.get(j, 0)) for j, q in enumerate(quota)]
@@ -134,7 +149,7 @@ def _placed(docs: DataFrame, labels: DataFrame, quota: list[int], doc_id: str, s
     taken = F.get(numbers([counts.get(j, 0) for j in range(len(quota))]), target) + g - F.get(numbers(before(under)), target)
     stays = F.col(place) < limit
     return ranked.select(
-        *docs.columns, F.when(stays, F.col(at)).otherwise(target).alias(shard), F.when(stays, F.col(place)).otherwise(taken).alias(slot))
+        "node", F.when(stays, F.col(at)).otherwise(target).alias("shard"), F.when(stays, F.col(place)).otherwise(taken).alias("slot"))
 
 
 def node_of(doc_id: Column) -> Column:
