@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import random
+import string
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.session import cut_lineage
@@ -99,15 +103,19 @@ def featured(found: DataFrame, pairs: DataFrame) -> DataFrame:
     return found.join(coverage, "value").select("*", *[c.cast("double").alias(k) for k, c in columns.items() if k != "coverage"])
 
 
-def train(labelled: DataFrame, *, trees: int = 20, depth: int = 6, rows: int = TRAINED_ROWS, seed: int = 11) -> PipelineModel:
-    """A random forest on ``FEATURES`` and ``label`` (1: a secret, 0: a false positive).
+def train(labelled: DataFrame, *, given: DataFrame | None = None, trees: int = 20, depth: int = 6, rows: int = TRAINED_ROWS, seed: int = 11) -> PipelineModel:
+    """A random forest on ``FEATURES`` and ``label`` (1: a secret, 0: a false positive); rows of ``given`` train it as well.
 
     At most ``rows`` labelled findings train it, the first in the order of a hash of value and surroundings, so that
     the same findings train it however they are partitioned. Rows with a null label or feature do not.
     """
     order = F.xxhash64(F.lit(seed), "value", "lead", "one", "two")
     sample = labelled.dropna(subset=["label", *FEATURES]).orderBy(order, "value", "doc_id", "word_at", "nth").limit(rows)
-    sample = cut_lineage(sample.select(*FEATURES, F.col("label").cast("double").alias("label")).coalesce(1), "labelled")
+    columns = [*FEATURES, F.col("label").cast("double").alias("label")]
+    sample = sample.select(*columns)
+    if given is not None:
+        sample = sample.unionByName(given.orderBy("doc_id", "word_at", "nth").select(*columns))
+    sample = cut_lineage(sample.coalesce(1), "labelled")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.7, featureSubsetStrategy="sqrt")
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     return PipelineModel([vectors, forest.fit(vectors.transform(sample))])
@@ -119,28 +127,125 @@ def scored(found: DataFrame, model: PipelineModel, threshold: float = 0.5) -> Da
     return out.select(*found.columns, F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("secret"))
 
 
+#: Documented formats of keys: a value of this form is a secret wherever it stands.
+_FORMATS = (
+    r"^(?:(?:AKIA|ASIA|AROA|AIDA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}"
+    r"|xox[abeoprs]-[A-Za-z0-9\-]{10,}|(?:sk|rk|pk)_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_\-]{32,}|AIza[A-Za-z0-9_\-]{35}"
+    r"|npm_[A-Za-z0-9]{36}|hf_[A-Za-z0-9]{30,}|dop_v1_[a-f0-9]{64}|pypi-[A-Za-z0-9_\-]{50,}|eyJ[A-Za-z0-9_\-]{17,})={0,2}$"
+)
+_CREDENTIAL = r"(?<![a-z])(?:(?:api|access|auth|private|secret|signing|app|client)[_-]?(?:key|token|secret)|token|secret|passw(?:or)?d|pwd|passphrase|bearer|credentials?|apikey|key)s?(?![a-z])"
+_HASH = r"(?<![a-z])(?:commit|sha-?[0-9]*|md5|digest|checksum|hash|etag|rev|revision|blob|tree|parent|fingerprint|integrity|cherry-pick|merge)(?![a-z])"
+_UUID = r"(?i)^[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+#: Words and short numbers, also joined by signs or a change of case: names, slugs, paths, dates.
+_NAME = r"^(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|(?<![0-9])[0-9]{1,4}+(?![0-9])|[_/+=\-])++$"
+_DIGESTS = (32, 40, 56, 64, 96, 128)
+#: Characters of a value that its evidence reads; documented keys are shorter, but for the last part of a web token.
+_READ_CHARS = 512
+
+
+def _entropy(value: Column) -> Column:
+    """Bits a character by the value's own counts."""
+    n = F.length(value)
+    count = lambda c: (n - F.length(F.replace(value, c, F.lit("")))).cast("double")
+    return F.log2(n) - F.aggregate(F.array_distinct(F.split(value, "")), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(count(c) * F.log2(count(c)))) / n
+
+
+def _luhn(value: Column) -> Column:
+    digit = F.transform(F.split(F.reverse(value), ""), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(
+        F.get(F.array(*[F.lit(d) for d in (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)]), c.try_cast("int"))))
+    return value.rlike("^[0-9]{13,19}$") & (F.aggregate(digit, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0)
+
+
+def evidence() -> Column:
+    """1, 0 or null (unsure) for a row of ``candidates``, by what the value is; no column of ``FEATURES`` is read.
+
+    1: a documented key format anywhere, or random letters and digits. 0: card numbers, plain names, words and paths,
+    parts of addresses, ids, data, hashes that a hash's name announces, runs of few characters. A hexadecimal value
+    of a digest's length is a key or a hash by the name before it alone, however that is written; unnamed it is unsure.
+    """
+    value = F.substring("value", 1, _READ_CHARS)
+    before = F.lower(F.concat_ws(" ", "two", "one", "lead"))
+    entropy = _entropy(value)
+    body = F.regexp_replace(value, "=+$", "")
+    hexadecimal = value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$") & value.rlike("[0-9]") & value.rlike("[A-Fa-f]")
+    digest = hexadecimal & F.length("value").isin(*_DIGESTS)
+    address = F.col("lead").contains("://") | F.col("lead").rlike(r"^[\"'`(<]*\.{0,2}/") | value.rlike(r"^/[^+=]*/") | value.rlike(r"/.*/.*\.?[a-z]{2,}/")
+    mixed = (F.length(body) >= 20) & value.rlike("[0-9].*[A-Za-z]|[A-Za-z].*[0-9]") & (F.length(F.regexp_replace(value, "[^0-9]", "")) >= 2)
+    return (
+        F.when(value.rlike(_FORMATS), 1)
+        .when(_luhn(value) | (entropy < 2) | F.col("lead").contains("base64,"), 0)
+        .when(before.rlike(_HASH) & hexadecimal, 0)
+        .when(value.rlike(_UUID), F.when(~before.rlike(_CREDENTIAL), 0))
+        .when(address, 0)
+        .when(body.rlike(_NAME), 0)
+        .when(digest, F.when(before.rlike(_CREDENTIAL) & (entropy >= 3), 1))
+        .when(~hexadecimal & mixed & (F.length("value") <= _READ_CHARS) & (entropy >= 3.5), 1)
+    )
+
+
+def examples(spark: SparkSession, seed: int = 3) -> DataFrame:
+    """``doc_id``, ``text``, ``source``, ``target``, ``label``: written and unwritten forms of secrets and of harmless values.
+
+    A corpus may hold one form alone; these teach the others: keys that stand quoted, unquoted, in headers, in addresses
+    and in prose, and hashes, ids, names and numbers in the same places.
+    """
+    r = random.Random(seed)
+    draw = lambda chars, n: "".join(r.choices(chars, k=n))
+    hexa, base36, base62 = "0123456789abcdef", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits
+    word = lambda: r.choice(["the", "server", "then", "uses", "with", "next", "value", "for", "deploy", "it", "la", "und", "page", "config"])
+    keys = [
+        lambda: "AKIA" + draw(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + draw(base62, 36), lambda: "sk_live_" + draw(base62, 24),
+        lambda: f"xoxb-{draw(string.digits, 12)}-{draw(base62, 24)}", lambda: "AIza" + draw(base62 + "_-", 35), lambda: "eyJ" + draw(base62, 33),
+        lambda: draw(base62, r.randrange(20, 48)), lambda: draw(base62 + "+/", 40), lambda: draw(base36, r.randrange(24, 40)),
+    ]
+    digest = lambda: draw(hexa, r.choice([32, 40, 64]))
+    name = lambda: r.choice(["API_KEY", "token", "secret", "password", "access_token", "client_secret", "auth_token"])
+    named = ["export {n}={v}", "{n}={v}", "{n}: {v}", "{n} = {v}", '{n} = "{v}"', "{n}='{v}'", '"{n}": "{v}",', "{n} is {v}", "Authorization: Bearer {v}", "--{n} {v}"]
+    bare = ["{v}", "({v})", "{v}.", '"{v}"', "`{v}`"]
+    harmless = [
+        lambda: (digest(), ["commit {v}", "commit: {v}", "sha256:{v}", "md5 = {v}", 'checksum = "{v}"', '"hash": "{v}"', "https://host.org/files/{v}/x", "merge {v}", "/data/{v}/part"]),
+        lambda: ("-".join(draw(hexa, n) for n in (8, 4, 4, 4, 12)), ["id={v}", "request {v}", "https://host.org/{v}", '"id": "{v}"', "uuid: {v}"]),
+        lambda: (draw(string.digits, 16), ["{v}", "card {v}", "order={v}", 'number: "{v}"']),
+        lambda: (r.choice(["_", "-"]).join([word() + word() + word() for _ in range(3)]), ["{v}", "name={v}", 'key = "{v}"', "token = {v}", '"{v}"']),
+        lambda: ("".join((word() + word()).capitalize() for _ in range(3)), ["{v}", "class {v}:", 'key: "{v}"', "{v}()"]),
+        lambda: (r.choice(["internationalization", "responsibilities", "Verantwortlichkeiten", "desafortunadamente", "constitutionnellement"]), ["{v}", '"{v}"', "({v})", "password {v}", "key: {v}"]),
+        lambda: (r.choice(["", "_"]).join([word() + word() + word(), word() + word() + word()]).upper(), ["{v}", "{v}!!", "({v})", "{v}: 5", '"{v}"']),
+        lambda: ("/".join(["usr", word() + word(), word() + "er", word()]) + "/index", ["/{v}", "path=/{v}", "./{v}", "https://host.org/{v}"]),
+    ]
+    told = [(k(), f, 1) for k in keys for f in named + bare for _ in range(3)] + [(digest(), f, 1) for f in named for _ in range(9)]
+    told += [(k(), "https://{v}@host.org/x", 1) for k in keys[:6]]
+    told += [(v, f, 0) for make in harmless for _ in range(12) for v, forms in [make()] for f in forms]
+    rows = []
+    for i, (v, form, label) in enumerate(told):
+        around = [" ".join(word() for _ in range(6)) for _ in range(2)]
+        rows.append({"doc_id": i, "text": f"{around[0]} {form.format(n=name(), v=v)} {around[1]}", "source": "example", "target": v, "label": label})
+    schema = "array<struct<doc_id: bigint, text: string, source: string, target: string, label: int>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), schema)))
+
+
 def taught(found: DataFrame) -> DataFrame:
-    """Labels for tables that come without: a value is a secret if it is assigned to a credential's name and quoted.
+    """``found`` with ``label`` of ``evidence``, for tables that come without labels.
 
     Two thirds of the values (by hash) are labelled, the rest has a null label and is held out.
     """
-    rule = (F.col("keyword_before") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
-    return found.withColumn("label", F.when(F.pmod(F.xxhash64(F.lit(5), "value"), F.lit(3)) > 0, rule.cast("int")))
+    return found.withColumn("label", F.when(F.pmod(F.xxhash64(F.lit(5), "value"), F.lit(3)) > 0, evidence()))
 
 
 def secret_findings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str = "source", labelled: DataFrame | None = None) -> DataFrame:
     """Every candidate of ``docs`` with its features, ``score`` and ``secret``.
 
     ``labelled``: findings (``doc_id``, ``word_at``, ``nth``, ``label``) of these documents; without it ``taught``
-    labels them. No candidates, or labels of one kind only: findings keep that kind, none is a secret without labels.
+    labels them, and ``examples`` train the forest as well. Given labels of one kind only: findings keep that kind; given none, none is a secret.
     """
     pairs = cut_lineage(letter_pairs(docs, text), "letter-pairs")
     found = cut_lineage(featured(candidates(docs, doc_id=doc_id, text=text, path=path), pairs), "candidates")
     if labelled is None:
-        known = taught(found)
-    else:
-        labels = labelled.groupBy("doc_id", "word_at", "nth").agg(F.max("label").alias("label"))
-        known = found.join(labels, ["doc_id", "word_at", "nth"])
+        told = cut_lineage(examples(docs.sparkSession), "examples")
+        targets = told.select("doc_id", F.col("target").alias("value"), "label")
+        given = featured(candidates(told), pairs).join(F.broadcast(targets), ["doc_id", "value"])  # one row per example
+        return scored(found, train(taught(found), given=given))
+    labels = labelled.groupBy("doc_id", "word_at", "nth").agg(F.max("label").alias("label"))
+    known = found.join(labels, ["doc_id", "word_at", "nth"])
     kinds = [r[0] for r in known.where("label IS NOT NULL").select(F.col("label").cast("int")).distinct().limit(3).collect()]
     if len(kinds) < 2:
         only = float(max(kinds, default=0))
