@@ -20,7 +20,7 @@ LEAST_CHARS = 16
 _RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
 #: Most labelled findings that train the forest, the first in the order of a hash.
 TRAINED_ROWS = 20_000
-#: Letter pairs that make the dictionary: the most frequent ones of words. A bound by the alphabet, not by the data.
+#: Letter pairs that make the dictionary: the most frequent ones of words, in place of words. Large alphabets have more.
 DICTIONARY_PAIRS = 1024
 FEATURES = (
     "length", "transitions", "transition_rate", "digits", "uppers", "hex_rate", "distinct_rate", "coverage", "in_path", "keyword_before",
