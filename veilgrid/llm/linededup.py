@@ -33,8 +33,8 @@ def line_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     of kept and dropped lines in turn, kept first (maybe 0), up to the last dropped line; what follows is kept.
 
     Line hashes (128 bits) are range-partitioned with document and position behind the hash, so that a common line
-    is spread over partitions. In a partition sorted by all three, each document's first occurrence of a key
-    streams by, counted and reduced to a row per key before the only exchange by key. Keys with a large share of all
+    is spread over partitions, sorted by all three and written. The counts by key and document, and then by key, are
+    hash aggregations with exchanges of their own that do not use this order. Keys with a large share of all
     occurrences are few, by their definition, and are broadcast; all others are joined.
 
     Documents are told apart by doc_id (null is one of them); rows of one doc_id and text share a bitmap, rows of
