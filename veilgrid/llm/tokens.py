@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilgrid.llm.frames import fresh, hash_128
-from veilgrid.llm.words import column_bytes, pieces, span_hashes
+from veilgrid.llm.words import column_bytes, pieces
 from veilgrid.session import cut_lineage
 
 #: Characters of a chunk, of the first overlap, and of a text that is encoded in one go.
@@ -55,11 +55,13 @@ class _Counter:
     behind such a place. So a text has the tokens of its units.
     """
 
-    REMEMBERED = 1_000_000
+    #: Bytes of the units that a worker remembers; then it forgets them all and starts anew.
+    REMEMBERED = 1 << 25
 
     def __init__(self, path: str):
         self.encoder = _tokenizer(path)
-        self.hashes, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.known: dict[str, int] = {}
+        self.size = 0
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         data, offsets = column_bytes(column)
@@ -71,26 +73,23 @@ class _Counter:
         opens[1:] &= solid[:-1]
         opens[offsets[:-1][np.diff(offsets) > 0]] = True
         start = np.flatnonzero(opens)
-        end = np.append(start[1:], len(data))
-        units, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.hashes, units)
-        known = np.zeros(len(units), dtype=bool)
-        known[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] == units[at < len(self.hashes)]
-        n = np.zeros(len(units), dtype=np.int64)
-        n[known] = self.n[at[known]]
         edges = pa.py_buffer(np.append(start, len(data)).astype(np.int64))
         strings = pa.LargeStringArray.from_buffers(len(start), edges, pa.py_buffer(np.ascontiguousarray(data)))
-        new = strings.take(pa.array(first[~known])).to_pylist()
-        n[~known] = [len(e) for e in self.encoder.encode_batch_fast(new, add_special_tokens=False)]
-        self._remember(units[~known], n[~known])
-        sums = np.concatenate(([0], np.cumsum(n[back])))
+        coded = strings.dictionary_encode()  # by bytes, so that only equal units share a count
+        n = self._lengths(coded.dictionary.to_pylist())
+        sums = np.concatenate(([0], np.cumsum(n[coded.indices.to_numpy()])))
         return np.diff(sums[np.searchsorted(start, offsets)])
 
-    def _remember(self, hashes: np.ndarray, n: np.ndarray) -> None:
-        if len(self.hashes) + len(hashes) <= self.REMEMBERED:
-            hashes, n = np.concatenate((self.hashes, hashes)), np.concatenate((self.n, n))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.n = hashes[order], n[order]
+    def _lengths(self, units: list[str]) -> np.ndarray:
+        new = [u for u in units if u not in self.known]
+        counts = dict(zip(new, (len(e) for e in self.encoder.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        n = np.array([counts[u] if u in counts else self.known[u] for u in units], dtype=np.int64)
+        self.size += sum(map(len, new))
+        if self.size > self.REMEMBERED:
+            self.known, self.size = {}, 0
+        else:
+            self.known |= counts
+        return n
 
 
 def token_counts(

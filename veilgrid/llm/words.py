@@ -12,8 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_SPAN = 1 << 18  # bytes hashed at once; the tables of powers stay in the cache
+_SPAN = 1 << 18  # bytes hashed at once
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -36,20 +35,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Values of bytes by their place in a span, the first 64 places; each is random, so no pattern of letters cancels out.
+_NEAR = 64
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64))
-_powers: dict[int, np.ndarray] = {}
+_PLACED = mix(_LETTER[None, :] + mix(np.arange(1, _NEAR + 1, dtype=np.uint64))[:, None]).ravel()
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        steps = np.full(max(n, _SPAN + 1), base, dtype=np.uint64)
-        steps[0] = 1
-        have = np.multiply.accumulate(steps)
-        if n <= 4 * _SPAN:
-            _powers[int(base)] = have
-    return have[:n]
+def _placed(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The value of each byte at its place."""
+    out = _PLACED[(np.minimum(place, _NEAR - 1) << 8) | data]
+    far = np.flatnonzero(place >= _NEAR)
+    out[far] = mix(_LETTER[data[far]] + mix(place[far].astype(np.uint64) + np.uint64(1)))
+    return out
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,19 +72,27 @@ def pieces(column: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int]]:
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of each span; spans are in order and do not overlap."""
-    out = np.empty(len(start), dtype=np.uint64)
-    i = 0
-    while i < len(out):
-        origin = start[i]
-        j = max(int(np.searchsorted(end, origin + _SPAN, side="right")), i + 1)
-        begin, stop = start[i:j] - origin, end[i:j] - origin
-        n = int(stop[-1])
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_LETTER[data[origin: origin + n]] * powers(_BASE, n), out=sums[1:])
-        out[i:j] = mix((sums[stop] - sums[begin]) * powers(_BASE_INVERSE, n + 1)[begin])
-        i = j
-    return out
+    """A hash of the bytes of each span: the sum of a random value for each byte and place. Spans are in order and do not overlap.
+
+    A polynomial modulo 2 ** 64 would give different words of some patterns (Thue-Morse) one hash at any base.
+    """
+    opens, closes = np.zeros(len(start), dtype=np.uint64), np.zeros(len(start), dtype=np.uint64)
+    before = np.uint64(0)
+    for low in range(int(start[0]), int(end[-1]), _SPAN) if len(start) else ():
+        high = min(low + _SPAN, int(end[-1]))
+        first, last = int(np.searchsorted(start, low, side="right")) - 1, int(np.searchsorted(start, high))
+        origin = start[first:last]
+        place = np.arange(low, high) - np.repeat(origin, np.diff(np.append(np.maximum(origin, low), high)))
+        sums = np.empty(high - low + 1, dtype=np.uint64)
+        sums[0] = before
+        np.cumsum(_placed(data[low:high], place), out=sums[1:])
+        sums[1:] += before
+        a, b = np.searchsorted(start, (low, high))
+        opens[a:b] = sums[start[a:b] - low]
+        a, b = np.searchsorted(end, (low, high), side="right")
+        closes[a:b] = sums[end[a:b] - low]
+        before = sums[-1]
+    return mix(closes - opens)
 
 
 class Words:
