@@ -151,6 +151,28 @@ mixed AS (SELECT *, whole_epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 EL
 MIXING = f"""WITH {mixing_ctes("documents", "3 / 5", 4)}
 SELECT doc_id, domain, lang, source, n_tokens, leaf_tokens, leaf_budget, epochs FROM mixed"""
 
+FILTER_INTERACTIONS = f"""
+WITH RECURSIVE words AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS w FROM documents),
+failing AS (SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+        100 * length(regexp_replace(body, '[^A-Z]+', '', 'g')) > 5 * length(body), regexp_matches(body, '[#$%&*|]'),
+        coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)] AS f FROM words),
+labelled AS (SELECT part, f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM failing
+    LEFT JOIN (SELECT doc_id AS id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) ON id = doc_id),
+counted AS (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM labelled GROUP BY part, f),
+orders(o) AS (SELECT '' UNION ALL SELECT o || c FROM orders, unnest(['A', 'B', 'C', 'D', 'E']) AS x(c) WHERE NOT contains(o, c)),
+steps AS (SELECT o AS filter_order, CAST(i AS INTEGER) AS step, strpos('ABCDE', o[i]) AS k, list_transform(range(1, i), lambda j: strpos('ABCDE', o[j])) AS earlier
+    FROM orders, unnest(range(1, 6)) AS y(i) WHERE length(o) = 5),
+judged AS (SELECT part, filter_order, step, k, n, good, toxic, f[k] AS fails, len(list_filter(earlier, lambda j: f[j])) > 0 AS gone,
+    len(list_filter(f, lambda x: x)) = 1 AS alone FROM counted, steps),
+tallied AS (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0) AS redundant, coalesce(sum(n) FILTER (fails AND alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails), 0) AS toxic_lost
+    FROM judged GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+    good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, k) AS BIGINT) AS shapley
+FROM tallied
+"""
+
 SQL = {
     "op2_quality_rules": QUALITY_RULES,
     "op3_revisits": REVISITS,
@@ -159,4 +181,5 @@ SQL = {
     "op6_decontamination": DECONTAMINATION,
     "op7_line_dedup": LINE_DEDUP,
     "op10_near_duplicates": NEAR_DUPLICATES,
+    "op12_filter_interactions": FILTER_INTERACTIONS,
 }
