@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import decontaminate, interactions, linededup, mixing, neardup, quality, secrets, shards, tokens, urls, warc
+from veilgrid.llm import codebooks, decontaminate, interactions, linededup, mixing, neardup, quality, secrets, shards, tokens, urls, warc
 from veilgrid.session import cut_lineage
 
 #: The URL filter's entries: host, path, verdict.
@@ -115,6 +115,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs, neardup.Settings(words=2))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codebooks.compressed(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return codebooks.with_label_error(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return interactions.filter_audit(docs, table(spark, sf_dir, "labels"))
@@ -123,6 +128,7 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_quality_rules, op3_revisits, op4_mixing, op5_url_filter, op6_decontamination, op7_line_dedup,
-        op8_token_counts, op9_secret_scan, op10_near_duplicates, op12_filter_interactions,
+        op8_token_counts, op9_secret_scan, op10_near_duplicates, op11_vector_codes,
+        op12_filter_interactions,
     )
 }

@@ -173,6 +173,29 @@ SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS remove
 FROM tallied
 """
 
+def _lloyd_round(i: int) -> str:
+    """Common table expressions: the nearest entry of each part by codebook ``b{i}``, and the codebook after it."""
+    return f"""
+a{i} AS MATERIALIZED (SELECT k, p, any_value(x) AS x, min([squares + own - 2 * dotted, entry]) AS best
+    FROM (SELECT k, parts.p, parts.x, parts.squares AS own, entry, b.squares, list_dot_product(parts.x, b.x) AS dotted
+        FROM parts JOIN (SELECT *, list_dot_product(x, x) AS squares FROM b{i}) b ON b.p = parts.p) GROUP BY k, p),
+b{i + 1} AS MATERIALIZED (SELECT p, entry, coalesce(moved.x, b{i}.x) AS x FROM b{i} LEFT JOIN (
+    SELECT p, entry, list(floor(total / n) ORDER BY c) AS x FROM (SELECT p, best[2] AS entry, c, sum(x[c]) AS total, count(*) AS n
+        FROM a{i}, range(1, len(x) + 1) AS z(c) GROUP BY ALL) GROUP BY p, entry) moved USING (p, entry)),"""
+
+
+#: Sums and squares of scaled components are whole numbers below 2 ** 53, exact as doubles.
+VECTOR_CODES = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS k, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT *, list_dot_product(x, x) AS squares FROM (SELECT k, p, v[p * len(v) // 4 + 1: (p + 1) * len(v) // 4] AS x FROM kept, range(4) AS y(p))),
+b0 AS (SELECT p, CAST(k - 1 AS DOUBLE) AS entry, x FROM parts WHERE k <= 256),
+{"".join(_lloyd_round(i) for i in range(5))}
+coded AS (SELECT k, string_agg(lower(printf('%02x', CAST(best[2] AS INTEGER))), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a4 GROUP BY k),
+books AS (SELECT sha256(string_agg(CAST(CAST(x[c] AS BIGINT) AS VARCHAR), ',' ORDER BY p, entry, c)) AS codebooks_sha256 FROM b4, range(1, len(x) + 1) AS z(c))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM kept JOIN coded USING (k), books
+"""
+
 SQL = {
     "op2_quality_rules": QUALITY_RULES,
     "op3_revisits": REVISITS,
@@ -181,5 +204,6 @@ SQL = {
     "op6_decontamination": DECONTAMINATION,
     "op7_line_dedup": LINE_DEDUP,
     "op10_near_duplicates": NEAR_DUPLICATES,
+    "op11_vector_codes": VECTOR_CODES,
     "op12_filter_interactions": FILTER_INTERACTIONS,
 }
