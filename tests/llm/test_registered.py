@@ -18,6 +18,9 @@ COLUMNS = {
     "op7_line_dedup": "doc_id n_lines n_dropped kept_sha256",
     "op8_token_counts": "doc_id n_bytes n_tokens over_limit",
     "op10_near_duplicates": "doc_id n_shingles component_id kept",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_filter_interactions": "part filter_order step kept removed redundant unique_fails good_lost toxic_lost shapley",
+    "op13_jaccard_join": "doc_id n_shingles component_id",
 }
 
 

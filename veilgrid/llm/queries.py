@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgrid.llm import codebooks, decontaminate, interactions, linededup, mixing, neardup, quality, secrets, shards, tokens, urls, warc
+from veilgrid.llm import codebooks, countjoin, decontaminate, interactions, linededup, mixing, neardup, quality, secrets, shards, tokens, urls, warc
 from veilgrid.session import cut_lineage
 
 #: The URL filter's entries: host, path, verdict.
@@ -125,10 +125,14 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.filter_audit(docs, table(spark, sf_dir, "labels"))
 
 
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return countjoin.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_quality_rules, op3_revisits, op4_mixing, op5_url_filter, op6_decontamination, op7_line_dedup,
         op8_token_counts, op9_secret_scan, op10_near_duplicates, op11_vector_codes,
-        op12_filter_interactions,
+        op12_filter_interactions, op13_jaccard_join,
     )
 }

@@ -42,20 +42,26 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-NEAR_DUPLICATES = f"""
+def _set_components(words: int, percent: int, columns: str) -> str:
+    """Components of documents whose sets of ``words``-word shingles are similar, by all pairs that share a shingle."""
+    return f"""
 WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '{_SPACED}') AS w FROM documents),
-shingles AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
-    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM texts WHERE len(w) > 0)),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS g
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 2}, 2))) AS i FROM texts WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY g) AS g FROM shingles),
 shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared_n FROM numbered a JOIN numbered b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared_n >= 80 * (x.n + y.n - shared_n)),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared_n >= {percent} * (x.n + y.n - shared_n)),
 both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reached(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reached.doc_id, b FROM reached JOIN both_ways ON a = other)
-SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
+SELECT doc_id, coalesce(sizes.n, 0) AS n_shingles, least_id AS component_id{columns}
 FROM (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
+
+NEAR_DUPLICATES = _set_components(2, 80, ", doc_id = least_id AS kept")
+JACCARD_JOIN = _set_components(3, 90, "")
+
 _RATES = {
     "symbol_rate": ("1000 * n_symbols // greatest(word_chars, 1)", 10, False), "word_length": ("100 * word_chars // greatest(n_words, 1)", 60, True),
     "dup_line_rate": ("1000 * n_dup_lines // greatest(n_words, 1)", 10, False),
@@ -206,4 +212,5 @@ SQL = {
     "op10_near_duplicates": NEAR_DUPLICATES,
     "op11_vector_codes": VECTOR_CODES,
     "op12_filter_interactions": FILTER_INTERACTIONS,
+    "op13_jaccard_join": JACCARD_JOIN,
 }
