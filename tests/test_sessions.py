@@ -119,34 +119,84 @@ def test_widest_bucket(spark):
     assert widest_bucket(df, ["k"], widths, 0) is None
 
 
-def _write_parts(spark, df, parts, path):
-    for i in range(parts):
-        df.where(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(path)
+def _arriving(spark, df):
+    """The stream of all files each time that one more ``part`` of ``df`` is there."""
+    path = shared_folder(spark, "in")
+    for (part,) in sorted(df.select("part").distinct().collect()):
+        df.where(f"part = {part}").drop("part").repartition(3).write.mode("append").parquet(path)
+        yield spark.readStream.schema(df.drop("part").schema).parquet(path)
+
+
+def _streamed(spark, df, start):
+    """Rows that a job writes which is run to its end and restarted on each part."""
+    folder = shared_folder(spark, "out")
+    for stream in _arriving(spark, df):
+        start(stream, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")
 
 
 def test_stream_of_frames_equals_batch(spark):
     rng = random.Random(5)
-    rows = [(f"s{rng.randint(0, 2)}", START + timedelta(minutes=i), i, rng.choice(["A", "B", ""]), i // 40) for i in range(160)]
-    df = spark.createDataFrame(rows, "session_id string, ts timestamp_ntz, n int, content_hash string, part int")
-    stream = _write_parts(spark, df, 4, shared_folder(spark, "in"))
-    folder = shared_folder(spark, "out")
-    jobs.stream_frames(stream, folder, order=("n",), unit="hour").awaitTermination()
-    got = {r.n: r.skipped for r in spark.read.parquet(f"{folder}/rows").collect()}
-    assert len({r.epoch for r in spark.read.parquet(f"{folder}/rows").select("epoch").collect()}) == 4
-    assert got == {r.n: r.skipped for r in S.unchanged_frames(df, order=("n",)).collect()}
+    rows = [(f"s{rng.randint(0, 2)}" if i % 31 else None, START + timedelta(minutes=i), 2**60 + i if i % 7 else None, i, rng.choice(["A", "B", "", None]), i // 40) for i in range(160)]
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp_ntz, big bigint, n int, content_hash string, part int")
+    got = _streamed(spark, df, lambda s, f: jobs.stream_frames(s, f, order=("n",)))
+    want = S.unchanged_frames(df, order=("n",)).drop("part")
+    assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
 
 
 def test_stream_of_steps_equals_batch(spark):
     rng = random.Random(6)
-    rows = [(f"s{i % 3}", i, rng.randint(1, 4), i // 50) for i in range(150)]
+    rows = [(f"s{i % 3}", i, rng.randint(1, 4) + i // 60, i // 50) for i in range(150)]
     df = spark.createDataFrame(rows, "session_id string, arrival bigint, step_number int, part int")
-    stream = _write_parts(spark, df, 3, shared_folder(spark, "in"))
-    folder = shared_folder(spark, "out")
-    jobs.stream_steps(stream, folder, block=20).awaitTermination()
-    got = {r.arrival: (r.accepted, r.expected_step) for r in spark.read.parquet(f"{folder}/rows").collect()}
-    want, _ = S.step_acceptance(df)
-    assert got == {r.arrival: (r.accepted, r.expected_step) for r in want.collect()}
+    got = _streamed(spark, df, jobs.stream_steps)
+    want, _ = S.step_acceptance(df.drop("part"))
+    assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+@pytest.mark.parametrize("late", [None, "1 minute"])
+def test_stream_of_requests_equals_batch(spark, late):
+    rng, at, rows = random.Random(7), 0, []
+    for i in range(400):
+        at += rng.choice([0, 1, 1_000_000, 9_000_000, 59_000_000 if i % 50 == 0 else 5])
+        rows.append(("hot" if rng.random() < 0.7 else f"c{rng.randint(0, 4)}", at, i, i // 150))
+    df = spark.createDataFrame(rows, "client string, at_us bigint, n int, part int")
+    got = _streamed(spark, df, lambda s, f: jobs.stream_rate_limit(s, "client", "at_us", f, order=("n",), late=late))
+    want, _ = S.rate_limit(df.drop("part"), "client", "at_us", order=("n",))
+    assert got.columns == want.columns and {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def _minutes(spark, rows):
+    return spark.createDataFrame([(k, START + timedelta(minutes=m), p) for k, m, p in rows], "session_id string, ts timestamp, part int")
+
+
+def test_stream_of_sessions_loses_no_access(spark):
+    """Accesses that come late are rows of their own; the others make the lives of the batch."""
+    rng = random.Random(8)
+    rows = [(f"s{rng.randint(0, 3)}", i * 7 + rng.choice([0, 0, 0, -25, -300]), i // 40) for i in range(160)]
+    df = _minutes(spark, rows)
+    got = _streamed(spark, df, lambda s, f: jobs.stream_sessions(s, f, late="30 minutes"))
+    late = got.where("outcome = 'late'")
+    upto = {p: max((m for _, m, q in rows if q < p), default=-10**6) - 30 for p in range(5)}
+    behind = [(k, m) for k, m, p in rows if m < upto[p]]
+    start = int((START - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert sorted((r.session_id, (r.opened - start) // 60_000_000) for r in late.collect()) == sorted(behind) != []
+    ontime = _minutes(spark, [(k, m, p) for k, m, p in rows if m >= upto[p]])
+    epochs = S.expiry_epochs(ontime.withColumn("ts", F.col("ts").cast("timestamp_ntz")), order=("part",)).groupBy("session_id", "vault_epoch").agg(
+        F.unix_micros(F.min("ts").cast("timestamp")).alias("opened"), F.unix_micros(F.max("ts").cast("timestamp")).alias("last_access"), F.count("*").alias("n_accesses"))
+    closed = epochs.where(f"last_access + 1800000000 < {start + upto[4] * 60_000_000}").drop("vault_epoch")
+    assert sorted(map(tuple, got.where("outcome = 'closed'").drop("outcome").collect())) == sorted(map(tuple, closed.collect())) != []
+
+
+def test_a_gap_of_the_ttl_keeps_a_session_open(spark):
+    rows = [("a", 0, 0), ("a", 30, 0), ("b", 0, 0), ("b", 31, 0), ("z", 600, 1)]
+    got = _streamed(spark, _minutes(spark, rows), lambda s, f: jobs.stream_sessions(s, f, late="0 seconds"))
+    assert sorted((r.session_id, r.n_accesses, r.outcome) for r in got.collect()) == [("a", 2, "closed"), ("b", 1, "closed"), ("b", 1, "closed")]
+
+
+def test_streams_leave_the_session_as_it_was(spark):
+    before = spark.conf.get(jobs.STATE_STORE, None)
+    df = spark.createDataFrame([("s", 1, 1, 0)], "session_id string, arrival bigint, step_number int, part int")
+    assert _streamed(spark, df, jobs.stream_steps).first().accepted and spark.conf.get(jobs.STATE_STORE, None) == before
 
 
 def test_fold_keeps_states_of_quiet_keys(spark):

@@ -885,7 +885,15 @@ def unknown_field_leaks(spark, sf_dir):
 
 def _finish(started, spark, folder: str, schema: str) -> DataFrame:
     started.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{folder}/rows").drop("epoch")
+    return spark.read.schema(schema).parquet(f"{folder}/rows")
+
+
+def _in_parts(spark, streams, columns: list[str], name: str, start: Callable, schema: str) -> DataFrame:
+    """What a job with one checkpoint writes while its input arrives part by part."""
+    folder = shared_folder(spark, name)
+    for arriving in streams:
+        rows = _finish(start(arriving.selectExpr(*columns), folder), spark, folder, schema)
+    return rows
 
 
 @query
@@ -902,36 +910,34 @@ MICROS = "unix_micros(cast(ts as timestamp))"
 
 @query
 def streamed_rate_limit(spark, sf_dir):
-    folder = shared_folder(spark, "rate")
-    asked = derived.table_stream(spark, sf_dir, "events", MICROS).selectExpr(*derived.REQUESTS)
-    return _finish(jobs.stream_rate_limit(asked, "client", "at_us", folder, order=("event_id",), slice_width=300_000_000), spark, folder,
-                   "event_id bigint, client string, at_us bigint, window_start bigint, request_no bigint, allowed boolean")
+    return _in_parts(
+        spark, derived.arriving(spark, sf_dir, "events", MICROS), derived.REQUESTS, "rate",
+        lambda asked, folder: jobs.stream_rate_limit(asked, "client", "at_us", folder, order=("event_id",), late="1 hour"),
+        "event_id bigint, client string, at_us bigint, window_start bigint, request_no bigint, allowed boolean")
 
 
 @query
 def streamed_steps(spark, sf_dir):
-    folder = shared_folder(spark, "steps")
-    arriving = derived.table_stream(spark, sf_dir, "conversations", "turn").selectExpr(*derived.STEPS)
-    return _finish(jobs.stream_steps(arriving, folder, block=4), spark, folder,
-                   "session_id bigint, arrival bigint, step_number int, accepted boolean, expected_step int")
+    return _in_parts(
+        spark, derived.arriving(spark, sf_dir, "conversations", "turn"), derived.STEPS, "steps", jobs.stream_steps,
+        "session_id bigint, arrival bigint, step_number int, accepted boolean, expected_step int")
 
 
 @query
 def streamed_frames(spark, sf_dir):
-    folder = shared_folder(spark, "frames")
-    arriving = derived.table_stream(spark, sf_dir, "events", MICROS).selectExpr(*derived.FRAMES)
-    return _finish(jobs.stream_frames(arriving, folder, order=("event_id",)), spark, folder,
-                   "event_id bigint, session_id bigint, skipped boolean")
+    return _in_parts(
+        spark, derived.arriving(spark, sf_dir, "events", MICROS), derived.FRAMES, "frames",
+        lambda frames, folder: jobs.stream_frames(frames, folder, order=("event_id",)), "event_id bigint, session_id bigint, skipped boolean")
 
 
 @query
 def streamed_sessions(spark, sf_dir):
-    """Vaults that expired within the log; those still open at its end stay in state."""
-    folder = shared_folder(spark, "sessions")
-    arriving = derived.table_stream(spark, sf_dir, "events", MICROS).selectExpr(*derived.ACCESSES).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _finish(jobs.stream_sessions(arriving, folder, late="0 seconds"), spark, folder,
-                   "session_id bigint, opened timestamp, last_access timestamp, n_accesses bigint").withColumns({
-                       "opened": F.col("opened").cast("timestamp_ntz"), "last_access": F.col("last_access").cast("timestamp_ntz")})
+    """Vaults that expired within the log, and accesses behind the watermark; vaults still open at its end stay in state."""
+    rows = _in_parts(
+        spark, derived.arriving(spark, sf_dir, "events", MICROS, derived.DELAYED), derived.ACCESSES, "sessions",
+        lambda accesses, folder: jobs.stream_sessions(accesses, folder, late="10 minutes"),
+        "session_id bigint, opened bigint, last_access bigint, n_accesses bigint, outcome string")
+    return rows.withColumns({c: F.timestamp_micros(c).cast("timestamp_ntz") for c in ("opened", "last_access")})
 
 
 @query

@@ -6,6 +6,8 @@ alike, so that a query and its check start from the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 
 from veilgrid.session import shared_folder, spread
@@ -182,6 +184,8 @@ def select_sql(columns: list[str], source: str, where: str = "") -> str:
 # Session logs over the events table.
 FRAMES = ["event_id", "user_id AS session_id", "ts", "CASE event_type WHEN 'error' THEN '' ELSE event_type END AS content_hash"]
 ACCESSES = ["event_id", "user_id AS session_id", "ts"]
+# Accesses that reach the stream one part late.
+DELAYED = "event_id % 40 = 0"
 ATTEMPTS = [
     "event_id", "user_id AS session_id", "ts", "CAST(extract(day FROM ts) AS INT) AS step_number",
     "event_type NOT IN ('error', 'signup') AS succeeded",
@@ -219,20 +223,26 @@ REQUESTS_SQL = (
 )
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, order: str | None = None, parts: int = 3) -> DataFrame:
-    """The same table as a file stream.
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    rows = table(spark, sf_dir, name)
+    return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def arriving(spark: SparkSession, sf_dir: str, name: str, order: str, delayed: str = "false", parts: int = 3) -> Iterator[DataFrame]:
+    """A table that arrives in ``parts`` by a whole number: each time one more part is there, the stream of all files.
 
-    With ``order``, a whole number, its rows arrive in ``parts`` batches by that order, so that state crosses epochs.
+    A query that is run to its end on each of them, with one checkpoint, is restarted between the parts, and its state
+    crosses them. Rows that are ``delayed`` come one part later. Parts are written by as many tasks as the table has.
     """
     rows = table(spark, sf_dir, name)
-    if order is None:
-        return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     low, high = rows.selectExpr(f"min({order})", f"max({order})").first()
     folder = shared_folder(spark, f"{name}-stream")
     step = ((high or 0) - (low or 0)) // parts + 1
+    part = f"least(coalesce(cast(({order} - {low or 0}) div {step} as int), 0) + cast(({delayed}) as int), {parts - 1})"
     for i in range(parts):
-        rows.where(f"coalesce(cast(({order} - {low or 0}) div {step} as int), 0) = {i}").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        rows.where(f"{part} = {i}").write.mode("append").parquet(folder)
+        yield spark.readStream.schema(rows.schema).parquet(folder)
 
 
 # Pages with a form or a failure notice at their end.

@@ -61,8 +61,14 @@ def source_queries() -> dict[str, str]:
         "streamed_steps": with_(STEPS, "SELECT session_id, arrival, step_number, accepted, expected_step FROM walk"),
         "streamed_frames": with_(log(d.FRAMES), """SELECT event_id, session_id, coalesce(content_hash <> ''
             AND lag(content_hash) OVER (PARTITION BY session_id ORDER BY ts, event_id) = content_hash, false) AS skipped FROM log"""),
-        "streamed_sessions": with_(log(d.ACCESSES), EPOCHS, """lives AS (SELECT session_id, min(ts) AS opened, max(ts) AS last_access, count(*) AS n_accesses FROM epochs GROUP BY session_id, vault_epoch)""",
-            "SELECT * FROM lives WHERE date_trunc('millisecond', last_access) + INTERVAL 30 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM log)"),
+        "streamed_sessions": with_(f"""stamped AS (SELECT *, epoch_us(ts) AS us, min(epoch_us(ts)) OVER () AS low, max(epoch_us(ts)) OVER () AS high FROM ({d.select_sql(d.ACCESSES, "events")})),
+            parted AS (SELECT *, least(2, (us - low) // ((high - low) // 3 + 1) + CASE WHEN {d.DELAYED} THEN 1 ELSE 0 END) AS part FROM stamped),
+            marks AS (SELECT part, max(max(us) // 1000 - 600000) OVER (ORDER BY part) * 1000 AS upto FROM parted GROUP BY part),
+            behind AS (SELECT parted.*, coalesce(us < upto, false) AS late FROM parted LEFT JOIN marks ON marks.part = parted.part - 1),
+            log AS (SELECT * FROM behind WHERE NOT late)""", EPOCHS,
+            """lives AS (SELECT session_id, min(ts) AS opened, max(ts) AS last_access, count(*) AS n_accesses, 'closed' AS outcome FROM epochs GROUP BY session_id, vault_epoch)""",
+            """SELECT * FROM lives WHERE epoch_us(last_access) + 1800000000 < (SELECT max(upto) FROM marks)
+            UNION ALL SELECT session_id, ts, ts, 1, 'late' FROM behind WHERE late"""),
         "streamed_audit": "SELECT 's' || user_id AS session_id, CAST(event_id AS INTEGER) AS step_number, sha256(event_type) AS instruction_hash, '[REDACTED]' AS value FROM events",
         "named_detectors": with_(TEXTS, TEXT_SPANS, r"""extra AS (SELECT unnest(regexp_extract_all(text, '[A-Z]{4}0[0-9]{6}')) FROM texts)""",
             """SELECT type AS detector, type, count(*) AS n_spans FROM spans WHERE type IN ('EMAIL', 'IFSC') GROUP BY type
