@@ -201,8 +201,33 @@ def test_audit_looks_into_maps_and_variants(spark):
         "payload_id", "map('k', '4111111111111111') as extra", "array(map('m', named_struct('deep', 'a@b.com'))) as listed",
         """parse_json('{"a":{"note":"9876543210","n":1},"l":[1,"x\\\\"y:",{"password":"p"}],"e":""}') as line""", "cast(null as variant) as none")
     got = {(r.path, r.value) for r in A.string_leaves(rows, ["payload_id"]).collect()}
-    assert got == {("extra.k", "4111111111111111"), ("listed[0].m.deep", "a@b.com"), ("line.note", "9876543210"), ("line.l", 'x"y:'),
-                   ("line.password", "p"), ("line.e", "")}
+    assert got == {("extra.k", "4111111111111111"), ("listed[0].m.deep", "a@b.com"), ("line.a.note", "9876543210"), ("line.l[1]", 'x"y:'),
+                   ("line.l[2].password", "p"), ("line.e", "")}
+
+
+def test_variants_have_exact_paths(spark):
+    deep = "[" * 60 + '"end"' + "]" * 60
+    cases = {
+        '{"password":{"x":"hunter2"}}': {("v.password.x", "hunter2")},
+        '{"password":["[A_b]","hunter2",{"y":[["z"]]}]}': {("v.password[0]", "[A_b]"), ("v.password[1]", "hunter2"), ("v.password[2].y[0][0]", "z")},
+        '{"a.secret":{"b":"1"},"[":"]","{":"}{"}': {("v.a.secret.b", "1"), ("v.[", "]"), ("v.{", "}{")},
+        '"only"': {("v", "only")}, "7": set(), "null": set(), "{}": set(), '[[],{},"x",null,true,1.5]': {("v[2]", "x")},
+        r'{"a":"q\"}{[","b":"\u0041\\"}': {("v.a", 'q"}{['), ("v.b", "A\\")}, deep: {("v" + "[0]" * 60, "end")},
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "payload_id int, text string").selectExpr("payload_id", "parse_json(text) as v")
+    got = {i: set() for i in range(len(cases))}
+    for r in A.string_leaves(rows, ["payload_id"]).collect():
+        got[r.payload_id].add((r.path, r.value))
+    assert list(got.values()) == list(cases.values())
+
+
+def test_nothing_below_a_sensitive_key_is_sent(spark):
+    texts = ['{"password":{"x":"hunter2"}}', '{"password":["[A_b]","hunter2"]}', '{"login":[{"pwd":{"now":"s3"}}]}', '{"my.secret":"s"}', '{"password":{"x":"","n":1}}',
+             '{"note":"fine"}']
+    rows = spark.createDataFrame([*enumerate(texts), (None, '{"note":"no id"}')], "payload_id int, text string").selectExpr("payload_id", "parse_json(text) as v")
+    found = A.leaf_violations(A.string_leaves(rows, ["payload_id"]), spark.createDataFrame([], "token string"))
+    clean, held = A.send_gate(rows, found)
+    assert {r.payload_id for r in clean.collect()} == {4, 5} and {r.payload_id for r in held.collect()} == {0, 1, 2, 3, None}
 
 
 def test_leaks_are_found_whatever_white_space_surrounds_them(spark):

@@ -43,15 +43,20 @@ def _leaves_sql(expr: str, kind: T.DataType, path: str, depth: int) -> str | Non
 
 
 def _variant_leaves_sql(expr: str, path: str) -> str:
-    """Every string at any depth of a variant, under the name of its field (the nearest one before it in a list)."""
-    literal = raw(r'"((?:[^"\\]|\\.)*+)"(:?)')
-    parts = D.let("js", f"to_json({expr})", "arrays_zip(" + ", ".join(
-        f"regexp_extract_all(js, {literal}, {g})" for g in (1, 2)) + ")")
-    text = "get(from_json(concat('[\"', t.`0`, '\"]'), 'array<string>'), 0)"
-    before = "get(tokens, i - 1)"
-    name = f"if(i > 0 and {before}.`1` = ':', concat('.', {before}.`0`), '')"
-    leaf = f"transform(tokens, (t, i) -> if(t.`1` = ':', null, named_struct('path', concat({path}, {name}), 'value', {text})))"
-    return f"if({expr} is null, cast(array() as {LEAF}), array_compact({D.let('tokens', parts, leaf)}))"
+    """Every string at any depth of a variant with its whole path, taken apart level by level, as deep as the row's own value is."""
+    entry, item = ("named_struct('path', concat(l.path, {}), 'v', {})".format(*x) for x in (("'.', e.key", "e.value"), ("'[', j, ']'", "x")))
+    level = f"""flatten(transform(found, l -> coalesce(
+        transform(map_entries(try_cast(l.v as map<string, variant>)), e -> {entry}),
+        transform(try_cast(l.v as array<variant>), (x, j) -> {item}), array(l))))"""
+    literal, other = raw(r'"(?:[^"\\]|\\.)*+"'), raw(r"[^\[\]{}]+")
+    brackets = f"split(regexp_replace(regexp_replace(to_json({expr}), {literal}, ''), {other}, ''), '')"
+    depth = f"""aggregate({brackets}, named_struct('now', 0, 'most', 0), (a, c) -> if(c in ('[', '{{'),
+        named_struct('now', a.now + 1, 'most', greatest(a.most, a.now + 1)), named_struct('now', a.now - if(c = '', 0, 1), 'most', a.most)), a -> a.most)"""
+    levels = D.let("deep", depth, "if(deep = 0, cast(array() as array<int>), sequence(1, deep))")
+    walked = f"aggregate({levels}, array(named_struct('path', {path}, 'v', {expr})), (found, i) -> {level})"
+    strings = f"filter({walked}, l -> schema_of_variant(l.v) = 'STRING')"
+    leaves = f"transform({strings}, l -> named_struct('path', l.path, 'value', variant_get(l.v, '$', 'string')))"
+    return f"if({expr} is null, cast(array() as {LEAF}), {leaves})"
 
 
 def string_leaves(df: DataFrame, key: list[str]) -> DataFrame:
@@ -137,12 +142,14 @@ def audit_verdicts(payloads: DataFrame, violations: DataFrame) -> DataFrame:
 
 
 def send_gate(payloads: DataFrame, *findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Payloads that may be sent, and those held back: any finding holds a payload."""
+    """Payloads that may be sent, and those held back: any finding holds a payload, and so does a missing id."""
     held_ids = findings[0].select("payload_id")
     for more in findings[1:]:
         held_ids = held_ids.unionByName(more.select("payload_id"))
-    held_ids = held_ids.distinct()
-    return payloads.join(held_ids, "payload_id", "left_anti"), payloads.join(held_ids, "payload_id", "left_semi")
+    held_ids = held_ids.where("payload_id is not null").distinct()
+    known = payloads.where("payload_id is not null")
+    held = known.join(held_ids, "payload_id", "left_semi").unionByName(payloads.where("payload_id is null"))
+    return known.join(held_ids, "payload_id", "left_anti"), held
 
 
 def raw_value_leaks(leaves: DataFrame, sensitive: DataFrame, block: int = VALUE_BLOCK) -> DataFrame:

@@ -870,19 +870,32 @@ def normalised_responses(spark, sf_dir):
 # --- streams -----------------------------------------------------------------------------
 
 
-@query
-def unknown_field_leaks(spark, sf_dir):
-    """Payload lines with fields that no schema knows, nested ones and broken lines: what the audit finds in them."""
+def _unknown_fields(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Payload lines with fields that no schema knows, nested ones and broken lines, and what the audit finds in them."""
     path = shared_folder(spark, "unknown-fields")
     table(spark, sf_dir, "orders").selectExpr(f"({derived.UNKNOWN_LINES}) as value").write.text(path)
     lines = sources_payloads.read_payloads(spark, path)
     leaves = A.string_leaves(lines.select("payload_id", "line"), ["payload_id"])
     none = spark.createDataFrame([], "token string")
-    found = A.leaf_violations(leaves, none).unionByName(lines.where("reject_reason is not null").selectExpr(
+    return lines, A.leaf_violations(leaves, none).unionByName(lines.where("reject_reason is not null").selectExpr(
         "payload_id", "'line' as path", "'broken' as reason", "reject_reason as matched_type"))
+
+
+@query
+def unknown_field_leaks(spark, sf_dir):
+    _, found = _unknown_fields(spark, sf_dir)
     return found.groupBy("path", "matched_type").agg(F.count("*").alias("n_found"))
 
 
+@query
+def unknown_field_gate(spark, sf_dir):
+    """Which of those lines may be sent; a broken one has a hash for an id, here -1."""
+    lines, found = _unknown_fields(spark, sf_dir)
+    clean, held = A.send_gate(lines.select("payload_id", "reject_reason"), found)
+    shown = F.expr("if(reject_reason is null, payload_id, -1)").alias("payload_id")
+    return clean.select(shown, F.lit("send").alias("gate")).unionAll(held.select(shown, F.lit("hold").alias("gate")))
+
+
 def _finish(started, spark, folder: str, schema: str) -> DataFrame:
     started.awaitTermination()
     return spark.read.schema(schema).parquet(f"{folder}/rows")

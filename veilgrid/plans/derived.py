@@ -280,7 +280,8 @@ UNKNOWN_LINES = """CASE WHEN o_orderkey % 7 = 3 THEN concat('{"payload_id":', o_
     '{"payload_id":', o_orderkey, ',"session_id":"s","memo":"', CASE WHEN o_orderkey % 5 = 1 THEN 'card 4111 1111 1111 1111' ELSE 'none' END,
     '","extra":{"list":[1,{"mail":"', CASE WHEN o_orderkey % 3 = 1 THEN concat('a', o_orderkey, '@example.com') ELSE 'no mail' END,
     '"},"plain"],"password":"', CASE WHEN o_orderkey % 4 = 1 THEN 'hun\\u0074er2' ELSE '' END,
-    '"},"redacted_regions":[{"element_id":"e","note":"', CASE WHEN o_orderkey % 6 = 1 THEN '9876543210' ELSE '' END, '"}]}') END"""
+    '"},"login":', CASE WHEN o_orderkey % 8 = 1 THEN '{"password":{"x":{"y":"hunter2"}},"pwd":["[A_b]",[7,"hunter2"]],"kept.secret":"s3","n":1}' ELSE 'null' END,
+    ',"redacted_regions":[{"element_id":"e","note":"', CASE WHEN o_orderkey % 6 = 1 THEN '9876543210' ELSE '' END, '"}]}') END"""
 # Recognised text of a screen: two blocks with nested lines, one row per line item.
 OCR_PAGES = [
     "l_orderkey AS payload_id", "CAST(l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + CAST(l_quantity AS BIGINT) AS BIGINT) AS seq",

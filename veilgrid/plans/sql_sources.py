@@ -51,10 +51,16 @@ def source_queries() -> dict[str, str]:
             SELECT unnest([
                 CASE WHEN k % 7 = 3 THEN {'path': 'line', 'matched_type': 'invalid_json'} END,
                 CASE WHEN k % 7 <> 3 AND k % 5 = 1 THEN {'path': 'line.memo', 'matched_type': 'CARD_NUMBER'} END,
-                CASE WHEN k % 7 <> 3 AND k % 3 = 1 THEN {'path': 'line.mail', 'matched_type': 'EMAIL'} END,
-                CASE WHEN k % 7 <> 3 AND k % 4 = 1 THEN {'path': 'line.password', 'matched_type': 'PASSWORD'} END,
-                CASE WHEN k % 7 <> 3 AND k % 6 = 1 THEN {'path': 'line.note', 'matched_type': 'PHONE'} END], recursive := true)
+                CASE WHEN k % 7 <> 3 AND k % 3 = 1 THEN {'path': 'line.extra.list[1].mail', 'matched_type': 'EMAIL'} END,
+                CASE WHEN k % 7 <> 3 AND k % 4 = 1 THEN {'path': 'line.extra.password', 'matched_type': 'PASSWORD'} END,
+                CASE WHEN k % 7 <> 3 AND k % 6 = 1 THEN {'path': 'line.redacted_regions[0].note', 'matched_type': 'PHONE'} END,
+                CASE WHEN k % 7 <> 3 AND k % 8 = 1 THEN {'path': 'line.login.password.x.y', 'matched_type': 'PASSWORD'} END,
+                CASE WHEN k % 7 <> 3 AND k % 8 = 1 THEN {'path': 'line.login.pwd[0]', 'matched_type': 'PASSWORD'} END,
+                CASE WHEN k % 7 <> 3 AND k % 8 = 1 THEN {'path': 'line.login.pwd[1][1]', 'matched_type': 'PASSWORD'} END,
+                CASE WHEN k % 7 <> 3 AND k % 8 = 1 THEN {'path': 'line.login.kept.secret', 'matched_type': 'PASSWORD'} END], recursive := true)
             FROM (SELECT o_orderkey AS k FROM orders)) WHERE path IS NOT NULL GROUP BY ALL""",
+        "unknown_field_gate": """SELECT CASE WHEN o_orderkey % 7 = 3 THEN -1 ELSE o_orderkey END AS payload_id, CASE WHEN o_orderkey % 7 = 3 OR o_orderkey % 5 = 1 OR o_orderkey % 3 = 1
+            OR o_orderkey % 4 = 1 OR o_orderkey % 6 = 1 OR o_orderkey % 8 = 1 THEN 'hold' ELSE 'send' END AS gate FROM orders""",
         "streamed_redaction": with_(spans("documents", "doc_id, source"), kept("doc_id, source"), redacted, """SELECT doc_id, sha256(coalesce(head || substr(text, last + 1), text)) AS redacted_sha,
             CAST(coalesce(n, 0) AS INTEGER) AS n_redacted, 'clean' AS outcome FROM documents LEFT JOIN joined USING (doc_id)"""),
         "streamed_rate_limit": with_(RATE, "SELECT event_id, client, at_us, window_start, CAST(request_no AS BIGINT) AS request_no, request_no <= 20 AS allowed FROM walk"),
