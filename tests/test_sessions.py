@@ -3,11 +3,13 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veilgrid.operators import folds
 from veilgrid.operators import sessions as S
+from veilgrid.operators import ordered
 from veilgrid.operators.ordered import fold_by_bucket, widest_bucket
 from veilgrid.session import shared_folder
 from veilgrid.streaming import jobs
@@ -24,23 +26,88 @@ def plain(fold, rows):
     return out
 
 
+def _cases(rng):
+    steps = [(rng.randint(1, 6),) for _ in range(rng.randint(1, 12))]
+    times = sorted(rng.choices(range(0, 400), k=rng.randint(1, 25)))
+    events = [(rng.choice(["send", "send", "end", "tab_closed"]), rng.randint(0, 2), rng.randint(0, 1)) for _ in range(10)]
+    return (
+        (folds.StepSequence(), steps, [None, *range(6)]),
+        (folds.FixedWindowRate(3, 60), [(t + 400,) for t in times], [None, *({"start": s, "count": c} for s, c in ((300, 2), (399, 9), (380, 1)))]),
+        (folds.ContextBinding(), events, [None, *({"tab": t, "frame": f} for t in range(3) for f in range(2))]),
+    )
+
+
+def _followed(fold, state, rows):
+    for row in rows:
+        state, _ = fold.step(state, row)
+    return state
+
+
 def test_summaries_equal_steps():
     """A summary of any bucket takes any reachable state where the single steps take it."""
     rng = random.Random(1)
     for _ in range(400):
-        steps = [(rng.randint(1, 6),) for _ in range(rng.randint(1, 12))]
-        times = sorted(rng.sample(range(0, 400), rng.randint(1, 25)))
-        events = [(rng.choice(["send", "send", "end", "tab_closed"]), rng.randint(0, 2), rng.randint(0, 1)) for _ in range(10)]
-        for fold, rows, states in (
-            (folds.StepSequence(), steps, [None, *range(6)]),
-            (folds.FixedWindowRate(3, 60), [(t + 400,) for t in times], [None, (300, 2), (399, 9), (380, 1)]),
-            (folds.ContextBinding(), events, [None, *((t, f) for t in range(3) for f in range(2))]),
-        ):
+        for fold, rows, states in _cases(rng):
+            for state in states:
+                assert (fold.advance(state, fold.summary(rows)) or 0) == (_followed(fold, state, rows) or 0)
+
+
+def test_summaries_compose():
+    """Summaries of parts, composed in any grouping, do what the rows do one by one."""
+    rng = random.Random(2)
+    for _ in range(400):
+        for fold, rows, states in _cases(rng):
+            cuts = sorted({0, len(rows), *(rng.randint(0, len(rows)) for _ in range(3))})
+            parts = [fold.summary(rows[a:b]) for a, b in zip(cuts, cuts[1:])]
+            while len(parts) > 1:
+                i = rng.randrange(len(parts) - 1)
+                parts[i:i + 2] = [fold.compose(parts[i], parts[i + 1])]
             for state in states:
-                end = state
-                for row in rows:
-                    end, _ = fold.step(end, row)
-                assert (fold.advance(state, fold.summary(rows)) or 0) == (end or 0)
+                assert (fold.advance(state, parts[0]) or 0) == (_followed(fold, state, rows) or 0)
+
+
+def test_summaries_stay_small_whatever_the_rows():
+    rng, sizes = random.Random(3), {}
+    for n in (300, 30_000):
+        times = np.cumsum([rng.choice([1, 2, 5, 30]) for _ in range(n)]).tolist()
+        inputs = (
+            (folds.StepSequence(), [(rng.randint(1, 20),) for _ in range(n)]), (folds.FixedWindowRate(20, 60), [(t,) for t in times]),
+            (folds.ContextBinding(), [(rng.choice(["send", "end", "tab_closed"]), rng.randint(0, 5), 0) for _ in range(n)]))
+        for fold, rows in inputs:
+            whole = None
+            for i in range(0, n, 50):
+                part = fold.summary(rows[i:i + 50])
+                whole = part if whole is None else fold.compose(whole, part)
+            sizes.setdefault(type(fold).__name__, []).append(sum(len(v) for v in whole.values() if isinstance(v, list)))
+    assert all(large <= max(small, 60) for small, large in sizes.values()), sizes
+
+
+def test_a_key_of_many_buckets_never_meets_in_one_task(spark, monkeypatch):
+    """100,000 buckets of one key: no task composes or carries more than a fan of them."""
+    n = 100_000
+    df = spark.range(n).selectExpr("'hot' as client", "id * 7000000 as at_us", "cast(id as int) as n").repartition(8)
+    got, state = S.rate_limit(df, "client", "at_us", slice_width=7_000_000, limit=5)
+    assert got.where("n % 9 = request_no - 1 and window_start = (n - n % 9) * 7000000L and allowed = (request_no <= 5)").count() == n
+    assert [tuple(r.state) for r in state.collect()] == [((n - 1) // 9 * 9 * 7_000_000, (n - 1) % 9 + 1)]
+    monkeypatch.setattr(ordered, "FAN", 2)
+    got, _ = S.rate_limit(df.where("n < 300"), "client", "at_us", slice_width=7_000_000)
+    assert got.where("n % 9 = request_no - 1").count() == 300
+
+
+def test_a_minute_with_all_sessions_is_spread(spark, monkeypatch):
+    df = spark.range(4000).selectExpr("id as session_id", "timestamp_ntz'2024-01-01 00:00:10' as ts", "1L as vault_epoch").repartition(8)
+    rows = S.concurrency(df, warn_at=20)
+    assert rows.where("change = 1").selectExpr("max(active)", "count(distinct active)", "sum(int(over_limit))").first() == (4000, 4000, 3980)
+    assert rows.where("change = -1").selectExpr("min(active)").first() == (0,)
+    held, cut = [], ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda df, name: held.append(cut(df, name)) or held[-1])
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")
+    try:
+        assert S.concurrency(df).where("change = 1").selectExpr("max(active)").first() == (4000,)
+    finally:
+        spark.conf.set(merging, "true")
+    assert held[0].where("change = 1").groupBy("_part").count().count() > 2
 
 
 @pytest.mark.parametrize("width", [1, 7, 1000])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import values as V
 from veilgrid.operators import folds
-from veilgrid.operators.ordered import fold_by_bucket, lag_by_bucket, running_sum_by_bucket
+from veilgrid.operators.ordered import fold_by_bucket, lag_by_bucket, running_sum, running_sum_by_bucket
 
 STEP_OUTPUT = "accepted boolean, expected_step int, continuity_break boolean"
 RATE_OUTPUT = "window_start bigint, request_no bigint, allowed boolean"
@@ -22,6 +22,13 @@ def slice_of(ts: str, unit: str = "hour") -> Column:
     return F.date_trunc(unit, F.col(ts))
 
 
+def slice_number(ts: str, unit: str = "hour") -> Column:
+    """The same slices as whole numbers, by the calendar of the session's time zone."""
+    day = F.datediff(F.col(ts), F.lit("1970-01-01"))
+    hour, minute = day * 24 + F.hour(ts), (day * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return {"day": day, "hour": hour, "minute": minute}[unit].cast("long")
+
+
 def step_acceptance(
     steps: DataFrame, arrival: str = "arrival", block: int = 200_000, initial: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -56,7 +63,7 @@ def context_binding(
     messages: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour"
 ) -> DataFrame:
     """Verdict per message: session_id, event (send, end, tab_closed), tab_id, frame_id."""
-    rows = messages.withColumn("_bucket", slice_of(ts, unit))
+    rows = messages.withColumn("_bucket", slice_number(ts, unit))
     out, _ = fold_by_bucket(
         rows, ["session_id"], "_bucket", [ts, *order], ["event", "tab_id", "frame_id"], folds.ContextBinding(),
         BINDING_OUTPUT)
@@ -99,22 +106,19 @@ def active_sessions(accesses: DataFrame, now: Column, ts: str = "ts", warn_at: i
 
 def concurrency(
     epochs: DataFrame, ts: str = "ts", ttl: int = V.SESSION_TTL_SECONDS, warn_at: int = V.SESSION_WARNING,
-    unit: str = "minute",
 ) -> DataFrame:
     """Live vaults after every opening and closing; a vault closes once its TTL has passed.
 
-    The total over time is summed per ``unit`` first, so only one row per minute of the log
-    is ordered in a single task.
+    The sweep over time runs in ranges of it, see ``ordered.running_sum``; sessions that all change in one minute are
+    as many ranges as others.
     """
     spans = epochs.groupBy("session_id", "vault_epoch").agg(F.min(ts).alias("opened"), F.max(ts).alias("last"))
     changes = spans.select("session_id", "vault_epoch", F.inline(F.array(
         F.struct(F.col("opened").alias("changed_at"), F.lit(0).alias("side"), F.lit(1).alias("change")),
         F.struct((F.col("last") + F.expr(f"interval {ttl} seconds")).alias("changed_at"), F.lit(1).alias("side"), F.lit(-1).alias("change")),
     )))
-    sliced = changes.withColumn("_bucket", F.date_trunc(unit, "changed_at")).withColumn("_all", F.lit(0))
-    total = running_sum_by_bucket(
-        sliced, ["_all"], "_bucket", ["changed_at", "side", "session_id", "vault_epoch"], "change", "active")
-    return total.withColumn("over_limit", F.expr(f"change = 1 and active > {warn_at}")).drop("_all", "_bucket", "side")
+    total = running_sum(changes, ["changed_at", "side", "session_id", "vault_epoch"], "change", "active")
+    return total.withColumn("over_limit", F.expr(f"change = 1 and active > {warn_at}")).drop("side")
 
 
 def server_steps(attempts: DataFrame, ts: str = "ts", order: tuple[str, ...] = (), unit: str = "hour") -> DataFrame:
