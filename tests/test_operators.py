@@ -162,7 +162,8 @@ def greedy(dom, vision):
     return out
 
 
-def test_channel_merge_equals_the_greedy_one(spark):
+@pytest.mark.parametrize("block", [4096, 40])
+def test_channel_merge_equals_the_greedy_one(spark, block):
     rng = random.Random(7)
 
     def boxes(n, first):
@@ -174,11 +175,28 @@ def test_channel_merge_equals_the_greedy_one(spark):
     pages[13] = ([(1, (0, 0, 100_000, 100_000))], [(1, (5, 5, 99_990, 99_000)), (2, (0, 0, 30, 30)), (3, (-7, -7, 30, 30))])
     dom = spark.createDataFrame([(p, s, b) for p, (d, _) in pages.items() for s, b in d], BOX)
     vision = spark.createDataFrame([(p, s, b) for p, (_, v) in pages.items() for s, b in v], BOX)
-    got = {(r.payload_id, r.seq): (r.match_source, r.match_seq) for r in J.match_regions(dom, vision).collect()}
+    got = {(r.payload_id, r.seq): (r.match_source, r.match_seq) for r in J.match_regions(dom, vision, block).collect()}
     want = {(p, s): hit for p, (d, v) in pages.items() for s, hit in greedy(d, v).items()}
     assert got == want
 
 
+def test_a_chain_of_boxes_takes_few_jobs(spark):
+    chain = [(1, i, (10 * i, 0, 25, 20)) for i in range(500)]
+    status, before = spark.sparkContext.statusTracker(), "box-chain"
+    spark.sparkContext.setJobGroup(before, "a chain of boxes")
+    try:
+        rows = J.match_regions(spark.createDataFrame([], BOX), spark.createDataFrame(chain, BOX)).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {r.seq: r.match_seq for r in rows}
+    assert got == dict(greedy_hits(chain)) and len(got) == 500
+    assert len(status.getJobIdsForGroup(before)) <= 24  # a query stage of an adaptive plan is a job of its own
+
+
+def greedy_hits(chain):
+    return {s: (hit and hit[1]) for s, hit in greedy([], [(s, b) for _, s, b in chain]).items()}
+
+
 def test_boxes_of_one_seq_are_matched_by_themselves(spark):
     vision = spark.createDataFrame([(1, 5, (0, 0, 20, 20)), (1, 5, (900, 900, 20, 20)), (1, 6, (0, 0, 20, 20))], BOX)
     rows = J.match_regions(spark.createDataFrame([], BOX), vision).collect()
