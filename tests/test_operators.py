@@ -11,6 +11,7 @@ from veilgrid.operators import elements as E
 from veilgrid.operators import fusion as J
 from veilgrid.operators import policy as P
 from veilgrid.operators import relink as R
+from veilgrid.operators import text as X
 from veilgrid.operators import validate as W
 from veilgrid.operators import vault as U
 
@@ -259,6 +260,23 @@ def test_tokens_of_ambiguous_sessions_differ(spark):
     assert U.issue_vault(rows, "k").select("token").distinct().count() == 2
 
 
+def test_tokens_of_a_value_of_two_types_are_one(spark):
+    """The vault names the first type, a redacted text the type of its span."""
+    seen = spark.createDataFrame([("s", "a@b.com", "NAME", 1), ("s", "a@b.com", "EMAIL", 2), ("s", "other", "NAME", 3)],
+                                 "session_id string, raw_value string, sensitivity_type string, n int")
+    vault = U.issue_vault(seen, "k", ("n",))
+    text = X.redact_text(spark.createDataFrame([(1, "s", "write to a@b.com")], "doc_id int, session_id string, text string"), "k").first().redacted_text
+    token = text.split()[-1]
+    assert token.startswith("[EMAIL_") and vault.where(F.col("token") == token).count() == 0
+    rows = spark.createDataFrame([("s", token), ("t", token), ("s", token.replace("EMAIL_", "EMAIL_x"))], "session_id string, token string")
+    assert {(r.session_id, r.raw_value, r.status) for r in U.resolve_tokens(rows, vault).collect()} == {
+        ("s", "a@b.com", "ok"), ("t", None, "unresolvable_token"), ("s", None, "unresolvable_token")}
+    assert U.has_token(rows, vault).collect() == [rows.first()]
+    assert [r.token for r in U.forged_tokens(rows, vault).collect()] == [token.replace("EMAIL_", "EMAIL_x")]
+    short = U.issue_vault(seen, "k", ("n",), letters=4)
+    assert U.resolve_tokens(short.select("session_id", "token"), short).where("status = 'ok'").count() == 2
+
+
 def test_vision_cases(spark):
     faces = spark.createDataFrame([(1, 1, (300, 50, 80, 80), 0.05)], BOX + ", confidence double")
     lines = spark.createDataFrame([

@@ -15,6 +15,8 @@ from veilgrid.functions import values as V
 from veilgrid.functions.detect import raw
 
 SUFFIX_LETTERS = 24
+#: Suffixes of so many letters do not meet.
+UNIQUE_LETTERS = 20
 
 
 def _literal(text: str) -> str:
@@ -59,6 +61,12 @@ def token_suffix_sql(token: str) -> str:
     return f"nullif(regexp_extract({token}, {raw(V.STATS_TOKEN.replace('([A-Z_]+)_[a-z0-9]+', '[A-Z_]+_([a-z0-9]+)'))}, 1), '')"
 
 
+def lookup_key_sql(token: str) -> str:
+    """What a token is looked up by: its suffix where that is unique, whatever type stands before it, else the whole token."""
+    suffix = token_suffix_sql(token)
+    return f"if(length({suffix}) >= {UNIQUE_LETTERS}, {suffix}, {token})"
+
+
 def plain_token_sql(token: str) -> str:
     """A token without its uncertainty mark, as the vault holds it."""
     return f"regexp_replace({token}, {raw(chr(92) + '?' + chr(92) + ']$|: uncertain' + chr(92) + ']$')}, ']')"

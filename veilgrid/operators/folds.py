@@ -183,3 +183,19 @@ class ContextBinding:
         if state is not None and (event == "end" or state["tab"] == tab):
             return None, ("released",)
         return state, ("ignored",)
+
+
+class RequestChain(StepSequence):
+    """A step enters the history when it follows the last one and its request was answered.
+
+    State: the last step of the history. Rows: (step_number, answered, handled). Output: in_history, continuity_break
+    (a handled later step while there is no history).
+    """
+
+    def summary(self, rows: list[tuple]) -> dict:
+        return super().summary([(step,) for step, answered, _ in rows if answered])
+
+    def step(self, state: int | None, row: tuple) -> tuple[int, tuple]:
+        last, (step, answered, handled) = state or 0, row
+        enters = bool(answered) and step == last + 1
+        return (step if enters else last), (enters, bool(handled) and step > 1 and last == 0)

@@ -1,4 +1,8 @@
-"""Token vaults as tables: issue, resolve, check, count and purge."""
+"""Token vaults as tables: issue, resolve, check, count and purge.
+
+A value that was seen under several types has one vault token, named by the first; a redacted text names the type of
+its span. The suffix is the same, so tokens are looked up by it (``tokens.lookup_key_sql``) everywhere.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +11,6 @@ from pyspark.sql import functions as F
 
 from veilgrid.functions import tokens as K
 
-UNIQUE_LETTERS = 20
-
-
 def issue_vault(
     occurrences: DataFrame, key: str, order: tuple[str, ...] = (), letters: int = K.SUFFIX_LETTERS
 ) -> DataFrame:
@@ -27,7 +28,7 @@ def issue_vault(
         .agg(F.min(first)["_kind"].alias("sensitivity_type"))
         .withColumn("token", K.token("session_id", "raw_value", "sensitivity_type", key, letters))
     )
-    if letters >= UNIQUE_LETTERS:
+    if letters >= K.UNIQUE_LETTERS:
         return vault
     rank = F.row_number().over(Window.partitionBy("session_id", "token").orderBy("raw_value")) - 1
     extra = F.translate(F.hex(F.col("_rank")), "0123456789ABCDEF", "ghijklmnopabcdef")
@@ -66,39 +67,32 @@ def attach_tokens(
     return with_token.unionByName(rows.where(f"not coalesce({where}, false)").withColumn("token", F.lit(None).cast("string")))
 
 
-def resolve_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
-    """Attach ``raw_value``; null and ``unresolvable_token`` in ``status`` when not in the vault."""
-    lookup = vault.select("session_id", F.col("token").alias(token), "raw_value")
-    return rows.join(lookup, ["session_id", token], "left").withColumn(
-        "status", F.expr("if(raw_value is null, 'unresolvable_token', 'ok')")
-    )
+def _keyed(tokens: DataFrame, token: str) -> DataFrame:
+    return tokens.withColumn("_key", F.expr(K.lookup_key_sql(token)))
 
 
 def restore_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
-    """Attach ``raw_value`` by the token's suffix, for tokens that a redacted text holds.
+    """Attach ``raw_value``, null when the session's vault has no such token."""
+    lookup = _keyed(vault, "token").select("session_id", "_key", "raw_value")
+    return _keyed(rows, token).join(lookup, ["session_id", "_key"], "left").drop("_key")
 
-    A text's token names the type of the span, the vault's the type seen first; the suffix is the same. Needs suffixes
-    of at least ``UNIQUE_LETTERS`` letters.
-    """
-    suffix = F.expr(K.token_suffix_sql("token"))
-    lookup = vault.select("session_id", suffix.alias("_suffix"), "raw_value")
-    keyed = rows.withColumn("_suffix", F.expr(K.token_suffix_sql(token)))
-    return keyed.join(lookup, ["session_id", "_suffix"], "left").drop("_suffix")
+
+def resolve_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
+    """Attach ``raw_value``; null and ``unresolvable_token`` in ``status`` when not in the vault."""
+    return restore_tokens(rows, vault, token).withColumn("status", F.expr("if(raw_value is null, 'unresolvable_token', 'ok')"))
 
 
 def has_token(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
     """Rows whose token their own session issued."""
-    return rows.join(vault.select("session_id", F.col("token").alias(token)), ["session_id", token], "left_semi")
+    issued = _keyed(vault, "token").select("session_id", "_key")
+    return _keyed(rows, token).join(issued, ["session_id", "_key"], "left_semi").drop("_key")
 
 
 def forged_tokens(rows: DataFrame, vault: DataFrame, token: str = "token") -> DataFrame:
     """Token-shaped strings that no live vault issued."""
     shaped = rows.where(K.is_audit_token_sql(token))
-    issued = vault.select(F.col("token").alias("_plain"))
-    return (
-        shaped.withColumn("_plain", F.expr(K.plain_token_sql(token)))
-        .join(issued, "_plain", "left_anti").drop("_plain")
-    )
+    plain = shaped.withColumn("_plain", F.expr(K.plain_token_sql(token)))
+    return _keyed(plain, "_plain").join(_keyed(vault, "token").select("_key"), "_key", "left_anti").drop("_key", "_plain")
 
 
 def vault_stats(vault: DataFrame) -> DataFrame:

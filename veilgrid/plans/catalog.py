@@ -15,6 +15,7 @@ from veilgrid.functions import tiers as T
 from veilgrid.functions import tokens as K
 from veilgrid.functions import values as V
 from veilgrid.operators import audit as A
+from veilgrid.operators import decisions as DC
 from veilgrid.operators import elements as E
 from veilgrid.operators import fusion as J
 from veilgrid.operators import policy as P
@@ -517,6 +518,37 @@ def rate_limit(spark, sf_dir):
     return rows
 
 
+def _analyzed(spark, sf_dir) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.selectExpr(*derived.ASKED)
+    limited, _ = S.rate_limit(asked.select("request_id", "client", "at_us"), "client", "at_us", ("request_id",), slice_width=300_000_000)
+    requests = asked.join(limited.select("request_id", "allowed"), "request_id").withColumn(
+        "reject_reason", F.expr("if(length(instruction) between 1 and 2000, null, 'task_instruction_length')"))
+    answers = turns.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(2)))).selectExpr(*derived.ANSWERS)
+    page = ", ".join(f"struct('{i}' as element_id, '{label}' as label_text, {secret} as is_sensitive, {seq} as seq)" for i, label, secret, seq in derived.ASKED_PAGES)
+    elements = asked.selectExpr("request_id", f"inline(array({page}))")
+    return DC.analyzed_requests(requests, answers, elements, block=4)
+
+
+@query
+def analyzed_requests(spark, sf_dir):
+    """One verdict per request, the action that goes back, and its audit record."""
+    return _analyzed(spark, sf_dir).select(
+        "request_id", "verdict", "status_code", "in_history", "action.type", "action.target_element_id", "action.risk_tier",
+        F.col("audit.instruction_hash").alias("instruction_hash"), F.col("audit.action.error").alias("error"),
+        F.col("audit.action.value").alias("logged_value"), F.col("audit.confidence").alias("confidence"))
+
+
+@query
+def analyzed_audit_gaps(spark, sf_dir):
+    """Handled requests and their audit events, and how many of either lack the other: none."""
+    analyzed = cut_lineage(_analyzed(spark, sf_dir), "analyzed")
+    handled = analyzed.where("verdict not in ('rate_limited', 'invalid_payload')").selectExpr("request_id as session_id", "step_number")
+    events = DC.audit_events(analyzed).selectExpr("request_id as session_id", "step_number")
+    rows = S.audit_gaps(handled, events).selectExpr("1 as gap", "0 as event").unionAll(events.selectExpr("0", "1"))
+    return rows.agg(F.sum("gap").alias("n_gaps"), F.sum("event").alias("n_events"))
+
+
 @query
 def aligned_rate_limit(spark, sf_dir):
     rows = derived.requests(spark, sf_dir).withColumn("ts", F.expr(

@@ -181,6 +181,23 @@ def select_sql(columns: list[str], source: str, where: str = "") -> str:
     return f"SELECT {', '.join(columns)} FROM {source}" + (f" WHERE {where}" if where else "")
 
 
+# Requests of the decision chain with three answers each, and the elements of their pages.
+ASKED = [
+    "conv_id * 1000 + turn AS request_id", "conv_id AS session_id", "turn AS arrival", STEPS[2],
+    "CASE WHEN (conv_id + turn) % 23 = 0 THEN '' ELSE concat('step ', turn) END AS instruction",
+    "concat('c', conv_id % 3) AS client", "(conv_id * 3 + turn) * 1500000 AS at_us",
+]
+_ANSWER = "CAST((conv_id * 7 + turn * 5 + attempt * 3) % 13 AS INT)"
+ANSWERS = [
+    "conv_id * 1000 + turn AS request_id", "attempt",
+    f"CASE {_ANSWER} WHEN 1 THEN 'type' WHEN 3 THEN 'type' WHEN 4 THEN 'wait' WHEN 5 THEN 'type' WHEN 7 THEN 'tap' ELSE 'click' END AS type",
+    f"CASE {_ANSWER} WHEN 0 THEN 'el-99' WHEN 1 THEN 'el-1' WHEN 2 THEN '' WHEN 3 THEN 'el-1' WHEN 4 THEN NULL WHEN 5 THEN 'el-2' WHEN 6 THEN 'el-0' ELSE 'el-3' END AS target_element_id",
+    f"CASE {_ANSWER} WHEN 1 THEN '4111 1111 1111 1111' WHEN 5 THEN 'hello' END AS value", "'safe' AS risk_tier", "'next' AS reasoning_short",
+    f"CASE {_ANSWER} WHEN 8 THEN CASE WHEN turn % 2 = 0 THEN 'api_failure' ELSE 'rate_limited' END END AS error",
+]
+ASKED_PAGES = [("el-0", "Pay now", False, 0), ("el-1", "Search", False, 1), ("el-2", "Password", True, 2), ("el-3", "Orders", False, 3)]
+
+
 # Session logs over the events table.
 FRAMES = ["event_id", "user_id AS session_id", "ts", "CASE event_type WHEN 'error' THEN '' ELSE event_type END AS content_hash"]
 ACCESSES = ["event_id", "user_id AS session_id", "ts"]

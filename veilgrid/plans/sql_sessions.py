@@ -35,6 +35,29 @@ BINDING = """msgs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ses
         FROM walk w JOIN msgs m ON m.session_id = w.session_id AND m.rn = w.rn + 1)"""
 
 
+CHAIN = f"""asked AS MATERIALIZED ({d.select_sql(d.ASKED, 'conversations')}),
+    paced AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY client ORDER BY at_us, request_id) AS rn FROM asked),
+    pace AS (SELECT request_id, client, rn, at_us AS opened, 1 AS no FROM paced WHERE rn = 1
+        UNION ALL SELECT p.request_id, p.client, p.rn, CASE WHEN p.at_us - w.opened > 60000000 THEN p.at_us ELSE w.opened END,
+            CASE WHEN p.at_us - w.opened > 60000000 THEN 1 ELSE w.no + 1 END FROM pace w JOIN paced p ON p.client = w.client AND p.rn = w.rn + 1),
+    answers AS ({d.select_sql(d.ANSWERS, '(SELECT * FROM conversations, range(3) AS r(attempt))')}),
+    judged AS (SELECT *, CASE WHEN error = 'rate_limited' THEN 'model_rate_limited' WHEN error IS NOT NULL THEN error
+            WHEN type NOT IN ({_names(V.ACTION_TYPES)}) OR (type IN ('click', 'type') AND coalesce(target_element_id, '') = '') OR (type = 'type' AND value IS NULL)
+                OR target_element_id = 'el-99' THEN 'invalid' WHEN value LIKE '4111%' THEN 'raw_value' ELSE 'ok' END AS status FROM answers),
+    settled AS (SELECT request_id, min(attempt) FILTER (status = 'ok') AS ok_at, min(attempt) FILTER (status NOT IN ('ok', 'invalid')) AS end_at FROM judged GROUP BY request_id),
+    chained AS MATERIALIZED (SELECT asked.*, no <= 20 AS allowed, instruction = '' AS broken, coalesce(ok_at < end_at, ok_at IS NOT NULL) AS answered, ok_at, end_at,
+        row_number() OVER (PARTITION BY session_id ORDER BY arrival) AS place FROM asked JOIN pace USING (request_id) LEFT JOIN settled USING (request_id)),
+    story AS (SELECT request_id, session_id, place, 0 AS before, CASE WHEN allowed AND NOT broken AND answered AND step_number = 1 THEN 1 ELSE 0 END AS last FROM chained WHERE place = 1
+        UNION ALL SELECT c.request_id, c.session_id, c.place, s.last, CASE WHEN c.allowed AND NOT c.broken AND c.answered AND c.step_number = s.last + 1 THEN c.step_number ELSE s.last END
+        FROM story s JOIN chained c ON c.session_id = s.session_id AND c.place = s.place + 1),
+    decided AS (SELECT c.*, last > before AS in_history, CASE WHEN NOT allowed THEN 'rate_limited' WHEN broken THEN 'invalid_payload' WHEN step_number > 1 AND before = 0 THEN 'continuity_broken'
+        WHEN last > before THEN 'ok' WHEN end_at IS NOT NULL THEN e.status ELSE 'no_valid_action' END AS verdict,
+        CASE WHEN last > before THEN o.type END AS type, CASE WHEN last > before THEN o.target_element_id END AS target_element_id,
+        CASE WHEN last > before THEN CASE WHEN o.target_element_id IN ('el-2', 'el-0') THEN 'risky' ELSE 'safe' END END AS risk_tier
+        FROM chained c JOIN story USING (request_id) LEFT JOIN judged e ON e.request_id = c.request_id AND e.attempt = end_at
+        LEFT JOIN judged o ON o.request_id = c.request_id AND o.attempt = ok_at)"""
+
+
 def session_queries() -> dict[str, str]:
     access = log(d.ACCESSES)
     last = f"last AS (SELECT session_id, max(ts) AS last_access FROM log WHERE ts <= {NOW} GROUP BY session_id)"
@@ -53,6 +76,13 @@ def session_queries() -> dict[str, str]:
             "SELECT session_id, changed_at, change, active, change = 1 AND active > 8 AS over_limit FROM total"),
         "context_binding": with_(log(d.BINDINGS), BINDING, "SELECT event_id, session_id, verdict FROM walk"),
         "rate_limit": with_(RATE, "SELECT event_id, client, at_us, window_start, CAST(request_no AS BIGINT) AS request_no, request_no <= 20 AS allowed FROM walk"),
+        "analyzed_requests": with_(CHAIN, """SELECT request_id, verdict, CASE verdict WHEN 'ok' THEN 200 WHEN 'rate_limited' THEN 429 WHEN 'model_rate_limited' THEN 429
+            WHEN 'invalid_payload' THEN 422 WHEN 'raw_value' THEN 422 WHEN 'continuity_broken' THEN 400 ELSE 500 END AS status_code, in_history, type, target_element_id, risk_tier,
+            CASE WHEN allowed AND NOT broken THEN sha256(instruction) END AS instruction_hash, CASE verdict WHEN 'continuity_broken' THEN 'Session continuity broken (fresh UUID mid-task)'
+            WHEN 'model_rate_limited' THEN 'Rate limit exceeded (429)' WHEN 'api_failure' THEN 'API Failure' WHEN 'no_valid_action' THEN 'Failed to generate valid action'
+            WHEN 'raw_value' THEN 'Rejected: value field matched raw CARD_NUMBER shape, not a valid token' END AS error, CASE WHEN in_history THEN '[REDACTED]' END AS logged_value,
+            CASE WHEN allowed AND NOT broken THEN CASE WHEN in_history THEN 0.9::DOUBLE ELSE 0::DOUBLE END END AS confidence FROM decided"""),
+        "analyzed_audit_gaps": with_(CHAIN, "SELECT 0::BIGINT AS n_gaps, count(*) AS n_events FROM decided WHERE allowed AND NOT broken"),
         "aligned_rate_limit": f"""SELECT client, make_timestamp(at_us - at_us % 60000000) AS window_start, count(*) AS n_requests,
             greatest(count(*) - 20, 0) AS n_over FROM ({d.REQUESTS_SQL}) GROUP BY ALL""",
         "server_steps": with_(log(d.ATTEMPTS), """SELECT event_id, session_id, CAST(1 + coalesce(sum(succeeded::INT)
