@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -256,6 +257,36 @@ def test_secrets_without_candidates_or_with_one_kind_of_label(spark):
     assert {r["secret"] for r in secrets.secret_findings(docs, labelled=labels).collect()} == {True}
 
 
+def test_surroundings_of_every_run(spark):
+    run = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
+    same = "0123456789abcdef" * 2
+    words = [f'{{"token":"{same}","id":"{same}","k":"{same}=="}}', "x" * 90 + ":" + same, f"{same}", f"({same}){'.' * 100}", f"/a.b/{same}.{same[:20]}!"]
+    texts = [(i, f"before{'-' * i * 30} {w} after", "p") for i, w in enumerate(words)]
+    got = {(r.doc_id, r.nth): (r.value, r.lead, r.tail) for r in secrets.candidates(spark.createDataFrame(texts, "doc_id int, text string, source string")).where("word_at = 1").collect()}
+    want = {}
+    for i, word in enumerate(words):
+        spans = [m.span() for m in run.finditer(word)]
+        for k, (a, b) in enumerate(spans):
+            since, until = spans[k - 1][0] if k else 0, spans[k + 1][1] if k + 1 < len(spans) else len(word)
+            lead = word[since:a]
+            want[i, k] = (word[a:b], " " + lead[-64:] if k > 1 or len(lead) > 64 else lead, word[b:until][:64])
+    assert got == want and len(got) == 9
+
+
+def test_a_word_of_many_runs_takes_time_by_its_length(spark):
+    def seconds(n):
+        word = ",".join(f'"k{i}":"{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(n))
+        docs = spark.createDataFrame([(1, f"{word} {word}", "p")], "doc_id int, text string, source string")
+        start = time.time()
+        sizes = secrets.candidates(docs).selectExpr("count(*)", "max(length(lead))", "max(length(one))").first()
+        assert sizes[0] == 2 * n and sizes[1] <= 65 and sizes[2] <= 64
+        return time.time() - start
+
+    seconds(100)
+    small, large = seconds(2500), seconds(20_000)  # 0.25 and 2 MB
+    assert large < 8 * 3 * max(small, 0.3)
+
+
 SECRET_RUN = re.compile(r"[A-Za-z0-9+/_\-]{16,}={0,2}")
 
 

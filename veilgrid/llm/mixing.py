@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.frames import fresh, without
+from veilgrid.llm.frames import fresh, sent_if_small, without
 from veilgrid.llm.ranks import running
 from veilgrid.session import cut_lineage
 
@@ -99,7 +99,7 @@ def mixed(
     if budget is None:
         budget = (leaves.agg(F.sum("tokens")).first()[0] or 0) * share[0] // share[1]
     given = leaf_budgets(leaves.toDF(*levels, "tokens"), weights, levels, budget, max_epochs).toDF(*leaf, "leaf_tokens", "leaf_budget")
-    given = cut_lineage(given.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget DIV leaf_tokens")).otherwise(F.lit(0))), "leaf-budgets")
+    given = sent_if_small(given.withColumn("whole", F.when(F.col("leaf_tokens") > 0, F.expr("leaf_budget DIV leaf_tokens")).otherwise(F.lit(0))), "leaf-budgets")
     same = lambda x, y, left: reduce(and_, [x[a].eqNullSafe(y[b]) for a, b in zip(left, leaf, strict=True)])
     keys = narrow.join(given, same(narrow, given, leaf)).select(
         *[narrow[k] for k in leaf], "id", amounts, seeded_order(seed, F.col("whole"), F.col("id")).alias(turn),
@@ -109,7 +109,8 @@ def mixed(
     cuts = taken.groupBy(*leaf).agg(F.max(F.struct(turn, "id")).alias("cut"))
     plan = given.join(cuts.toDF(*[f"{k}_cut" for k in leaf], "cut"), reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_cut")) for k in leaf]), "left")
     place, whole, last = fresh(docs, "place", "whole", "cut")
-    plan = plan.select(*leaf, "leaf_tokens", "leaf_budget", F.col("whole").alias(whole), F.col("cut").alias(last))
+    # a row for each leaf: texts stay where they are, and a hot leaf is spread as the documents lie
+    plan = sent_if_small(plan.select(*leaf, "leaf_tokens", "leaf_budget", F.col("whole").alias(whole), F.col("cut").alias(last)), "mixture-plan")
     rows = docs.join(plan, same(docs, plan, levels)).withColumn(
         place, F.struct(seeded_order(seed, F.col(whole), F.col(doc_id)).alias("turn"), F.col(doc_id).alias("id")))
     prefix = F.when(F.col(last).isNotNull() & (F.col(place) <= F.col(last)), 1).otherwise(0)

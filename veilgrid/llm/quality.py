@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgrid.llm.frames import fresh
+from veilgrid.llm.frames import fresh, sent_if_small
 from veilgrid.session import cut_lineage
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -151,7 +151,7 @@ def judged(rows: DataFrame, *, lang: str = "lang", source: str = "source", least
     rows = rows.drop(*[c for c in rows.columns if c.lower() in names])
     limits = fences(sketches(rows.where(~base_failed()), lang, source), least_rows)
     mark = fresh(rows, *limits.columns)
-    limits = limits.toDF(*mark)
+    limits = sent_if_small(limits.toDF(*mark), "fences")  # a row for each language and source: rows stay where they are
     fence = dict(zip([c for m in METRICS for c in (f"{m.name}_low", f"{m.name}_high")], mark[2:], strict=True))
     joined = rows.join(limits, rows[lang].eqNullSafe(limits[mark[0]]) & rows[source].eqNullSafe(limits[mark[1]]), "left")
     inside = ~base_failed()

@@ -18,6 +18,8 @@ from veilgrid.session import cut_lineage
 #: A candidate is a run of these characters, so long at least.
 LEAST_CHARS = 16
 _RUN = r"[A-Za-z0-9+/_\-]{16,}={0,2}"
+#: Characters that are looked at on each side of a run, and of a neighbouring word.
+SIDE = 64
 #: Most labelled findings that train the forest, the first in the order of a hash.
 TRAINED_ROWS = 20_000
 #: Letter pairs that make the dictionary: the most frequent ones of words, in place of words. Large alphabets have more.
@@ -46,16 +48,26 @@ def candidates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", p
 
     ``word_at`` counts the text's words from 0, ``nth`` the runs of that word. Whole texts are read; null and empty ones
     have no candidates. Repeated rows give their candidates again.
+
+    ``lead`` and ``tail`` are what stands around the run in its word: the gap and the run next to it, ``SIDE`` characters at
+    most; a shortened ``lead`` starts with a blank. Neighbouring words (``one``, ``two`` before, ``after``) are as short. So a
+    word of very many runs takes time in proportion to its length.
     """
     words = docs.select(F.col(doc_id).alias("doc_id"), F.col(path).cast("string").alias("path"), F.explode(_runs_in(F.col(text))).alias("x"))
-    found = words.select("doc_id", "path", "x", F.posexplode(F.regexp_extract_all(F.col("x.word"), F.lit(f"({_RUN})"), F.lit(1))).alias("nth", "value"))
-    start = F.instr(F.col("x.word"), F.col("value"))
-    return found.select(
-        "doc_id", F.col("x.at").cast("long").alias("word_at"), "nth", "value", "path",
-        F.substring(F.col("x.word"), F.lit(1), start - 1).alias("lead"),
-        F.substring(F.col("x.word"), start + F.length("value"), F.length("x.word")).alias("tail"),
-        F.coalesce("x.one", F.lit("")).alias("one"), F.coalesce("x.two", F.lit("")).alias("two"), F.coalesce("x.after", F.lit("")).alias("after"),
-    )
+    near = lambda c, cut: cut(F.coalesce(F.col(c), F.lit("")), F.lit(SIDE)).alias(c.removeprefix("x."))
+    parted = words.select(
+        "doc_id", F.col("x.at").cast("long").alias("word_at"), "path", near("x.one", F.right), near("x.two", F.right), near("x.after", F.left),
+        F.regexp_extract_all(F.col("x.word"), F.lit(f"({_RUN})"), F.lit(1)).alias("runs"), F.split(F.col("x.word"), _RUN, -1).alias("gaps"))
+
+    def placed(i: Column) -> Column:
+        run = lambda k: F.coalesce(F.get("runs", k), F.lit(""))
+        before, behind = F.concat(run(i - 1), F.get("gaps", i)), F.concat(F.get("gaps", i + 1), run(i + 1))
+        shortened = (i > 1) | (F.length(before) > SIDE)
+        lead = F.when(shortened, F.concat(F.lit(" "), F.right(before, F.lit(SIDE)))).otherwise(before)
+        return F.struct(i.alias("nth"), run(i).alias("value"), lead.alias("lead"), F.left(behind, F.lit(SIDE)).alias("tail"))
+
+    found = parted.select("*", F.inline(F.transform(F.sequence(F.lit(0), F.size("runs") - 1), placed)))
+    return found.select("doc_id", "word_at", "nth", "value", "path", "lead", "tail", "one", "two", "after")
 
 
 def letter_pairs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -84,7 +96,8 @@ def featured(found: DataFrame, pairs: DataFrame) -> DataFrame:
     values are measured once, in a table of their own.
     """
     values = found.select("value").distinct()
-    cut = F.explode(F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.lower(F.substring(F.col("value"), i, F.lit(2)))))
+    letters = F.split(F.lower("value"), "")
+    cut = F.explode(F.zip_with(F.slice(letters, F.lit(1), F.size(letters) - 1), F.slice(letters, F.lit(2), F.size(letters) - 1), lambda a, b: F.concat(a, b)))
     known = F.broadcast(pairs.select("pair", F.lit(1).alias("known")))  # DICTIONARY_PAIRS rows
     coverage = values.select("value", cut.alias("pair")).join(known, "pair", "left").groupBy("value").agg(F.avg(F.coalesce("known", F.lit(0))).alias("coverage"))
     n = F.length("value")
