@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.llm.frames import fresh, hash_128
@@ -32,10 +32,11 @@ def line_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     except in the largest doc_id that holds it. ``runs`` is the keep bitmap, run-length coded: the lengths of runs
     of kept and dropped lines in turn, kept first (maybe 0), up to the last dropped line; what follows is kept.
 
-    Line hashes (128 bits) are range-partitioned with document and position behind the hash, so that a common line
-    is spread over partitions, sorted by all three and written. The counts by key and document, and then by key, are
-    hash aggregations with exchanges of their own that do not use this order. Keys with a large share of all
-    occurrences are few, by their definition, and are broadcast; all others are joined.
+    Line hashes (128 bits) are range-partitioned with the document behind the hash, so that a common line is spread
+    over partitions, and sorted by hash, document and position. First occurrences stream by in that order, without an
+    exchange of their own, and are written with the sorted ranges; a key's documents are counted from them, combined
+    within each range before the shuffle. Keys with a large share of all occurrences are few, by their definition, and
+    are broadcast; all others are joined.
 
     Documents are told apart by doc_id (null is one of them); rows of one doc_id and text share a bitmap, rows of
     one doc_id with different texts have one each and count as one document.
@@ -44,11 +45,11 @@ def line_bitmaps(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     keyed = rows.select("doc", "text_key", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= least_chars)
     # written first: the ranges' sample would split all texts a second time
     keyed = cut_lineage(keyed.select(hash_128(F.col("key")).alias("h"), "doc", "text_key", "pos"), "line-hashes")
-    spread = keyed.repartitionByRange("h", "doc", "pos").sortWithinPartitions("h", "doc", "pos")
-    occurrences = cut_lineage(spread, "lines")
-    # rows of one key and document lie beside each other; each part of a key gives its documents and the largest
-    firsts = occurrences.groupBy("h", "doc").agg(F.count("*").alias("n"))
-    keys = firsts.groupBy("h").agg(F.count("*").alias("docs"), F.max("doc").alias("keeper"), F.sum("n").alias("n")).where(F.col("docs") >= least_docs)
+    spread = keyed.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "pos")
+    # the ranges hold each (h, doc) whole and sorted, so the window neither exchanges nor sorts again
+    first = F.row_number().over(Window.partitionBy("h", "doc").orderBy("pos")) == 1
+    occurrences = cut_lineage(spread.withColumn("first", first), "lines")
+    keys = occurrences.groupBy("h").agg(F.count_if("first").alias("docs"), F.max("doc").alias("keeper"), F.count("*").alias("n")).where(F.col("docs") >= least_docs)
     keys = cut_lineage(keys, "line-keys")
     total = occurrences.count()
     hot = F.col("n") > F.lit(max(1, total // HOT_SHARE))
