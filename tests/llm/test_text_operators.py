@@ -243,12 +243,30 @@ def test_fences_reject_outliers_of_their_group(spark):
     assert quality.quality_filter(docs.limit(0)).count() == 0
 
 
+def test_fences_follow_their_group_alone(spark):
+    """One share of symbols passes where such shares are usual and falls elsewhere; ranges scale with the group's own."""
+    r = random.Random(4)
+    row = lambda i, source, symbols, chars: (i, "en", source, 200, chars, symbols, 0, 0)
+    rows = [row(i, "code", r.randrange(40, 161), 1000 + r.randrange(-50, 51)) for i in range(400)]
+    rows += [row(1000 + i, "prose", 0, 1000 + r.randrange(-50, 51)) for i in range(400)]
+    rows += [row(2000 + i, "wide", 0, 1000 + 6 * r.randrange(-50, 51)) for i in range(400)]
+    odd = [row(5000, "code", 200, 1000), row(5001, "prose", 200, 1000), row(5002, "prose", 2, 1000), row(5003, "prose", 3, 1000),
+           row(5004, "prose", 0, 1700), row(5005, "wide", 0, 1700), row(5006, "code", 900, 1000)]
+    frame_of = spark.createDataFrame(rows + odd, "doc_id bigint, lang string, source string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint")
+    kept = {x["doc_id"] for x in quality.judged(frame_of).where("kept").collect()}
+    assert kept == {x[0] for x in rows} | {5000, 5002, 5005}
+    limits = {x["source"]: x for x in quality.fences(quality.sketches(frame_of, "lang", "source")).collect()}
+    width = lambda x: limits[x]["word_length_high"] - limits[x]["word_length_low"]
+    assert 4 * width("prose") < width("wide") < 9 * width("prose")
+    assert limits["prose"]["symbol_rate_high"] == 0 and limits["code"]["symbol_rate_high"] > 300
+
+
 def test_sketches_merge_by_adding(spark):
     docs = frame(spark, [(i, prose(i, 30 + i % 50)) for i in range(300)])
     rows = quality.measured(docs)
     half = F.col("doc_id") % 2 == 0
     parts = quality.sketches(rows.where(half), "lang", "source").unionByName(quality.sketches(rows.where(~half), "lang", "source"))
-    merged = parts.groupBy("lang", "source", "metric", "bin").agg(F.sum("n").alias("n"))
+    merged = parts.groupBy("lang", "source", "metric", "bin").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
     whole = quality.sketches(rows, "lang", "source")
     assert merged.exceptAll(whole).isEmpty() and whole.exceptAll(merged).isEmpty()
     assert quality.fences(parts).exceptAll(quality.fences(whole)).isEmpty()

@@ -16,26 +16,33 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 BITS = 6
 #: Rows that a group needs for thresholds of its own; a smaller one takes its language's, then those of all.
 LEAST_ROWS = 200
-#: A fence lies so many interquartile ranges outside the quartiles.
+#: A fence lies so many times the distance between the first and the last octile beyond these.
 REACH = 3
+#: A count may lie so many standard deviations above the one that its fence gives for the text's length.
+DEVIATIONS = 3
 
 
 @dataclass(frozen=True)
 class Metric:
-    """A whole-number rate, the sides on which it is fenced, and the least range that a fence assumes."""
+    """A whole-number rate. ``count`` out of ``base`` per mille, where ``event`` of the count arise at once; or any ``value``.
+
+    Octiles of a rate are those over rows, or over ``mass``.
+    """
 
     name: str
     value: str
-    low: bool
-    high: bool
-    spread: int
+    count: str | None = None
+    base: str | None = None
+    event: int = 1
+    mass: str = "1"
 
 
+#: A window found a second time makes ten words of repeats. Repeats become likelier with the text's length, so octiles of their rate are those over words.
 METRICS = (
-    Metric("symbol_rate", "1000 * n_symbols DIV greatest(word_chars, 1)", False, True, 10),
-    Metric("word_length", "100 * word_chars DIV greatest(n_words, 1)", True, True, 60),
-    Metric("dup_line_rate", "1000 * n_dup_lines DIV greatest(n_words, 1)", False, True, 10),
-    Metric("repeat_rate", "1000 * n_repeat_words DIV greatest(n_words, 1)", False, True, 60),
+    Metric("symbol_rate", "1000 * n_symbols DIV greatest(word_chars, 1)", "n_symbols", "word_chars"),
+    Metric("word_length", "100 * word_chars DIV greatest(n_words, 1)"),
+    Metric("dup_line_rate", "1000 * n_dup_lines DIV greatest(n_words, 1)", "n_dup_lines", "n_words"),
+    Metric("repeat_rate", "1000 * n_repeat_words DIV greatest(n_words, 1)", "n_repeat_words", "n_words", 10, "n_words"),
 )
 
 
@@ -92,37 +99,39 @@ def base_failed() -> Column:
 
 
 def sketches(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """``lang``, ``source``, ``metric``, ``bin``, ``n``: counts of values cut to their leading bits.
+    """``lang``, ``source``, ``metric``, ``bin``, ``n``, ``mass``: counts and masses of values cut to their leading bits.
 
-    Such a sketch is a table of counts; sketches of parts merge by adding. It has some hundred bins at most,
+    Such a sketch is a table of sums; sketches of parts merge by adding. It has some hundred bins at most,
     however many rows it stands for, and they are combined before the shuffle.
     """
-    one = F.explode(F.array(*[F.struct(F.lit(m.name).alias("metric"), F.expr(m.value).cast("long").alias("x")) for m in METRICS]))
+    value = lambda m: F.struct(F.lit(m.name).alias("metric"), F.expr(m.value).cast("long").alias("x"), F.expr(m.mass).cast("long").alias("mass"))
+    one = F.explode(F.array(*[value(m) for m in METRICS]))
     values = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), one.alias("v")).select("lang", "source", "v.*")
     low = F.greatest(F.length(F.bin("x")) - BITS, F.lit(0))
     values = values.withColumn("bin", F.call_function("shiftleft", F.call_function("shiftright", F.col("x"), low), low))
-    return values.groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"))
+    return values.groupBy("lang", "source", "metric", "bin").agg(F.count("*").alias("n"), F.sum("mass").alias("mass"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+def _octiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"))
     group = Window.partitionBy(*keys, "metric")
-    run = merged.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bin"))})
-    first = lambda share: F.min(F.when(F.col("upto") * 4 >= F.col("total") * share, F.col("bin")))
-    return run.groupBy(*keys, "metric").agg(F.max("total").alias("total"), first(1).alias("q1"), first(3).alias("q3"))
+    run = merged.withColumns({"whole": F.sum("mass").over(group), "upto": F.sum("mass").over(group.orderBy("bin"))})
+    first = lambda share: F.min(F.when(F.col("upto") * 8 >= F.col("whole") * share, F.col("bin")))
+    return run.groupBy(*keys, "metric").agg(F.sum("n").alias("total"), first(1).alias("e1"), first(7).alias("e7"))
 
 
 def fences(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """``lang``, ``source`` and ``<metric>_low``, ``<metric>_high`` of every group of the sketch.
 
-    Sketches of small groups are merged up: a group of fewer than ``least_rows`` rows takes the quartiles of its
+    Sketches of small groups are merged up: a group of fewer than ``least_rows`` rows takes the octiles of its
     language, or, if these have too few, of all rows.
     """
     group = sketch.select("lang", "source").distinct()
     enough = F.col("total") >= least_rows
-    whole = _quartiles(sketch, []).select("metric", F.struct("q1", "q3").alias("all"))
-    by_lang = _quartiles(sketch, ["lang"]).where(enough).select(F.col("lang").alias("l1"), F.col("metric").alias("m1"), F.struct("q1", "q3").alias("by_lang"))
-    own = _quartiles(sketch, ["lang", "source"]).where(enough).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), F.col("metric").alias("m2"), F.struct("q1", "q3").alias("own"))
+    octiles = F.struct("e1", "e7")
+    whole = _octiles(sketch, []).select("metric", octiles.alias("all"))
+    by_lang = _octiles(sketch, ["lang"]).where(enough).select(F.col("lang").alias("l1"), F.col("metric").alias("m1"), octiles.alias("by_lang"))
+    own = _octiles(sketch, ["lang", "source"]).where(enough).select(F.col("lang").alias("l2"), F.col("source").alias("s2"), F.col("metric").alias("m2"), octiles.alias("own"))
     metrics = F.explode(F.array(*[F.lit(m.name) for m in METRICS])).alias("metric")
     found = (
         group.select("*", metrics).join(whole, "metric")
@@ -132,19 +141,33 @@ def fences(sketch: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     )
     columns = []
     for m in METRICS:
-        reach = REACH * F.greatest(F.col("q.q3") - F.col("q.q1"), F.lit(m.spread))
+        reach = REACH * (F.col("q.e7") - F.col("q.e1"))
         is_it = F.col("metric") == m.name
-        columns += [F.max(F.when(is_it, F.col("q.q1") - reach)).alias(f"{m.name}_low"), F.max(F.when(is_it, F.col("q.q3") + reach)).alias(f"{m.name}_high")]
+        columns += [F.max(F.when(is_it, F.col("q.e1") - reach)).alias(f"{m.name}_low"), F.max(F.when(is_it, F.col("q.e7") + reach)).alias(f"{m.name}_high")]
     return found.groupBy("lang", "source").agg(*columns)
 
 
+def _inside(m: Metric, low: Column, high: Column) -> Column:
+    """A value lies between its fences; a count, not above what the upper one gives for the text but by chance.
+
+    The square root of a count of events of mean ``x`` has a standard deviation of 1/2 about ``sqrt(x)``, whatever
+    ``x`` is, so the bound in events is ``(sqrt(x) + DEVIATIONS / 2) ** 2``; both sides are multiplied by 1,000 events.
+    """
+    if m.count is None:
+        return F.expr(m.value).between(low, high)
+    given = high * F.col(m.base)
+    chance = DEVIATIONS * F.sqrt((given * (1000 * m.event)).cast("double")) + DEVIATIONS ** 2 * 250 * m.event
+    return 1000 * F.col(m.count) - given <= chance
+
+
 def judged(rows: DataFrame, *, lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
     """``rows`` (of ``measured``) with ``base_failed`` and ``kept``.
 
-    Quartiles of four rates come from quantile sketches of the rows that pass the base rules, per language and source.
-    A row is kept if it passes the base rules and each rate lies within ``REACH`` interquartile ranges (at least the
-    metric's own range) of its group's quartiles; rates of symbols, repeated lines and words are fenced above, the
-    word length on both sides. Null languages and sources are groups of their own. Groups of which no row passes
+    Octiles of four rates come from quantile sketches of the rows that pass the base rules, per language and source.
+    Fences lie ``REACH`` times the distance of the two octiles outside them; no range is fixed. A row is kept if it
+    passes the base rules, its word length lies between both fences, and its symbols, repeated lines and repeated words
+    are not above their upper fence by more than chance allows in a text of its length (``_inside``), which alone
+    decides where both octiles are 0. Null languages and sources are groups of their own. Groups of which no row passes
     the base rules keep none. ``rows`` is read twice; cut its lineage before.
     """
     names = {c.lower() for c in rows.columns} & {"base_failed", "kept"}
@@ -156,10 +179,7 @@ def judged(rows: DataFrame, *, lang: str = "lang", source: str = "source", least
     joined = rows.join(limits, rows[lang].eqNullSafe(limits[mark[0]]) & rows[source].eqNullSafe(limits[mark[1]]), "left")
     inside = ~base_failed()
     for m in METRICS:
-        if m.low:
-            inside = inside & (F.expr(m.value) >= F.col(fence[f"{m.name}_low"]))
-        if m.high:
-            inside = inside & (F.expr(m.value) <= F.col(fence[f"{m.name}_high"]))
+        inside = inside & _inside(m, F.col(fence[f"{m.name}_low"]), F.col(fence[f"{m.name}_high"]))
     return joined.select(*[rows[c] for c in rows.columns], base_failed().alias("base_failed"), F.coalesce(inside, F.lit(False)).alias("kept"))
 
 

@@ -62,14 +62,16 @@ FROM (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) LEFT J
 NEAR_DUPLICATES = _set_components(2, 80, ", doc_id = least_id AS kept")
 JACCARD_JOIN = _set_components(3, 90, "")
 
+#: Value, and for counts: the count, what it is counted in, and how many of it one event makes.
 _RATES = {
-    "symbol_rate": ("1000 * n_symbols // greatest(word_chars, 1)", 10, False), "word_length": ("100 * word_chars // greatest(n_words, 1)", 60, True),
-    "dup_line_rate": ("1000 * n_dup_lines // greatest(n_words, 1)", 10, False),
-    "repeat_rate": ("1000 * n_repeat_words // greatest(n_words, 1)", 60, False),
+    "symbol_rate": ("1000 * n_symbols // greatest(word_chars, 1)", "n_symbols", "word_chars", 1),
+    "word_length": ("100 * word_chars // greatest(n_words, 1)", "0", "0", 0),
+    "dup_line_rate": ("1000 * n_dup_lines // greatest(n_words, 1)", "n_dup_lines", "n_words", 1),
+    "repeat_rate": ("1000 * n_repeat_words // greatest(n_words, 1)", "n_repeat_words", "n_words", 10),
 }
-_QUARTILES = """SELECT {keys} metric, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 3 * total) AS q3
-    FROM (SELECT {keys} metric, bin, sum(n) OVER (PARTITION BY {keys} metric) AS total, sum(n) OVER (PARTITION BY {keys} metric ORDER BY bin) AS upto
-        FROM (SELECT {keys} metric, bin, count(*) AS n FROM bins GROUP BY {keys} metric, bin)) GROUP BY {keys} metric"""
+_OCTILES = """SELECT {keys} metric, sum(n) AS total, min(bin) FILTER (8 * upto >= mass) AS e1, min(bin) FILTER (8 * upto >= 7 * mass) AS e7
+    FROM (SELECT {keys} metric, bin, n, sum(w) OVER (PARTITION BY {keys} metric) AS mass, sum(w) OVER (PARTITION BY {keys} metric ORDER BY bin) AS upto
+        FROM (SELECT {keys} metric, bin, count(*) AS n, sum(CASE WHEN metric = 'repeat_rate' THEN base ELSE 1 END) AS w FROM bins GROUP BY {keys} metric, bin)) GROUP BY {keys} metric"""
 
 #: Common table expressions up to ``judged``: the measures of ``documents``, base_failed and kept.
 QUALITY_CTES = f"""
@@ -82,15 +84,17 @@ measured AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAS
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words
     FROM (SELECT *, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{_SPACED}')) AS lines FROM words) LEFT JOIN repeats USING (doc_id)),
 based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured),
-rates AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, CAST({x} AS BIGINT) AS x, {spread} AS spread, {low} AS low FROM based"
-                              for m, (x, spread, low) in _RATES.items())}),
-bins AS (SELECT lang, source, metric, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bin FROM rates WHERE NOT base_failed),
-q0 AS ({_QUARTILES.format(keys="")}), q1 AS ({_QUARTILES.format(keys="lang,")}), q2 AS ({_QUARTILES.format(keys="lang, source,")}),
-fenced AS (SELECT r.*, CASE WHEN q2.total >= 200 THEN q2.q1 WHEN q1.total >= 200 THEN q1.q1 ELSE q0.q1 END AS a,
-        CASE WHEN q2.total >= 200 THEN q2.q3 WHEN q1.total >= 200 THEN q1.q3 ELSE q0.q3 END AS b
+rates AS ({" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, CAST({x} AS BIGINT) AS x, CAST({count} AS BIGINT) AS hits, CAST({within} AS BIGINT) AS base, {event} AS event FROM based"
+                              for m, (x, count, within, event) in _RATES.items())}),
+bins AS (SELECT lang, source, metric, base, (x >> greatest(length(bin(x)) - 6, 0)) << greatest(length(bin(x)) - 6, 0) AS bin FROM rates WHERE NOT base_failed),
+q0 AS ({_OCTILES.format(keys="")}), q1 AS ({_OCTILES.format(keys="lang,")}), q2 AS ({_OCTILES.format(keys="lang, source,")}),
+octiles AS (SELECT r.*, CASE WHEN q2.total >= 200 THEN q2.e1 WHEN q1.total >= 200 THEN q1.e1 ELSE q0.e1 END AS a,
+        CASE WHEN q2.total >= 200 THEN q2.e7 WHEN q1.total >= 200 THEN q1.e7 ELSE q0.e7 END AS b
     FROM rates r JOIN q2 ON q2.lang IS NOT DISTINCT FROM r.lang AND q2.source IS NOT DISTINCT FROM r.source AND q2.metric = r.metric
     JOIN q1 ON q1.lang IS NOT DISTINCT FROM r.lang AND q1.metric = r.metric JOIN q0 ON q0.metric = r.metric),
-verdicts AS (SELECT doc_id, bool_and(x <= b + 3 * greatest(b - a, spread) AND (NOT low OR x >= a - 3 * greatest(b - a, spread))) AS fits FROM fenced GROUP BY doc_id),
+fenced AS (SELECT *, a - 3 * (b - a) AS low, b + 3 * (b - a) AS high FROM octiles),
+verdicts AS (SELECT doc_id, bool_and(CASE WHEN event = 0 THEN x BETWEEN low AND high
+    ELSE 1000 * hits - high * base <= 3 * sqrt(CAST(high * base * 1000 * event AS DOUBLE)) + 2250 * event END) AS fits FROM fenced GROUP BY doc_id),
 judged AS (SELECT based.*, NOT base_failed AND coalesce(fits, false) AS kept FROM based LEFT JOIN verdicts USING (doc_id))
 """
 
