@@ -215,6 +215,18 @@ def test_page_regions_name_no_vision_channel(spark):
     assert (rolled.dom_heuristic, rolled.vision_model, rolled.ocr_regex) == (1, 1, 0)
 
 
+def test_roll_ups_by_type_and_risk(spark):
+    regions = spark.createDataFrame(
+        [(1, None, "EMAIL", 1), (1, "ocr_regex", "EMAIL", 1), (1, None, "EMAIL", 1), (1, None, "NAME", 2), (None, "vision_model", None, None)],
+        "payload_id int, detection_source string, sensitivity_type string, sensitivity_tier int")
+    assert {tuple(r) for r in A.region_types(regions).collect()} == {
+        (1, "dom_heuristic", "EMAIL", 1, 2), (1, "ocr_regex", "EMAIL", 1, 1), (1, "dom_heuristic", "NAME", 2, 1), (None, "vision_model", None, None, 1)}
+    actions = spark.createDataFrame(
+        [(1, "click", "risky"), (1, "click", "safe"), (1, "click", None), (1, "type", "Risky"), (2, None, "risky")], "payload_id int, type string, risk_tier string")
+    assert {tuple(r) for r in A.risk_rollup(actions).collect()} == {(1, "click", 1, 2), (1, "type", 0, 1), (2, None, 1, 0)}
+    assert A.region_types(regions.limit(0)).isEmpty() and A.risk_rollup(actions.limit(0)).isEmpty()
+
+
 def test_audit_looks_into_maps_and_variants(spark):
     rows = spark.createDataFrame([(1,)], "payload_id int").selectExpr(
         "payload_id", "map('k', '4111111111111111') as extra", "array(map('m', named_struct('deep', 'a@b.com'))) as listed",

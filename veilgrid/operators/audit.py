@@ -190,6 +190,19 @@ def region_rollup(regions: DataFrame) -> DataFrame:
         F.count(F.lit(1))).fillna(0, list(V.DETECTION_METHODS))
 
 
+def region_types(regions: DataFrame) -> DataFrame:
+    """Regions per payload, detection source, sensitivity type and tier; regions of the page count as the page's own."""
+    return regions.groupBy(
+        "payload_id", F.coalesce("detection_source", F.lit("dom_heuristic")).alias("detection_source"), "sensitivity_type", "sensitivity_tier"
+    ).agg(F.count(F.lit(1)).alias("n"))
+
+
+def risk_rollup(actions: DataFrame) -> DataFrame:
+    """Actions per payload and type by their risk tier; whatever is not ``risky``, null too, is shown as safe."""
+    risky = F.coalesce(F.col("risk_tier") == "risky", F.lit(False))
+    return actions.groupBy("payload_id", "type").agg(F.count_if(risky).alias("risky"), F.count_if(~risky).alias("safe"))
+
+
 def latency_rollup(metrics: DataFrame, accuracy: int = 10_000) -> DataFrame:
     """Count, p50, p95 and maximum per measure, with bounded sketches for the percentiles."""
     return metrics.groupBy("name").agg(

@@ -758,6 +758,16 @@ def region_rollup(spark, sf_dir):
     return A.region_rollup(_fused(spark, sf_dir))
 
 
+@query
+def region_types(spark, sf_dir):
+    return A.region_types(_fused(spark, sf_dir))
+
+
+@query
+def risk_rollup(spark, sf_dir):
+    return A.risk_rollup(derived.actions(spark, sf_dir))
+
+
 @query
 def latency_rollup(spark, sf_dir):
     metrics = table(spark, sf_dir, "events").selectExpr("event_type as name", "value as duration_ms")

@@ -150,6 +150,10 @@ def audit_queries() -> dict[str, str]:
             type, target_element_id, '[REDACTED]' AS value, risk_tier, 0.9::DOUBLE AS confidence FROM actions"""),
         "region_rollup": with_(*FUSION, """SELECT payload_id, count(*) FILTER (detection_source IS NULL) AS dom_heuristic,
             count(*) FILTER (detection_source = 'vision_model') AS vision_model, count(*) FILTER (detection_source = 'ocr_regex') AS ocr_regex FROM fused_rows GROUP BY payload_id"""),
+        "region_types": with_(*FUSION, """SELECT payload_id, coalesce(detection_source, 'dom_heuristic') AS detection_source, sensitivity_type, sensitivity_tier, count(*) AS n
+            FROM fused_rows GROUP BY ALL"""),
+        "risk_rollup": with_(ACTIONS, """SELECT payload_id, type, count(*) FILTER (risk_tier IS NOT DISTINCT FROM 'risky') AS risky, count(*) FILTER (risk_tier IS DISTINCT FROM 'risky') AS safe
+            FROM actions GROUP BY ALL"""),
         "latency_rollup": """SELECT event_type AS name, count(*) AS n, max(value) AS max_ms, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY event_type""",
         "newest_steps": "SELECT event_id, user_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 50",
         "ordered_spans": with_(TEXTS, TEXT_SPANS, TEXT_KEPT, """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_idx DESC) - 1 AS INTEGER) AS pos,
