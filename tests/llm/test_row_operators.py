@@ -342,6 +342,11 @@ def test_registered_sharding(spark, sf_dir="/root/testdata/sf0.001"):
     import zlib
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in queries.table(spark, sf_dir, "documents").collect()}
     assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+    copies = defaultdict(list)
+    for r in rows:
+        copies[texts[r["doc_id"]]].append(r["shard"])
+    most = shards.FILL * len(rows) / 24
+    assert [g for g in copies.values() if len(g) > 1] and all(len(set(g)) == 1 for g in copies.values() if len(g) <= most)
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir="/root/testdata/sf0.001"):
