@@ -64,6 +64,19 @@ def test_a_group_over_its_quota_takes_few_shards(spark):
     assert len({r["shard"] for r in rows if r["text"] == "the same"}) <= 6
 
 
+def test_groups_up_to_a_whole_quota_stay_whole(spark):
+    """Groups of 100, 98 and 93 % of a quota beside small ones, of which some start in the same shards."""
+    sizes = [100, 98, 93, *[3] * 60]
+    texts = [f"group {k}" for k, size in enumerate(sizes) for _ in range(size)]
+    texts += [f"alone {i}" for i in range(800 - len(texts))]
+    rows = placed(spark, [(i, t, "x", "u") for i, t in enumerate(texts)], n=8)
+    holds(rows, 8)
+    where = defaultdict(set)
+    for r in rows:
+        where[r["text"]].add(r["shard"])
+    assert all(len(s) == 1 for s in where.values())
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 50])
 def test_few_rows(spark, n):
     rows = placed(spark, [(i, "same", "x", "u") for i in range(n)], n=24)
@@ -345,7 +358,7 @@ def test_registered_sharding(spark, sf_dir="/root/testdata/sf0.001"):
     copies = defaultdict(list)
     for r in rows:
         copies[texts[r["doc_id"]]].append(r["shard"])
-    most = shards.FILL * len(rows) / 24
+    most = len(rows) // 24
     assert [g for g in copies.values() if len(g) > 1] and all(len(set(g)) == 1 for g in copies.values() if len(g) <= most)
 
 
