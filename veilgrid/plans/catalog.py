@@ -805,7 +805,9 @@ def _by_origin(spark, sf_dir) -> DataFrame:
 
 
 def _confirmed(spark, sf_dir) -> DataFrame:
-    approved = derived.actions(spark, sf_dir).where("risk_tier = 'risky' and payload_id % 3 = 0").selectExpr(
+    # the order's own status stands for the user's answer: a finished one was approved
+    answers = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("o_orderkey as payload_id")
+    approved = derived.actions(spark, sf_dir).where("risk_tier = 'risky'").join(answers, "payload_id", "left_semi").selectExpr(
         "concat('https://shop', payload_id % 25, '.example.com') as origin", "payload_id", "target_element_id")
     return R.confirmed_labels(approved, _elements(spark, sf_dir))
 

@@ -110,7 +110,7 @@ LOOSE = violations(ISSUED_SHAPE, r"regexp_replace(value, '\?\]$|: uncertain\]$',
 STRICT = violations(STRICT_SHAPE, "value")
 CONFIRMED = """conf AS MATERIALIZED (SELECT DISTINCT 'https://shop' || (a.payload_id % 25) || '.example.com' AS origin, el.label_text AS label
         FROM actions a JOIN el ON el.payload_id = a.payload_id AND el.element_id = a.target_element_id
-        WHERE a.risk_tier = 'risky' AND a.payload_id % 3 = 0 AND el.is_sensitive AND coalesce(el.label_text, '') <> '')"""
+        WHERE a.risk_tier = 'risky' AND a.payload_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND el.is_sensitive AND coalesce(el.label_text, '') <> '')"""
 
 
 def audit_queries() -> dict[str, str]:
