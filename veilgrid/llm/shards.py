@@ -70,8 +70,9 @@ def _members(ids: DataFrame, links: DataFrame, most: int) -> DataFrame:
     Links of more than ``most`` rows are cut.
     """
     nodes = ids.groupBy("node").agg(F.count("*").alias("weight"))
-    of = links.where("link is not null").select("node", F.struct(F.xxhash64(F.lit(1), "link").alias("a"), F.xxhash64(F.lit(2), "link").alias("b")).alias("link")).distinct().join(nodes, "node")
-    sizes = of.groupBy("link").agg(F.sum("weight").alias("size"), F.count("*").alias("n")).where("n > 1")
+    of = cut_lineage(links.where("link is not null").select("node", F.struct(F.xxhash64(F.lit(1), "link").alias("a"), F.xxhash64(F.lit(2), "link").alias("b")).alias("link")).distinct().join(nodes, "node"), "weighed-links")
+    # a table of its own: behind an aggregation by link, adaptive execution could not split a large link in the join
+    sizes = cut_lineage(of.groupBy("link").agg(F.sum("weight").alias("size"), F.count("*").alias("n")).where("n > 1"), "link-sizes")
     blocks = F.when(F.col("size") > most, F.ceil(F.col("size") / max(1.0, FILL * most))).otherwise(F.lit(1)).cast("long")
     block = F.pmod(F.xxhash64(F.lit(3), "node.a", "node.b"), blocks).cast("int")
     cut = of.join(sizes, "link").select(
