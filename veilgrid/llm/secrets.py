@@ -251,7 +251,9 @@ def secret_findings(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     labels them, and ``examples`` train the forest as well. Given labels of one kind only: findings keep that kind; given none, none is a secret.
     """
     pairs = cut_lineage(letter_pairs(docs, text), "letter-pairs")
-    found = cut_lineage(featured(candidates(docs, doc_id=doc_id, text=text, path=path), pairs), "candidates")
+    # values and their surroundings are two uses of one table: texts are searched once
+    runs = cut_lineage(candidates(docs, doc_id=doc_id, text=text, path=path), "runs")
+    found = cut_lineage(featured(runs, pairs), "candidates")
     if labelled is None:
         told = cut_lineage(examples(docs.sparkSession), "examples")
         targets = told.select("doc_id", F.col("target").alias("value"), "label")
