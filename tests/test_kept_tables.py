@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 from veilgrid.functions import detect as D
 from veilgrid.operators import audit as A
+from veilgrid.operators import fusion as J
 from veilgrid.operators import vault as U
 from veilgrid.plans import catalog
 
@@ -44,3 +48,30 @@ def test_tokens_name_the_first_type_and_rows_without_value_have_none(spark):
         "session_id string, seq int, raw_value string, sensitivity_type string")
     got = {r.seq: r.token for r in U.attach_tokens(rows, "k", ("seq",)).collect()}
     assert got[1] == got[2] and got[1].startswith("[EMAIL_") and got[6].startswith("[NAME_") and got[3] is got[4] is None and len(got) == 6
+
+
+BOX = "payload_id int, seq bigint, box struct<x:int,y:int,w:int,h:int>"
+
+
+def odd_boxes(seed: int) -> list[tuple]:
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 2, 3, None]), rng.choice([None, *range(12)]),
+             (rng.choice([0, 5, 40, None]), rng.choice([0, 4]), rng.choice([0, 20, 24, None]), rng.choice([10, 20, -1]))) for _ in range(60)]
+    return [*rows, *rows[:10]]
+
+
+def test_small_payloads_are_matched_as_large_ones(spark):
+    dom, vision = (spark.createDataFrame(odd_boxes(i), BOX) for i in (1, 2))
+    whole, parts = J.match_regions(dom, vision), J.match_regions(dom, vision, block=1)
+    assert not whole.inputFiles() and parts.inputFiles()
+    rows = [sorted((str(tuple(r)) for r in found.collect())) for found in (whole, parts)]
+    assert rows[0] == rows[1] and len(rows[0]) > 40
+
+
+def test_small_payloads_are_merged_as_large_ones(spark):
+    dom, vision = (spark.createDataFrame(odd_boxes(i), BOX).withColumn("note", F.lit(i)) for i in (3, 4))
+    columns = ["payload_id", "seq", "box", "note", "source", "vision_confirmed"]
+    whole = J.merge_channels(dom, vision)
+    assert not whole.inputFiles()
+    rows = [sorted(str(tuple(r)) for r in found.select(*columns).collect()) for found in (whole, J._merge_large(dom, vision))]
+    assert rows[0] == rows[1] and any("True" in r for r in rows[0])
