@@ -12,7 +12,7 @@ from veilgrid.operators import sessions as S
 from veilgrid.operators import ordered
 from veilgrid.operators.ordered import fold_by_bucket, widest_bucket
 from veilgrid.session import shared_folder
-from veilgrid.streaming import jobs
+from veilgrid.streaming import jobs, keyed
 
 START = datetime(2024, 1, 1)
 
@@ -266,6 +266,45 @@ def test_streams_leave_the_session_as_it_was(spark):
     assert _streamed(spark, df, jobs.stream_steps).first().accepted and spark.conf.get(jobs.STATE_STORE, None) == before
 
 
+@pytest.fixture
+def one_bucket(monkeypatch):
+    """All keys in one bucket: a processor is called once per micro-batch, not once per key."""
+    monkeypatch.setattr(keyed, "BUCKETS", 1)
+
+
+def test_keys_of_a_bucket_are_followed_apart(spark, one_bucket):
+    rng = random.Random(9)
+    keys = [None, "", "=", "a", "b"]
+    rows = [(rng.choice(keys), START + timedelta(minutes=i), i, rng.choice(["A", "B", "", None]), i // 50) for i in range(150)]
+    df = spark.createDataFrame(rows, "session_id string, ts timestamp_ntz, n int, content_hash string, part int")
+    got = _streamed(spark, df, lambda s, f: jobs.stream_frames(s, f, order=("n",)))
+    want = S.unchanged_frames(df, order=("n",)).drop("part")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    assert got.count() == 150
+
+
+def test_requests_of_a_bucket_expire_by_key(spark, one_bucket):
+    rng, at, rows = random.Random(10), 0, []
+    for i in range(300):
+        at += rng.choice([0, 1, 4_000_000, 70_000_000 if i % 40 == 0 else 5])
+        rows.append((rng.choice(["a", "b", None]), at, i, i // 75))
+    df = spark.createDataFrame(rows, "client string, at_us bigint, n int, part int")
+    got = _streamed(spark, df, lambda s, f: jobs.stream_rate_limit(s, "client", "at_us", f, order=("n",), late="1 second"))
+    want, _ = S.rate_limit(df.drop("part"), "client", "at_us", order=("n",))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_sessions_of_a_bucket_close_by_key(spark, one_bucket):
+    """A bucket's timer closes what has expired of each session; the rest stays open and goes on in later parts."""
+    rows = [(7, 0, 0), (7, 100, 0), (None, 90, 0), (8, 5, 0), (7, 120, 1), (None, 200, 1), (8, 110, 1), (8, 3, 1), (9, 900, 2)]
+    df = _minutes(spark, []).withColumn("session_id", F.col("session_id").cast("bigint")).unionByName(
+        spark.createDataFrame([(k, START + timedelta(minutes=m), p) for k, m, p in rows], "session_id bigint, ts timestamp, part int"))
+    got = _streamed(spark, df, lambda s, f: jobs.stream_sessions(s, f, late="10 minutes"))
+    assert dict(got.dtypes)["session_id"] == "bigint"
+    assert sorted(((r.session_id or 0), r.n_accesses, r.outcome) for r in got.collect()) == [
+        (0, 1, "closed"), (0, 1, "closed"), (7, 1, "closed"), (7, 2, "closed"), (8, 1, "closed"), (8, 1, "closed"), (8, 1, "late")]
+
+
 def test_fold_keeps_states_of_quiet_keys(spark):
     df = spark.createDataFrame([("a", 0, 1)], "session_id string, arrival bigint, step_number int")
     _, first = S.step_acceptance(df)
