@@ -9,6 +9,7 @@ from compare import compare, duck
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from veilgrid.plans import catalog
 
 # the training-data queries, which may be absent, have tests of their own
 QUERIES = {k: q for k, q in entry.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
@@ -40,3 +41,10 @@ def test_query(spark, con, name):
 
 
 MAY_BE_EMPTY = ("audit_completeness",)
+
+
+def test_unknown_field_lines_are_parsed_once(spark):
+    """Findings and both sides of the gate read a table of parsed lines, not the lines again."""
+    lines, found = catalog._unknown_fields(spark, SF_DIR)
+    for rows in (lines, found):
+        assert "parse_json" not in rows._jdf.queryExecution().optimizedPlan().toString()
