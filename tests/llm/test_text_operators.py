@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -270,3 +271,13 @@ def test_sketches_merge_by_adding(spark):
     whole = quality.sketches(rows, "lang", "source")
     assert merged.exceptAll(whole).isEmpty() and whole.exceptAll(merged).isEmpty()
     assert quality.fences(parts).exceptAll(quality.fences(whole)).isEmpty()
+
+
+def test_marks_go_with_the_ids(spark):
+    """Only parts of the filter with a set bit are held by the driver and sent."""
+    ids = spark.range(40).selectExpr("id * 7 as id")
+    marked = neardup._marked(ids)
+    at = np.array([r[0] for r in ids.select(F.pmod(F.xxhash64("id"), F.lit(neardup.MARKS))).collect()])
+    assert neardup._may_be_marked(marked, at).all() and len(marked[1]) <= 41 * neardup.PART // 8
+    others = np.setdiff1d(np.arange(0, neardup.MARKS, 997), at)
+    assert not neardup._may_be_marked(marked, others).any()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veilgrid.session import cut_lineage
@@ -14,21 +14,22 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     Large-star and small-star rounds in turn: each id hands its larger, then its smaller neighbours to the smallest
     one it knows. A round gives at most as many links as it got, so nothing grows, and the number of rounds goes
     with the logarithm of the longest path. Sums of 64-bit hashes tell when nothing changes any more. Each round is
-    written to the shared folder.
+    written to the shared folder, and its sums are taken by the same job.
     """
-    edges = cut_lineage(
-        links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links",
-    )
+    edges, now = _written(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    while (now := _sums(edges)) != before:
+    while now["n"] and now != before:
         before = now
-        edges = cut_lineage(_small_star(_large_star(edges)), "links")
+        edges, now = _written(_small_star(_large_star(edges)))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _sums(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """``edges`` cut from their lineage, their number and the sum of their hashes."""
+    seen = Observation()
+    sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")
+    return cut_lineage(edges.observe(seen, *sums), "links"), seen.get
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

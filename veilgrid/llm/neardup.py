@@ -149,14 +149,29 @@ def likely(pairs: DataFrame, signatures: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "one", "other").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _marked(ids: DataFrame) -> np.ndarray:
-    """``MARKS`` bits as bytes, of which those of the hashes of ``ids`` are set: a fixed size, whatever the ids."""
+#: Bits of one part of the filter; only parts with a bit that is set are held and sent.
+PART = 1 << 15
+
+
+def _marked(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``MARKS`` bits, of which those of the hashes of ``ids`` are set: the place of each part, and the parts' bits as bytes.
+
+    Parts without a set bit share place 0, whose bits are all clear. So the size goes with the ids, up to ``MARKS``.
+    """
     at = F.pmod(F.xxhash64("id"), F.lit(MARKS))
-    parts = ids.select(at.alias("at")).groupBy(F.expr("at DIV 32768").alias("part")).agg(F.expr("bitmap_construct_agg(at % 32768)").alias("bits"))
-    marks = np.zeros(MARKS // 8, dtype=np.uint8)
-    for row in parts.toLocalIterator():  # at most MARKS / 32768 rows
-        marks[row["part"] * 4096: (row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
-    return marks
+    parts = ids.select(at.alias("at")).groupBy(F.expr(f"at DIV {PART}").alias("part")).agg(F.expr(f"bitmap_construct_agg(at % {PART})").alias("bits"))
+    place, bits = np.zeros(MARKS // PART, dtype=np.int64), [bytes(PART // 8)]
+    for row in parts.toLocalIterator():  # at most MARKS / PART rows
+        place[row["part"]] = len(bits)
+        bits.append(bytes(row["bits"]))
+    return place, np.frombuffer(b"".join(bits), np.uint8)
+
+
+def _may_be_marked(marked: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """Whether the bits ``at`` are set."""
+    place, bits = marked
+    bit = place[at // PART] * PART + at % PART
+    return (bits[bit >> 3] >> (bit & 7) & 1).astype(bool)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, s: Settings, doc_id: str, text: str) -> DataFrame:
@@ -170,7 +185,7 @@ def _sets(docs: DataFrame, ids: DataFrame, s: Settings, doc_id: str, text: str)
         marks = known.value
         for batch in batches:
             at = batch.column(2).to_numpy()
-            batch = batch.take(pa.array(np.flatnonzero(marks[at >> 3] >> (at & 7) & 1)))
+            batch = batch.take(pa.array(np.flatnonzero(_may_be_marked(marks, at))))
             for start, end in pieces(batch.column(1)):
                 part = batch.slice(start, end - start)
                 values, offsets = shingle_sets(part.column(1), s.words)
