@@ -75,3 +75,24 @@ def test_small_payloads_are_merged_as_large_ones(spark):
     assert not whole.inputFiles()
     rows = [sorted(str(tuple(r)) for r in found.select(*columns).collect()) for found in (whole, J._merge_large(dom, vision))]
     assert rows[0] == rows[1] and any("True" in r for r in rows[0])
+
+
+def test_leaves_are_opened_by_generators(spark):
+    """Functions of lists are interpreted, leaf by leaf."""
+    rows = spark.createDataFrame(
+        [(1, {"b": [{"c": "x", "n": 1}, None, {"c": None, "n": 2}]}, {"Pwd": ["p", None], "k": None}, "t", [[["deep"]]]), (2, None, None, None, []), (None, {"b": None}, {}, "u", None)],
+        "payload_id int, a struct<b:array<struct<c:string,n:int>>>, m map<string,array<string>>, note string, l array<array<array<string>>>")
+    leaves = A.string_leaves(rows, ["payload_id"], ("pwd",))
+    assert "lambda" not in leaves._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r.payload_id), r.path, r.value, r.named) for r in leaves.collect()) == [
+        ("1", "a.b[0].c", "x", False), ("1", "l[0][0][0]", "deep", False), ("1", "m.Pwd[0]", "p", True), ("1", "note", "t", False), ("None", "note", "u", False)]
+
+
+def test_types_are_counted_as_spans_are(spark):
+    rng = random.Random(3)
+    parts = ["4111 1111-1111 1111", "9876543210", "1234-5678-9012", "ABCD0123456", "a@b.co", "a.b@c.de@f.gh", "OTP 1234", "code 123456", "el-3-123456-7890", "é", "😀", " ", "  ", "7", "x", ""]
+    texts = [None, "9876543210 9876543210", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(500))]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(
+        "t", f"{D.spans_sql('t')} as s", f"{D.span_types_sql('t')} as kinds", f"{D.may_hold_sql('t')} as may").collect()
+    assert all([s.type for s in r.s] == (r.kinds or []) for r in rows) and all(r.may for r in rows if r.s)
+    assert all(r.t[s.start_idx:s.end_idx] == s.match for r in rows for s in r.s) and sum(len(r.s) for r in rows) > 300
