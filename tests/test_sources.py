@@ -97,3 +97,14 @@ def test_sql_functions_and_detectors(spark):
     rows = spark.createDataFrame([(1, "AB-123 and a@b.com")], "id int, text string")
     got = [(r.detector, r.match, r.start_idx) for r in registry.detect_all(rows, ["plate", "EMAIL"]).collect()]
     assert got == [("plate", "AB-123", 0), ("EMAIL", "a@b.com", 11)]
+
+
+def test_audit_log_is_gzipped_and_grows(spark, tmp_path):
+    from veilgrid.sources import audit_log
+
+    rows = spark.createDataFrame([("s", 1, "h"), ("s", 2, None)], "session_id string, step_number int, instruction_hash string")
+    for i in (1, 2):
+        audit_log.append_audit(rows.where(f"step_number = {i}"), str(tmp_path / "log"))
+    assert {p.name[-8:] for p in (tmp_path / "log").glob("part-*")} == {".json.gz"}
+    got = audit_log.read_audit(spark, str(tmp_path / "log")).collect()
+    assert {(r.session_id, r.step_number, r.instruction_hash) for r in got} == {("s", 1, "h"), ("s", 2, None)} and all(r.timestamp for r in got)

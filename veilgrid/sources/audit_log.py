@@ -19,10 +19,10 @@ STEP_SCHEMA = (
 
 
 def append_audit(records: DataFrame, path: str) -> None:
-    """Append one JSON line per decision, stamped with the time of the write."""
+    """Append one JSON line per decision, gzipped, stamped with the time of the write."""
     if "timestamp" not in records.columns:
         records = records.withColumn("timestamp", F.current_timestamp())
-    records.write.mode("append").json(path)
+    records.write.mode("append").json(path, compression="gzip")
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
