@@ -406,3 +406,17 @@ def test_pipeline_stage_by_stage(spark, sf_dir="/root/testdata/sf0.001"):
         extra = docs.withColumns({"N_words": F.lit("x"), "Epochs": F.lit("y"), "Slot": F.lit("z"), "domain": F.lit("d"), "node": F.lit("n")}) if i < 3 else None
         if extra is None:
             extra = docs
+
+
+def test_pipeline_shards_by_what_documents_still_share(spark):
+    """Documents of equal lines and of equal texts come together, others fill up."""
+    rows = [(i, f"A line that group {i // 8} of documents shares\nown words {i} {i * 7919}", "en", "src1", 1) for i in range(240)]
+    rows += [(1000 + i, f"the same whole text {i // 3} in three documents", "en", "src1", 1) for i in range(30)] + [(2000 + i, f"lone text {i}", "en", "src1", 1) for i in range(210)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.balanced_shards(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in out) == sorted(r[0] for r in rows)
+    assert max(Counter(r["shard"] for r in out).values()) == len(rows) // 24
+    shard = {r["doc_id"]: r["shard"] for r in out}
+    assert all(len({shard[1000 + 3 * g + j] for j in range(3)}) == 1 for g in range(10))
+    most = [max(Counter(shard[8 * g + j] for j in range(8)).values()) for g in range(30)]
+    assert sum(most) >= 0.8 * 240  # 2 to 3 of 8 by chance

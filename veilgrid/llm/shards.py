@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgrid.llm.frames import fresh, hash_128
+from veilgrid.llm.linededup import line_key, lines_of
 from veilgrid.llm.ranks import running
 from veilgrid.session import cut_lineage
 
@@ -214,3 +215,9 @@ def text_link(text: Column) -> Column:
 def equal_text_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links for ``shard_documents`` between documents of equal texts."""
     return docs.select(node_of(F.col(doc_id)).alias("node"), text_link(F.col(text)).alias("link")).where("link IS NOT NULL")
+
+
+def shared_line_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_chars: int = 20) -> DataFrame:
+    """Links for ``shard_documents`` between documents that share a line of ``least_chars`` characters or more, compared as line deduplication does."""
+    lines = docs.select(node_of(F.col(doc_id)).alias("node"), F.explode(lines_of(F.col(text))).alias("line")).select("node", line_key(F.col("line")).alias("key"))
+    return lines.where(F.length("key") >= least_chars).select("node", hash_128(F.lit("line"), F.col("key")).alias("link")).distinct()
